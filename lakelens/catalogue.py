@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lakelens import quality_queries
+
+QUERIES: dict = quality_queries.QUERIES
+ORACLES: dict[str, str] = quality_queries.ORACLES
