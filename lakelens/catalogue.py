@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakelens import quality_queries
+from lakelens import core_queries, quality_queries
 
-QUERIES: dict = quality_queries.QUERIES
-ORACLES: dict[str, str] = quality_queries.ORACLES
+QUERIES: dict = core_queries.QUERIES | quality_queries.QUERIES
+ORACLES: dict[str, str] = core_queries.ORACLES | quality_queries.ORACLES
