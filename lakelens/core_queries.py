@@ -259,8 +259,8 @@ def _role_sql() -> str:
 
 @query("profile_roles", _role_sql())
 def profile_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [prof.profile(table(spark, sf_dir, t), t) for t in ("orders", "events", "nation")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("dataset_id", "name", "dtype", "inferred_role", "pii_risk")
+    tables = {t: table(spark, sf_dir, t) for t in ("orders", "events", "nation")}
+    return prof.profile_many(tables).select("dataset_id", "name", "dtype", "inferred_role", "pii_risk")
 
 
 # join discovery and vectors
@@ -336,13 +336,16 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # questions
 
-_engines: dict[tuple[str, str, bool], Engine] = {}
+_engines: dict[tuple[str, str], Engine] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str, with_joins: bool = False) -> Engine:
-    key = (spark.sparkContext.applicationId, sf_dir, with_joins)
+    """The engine over the tables of a folder, built once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
-        _engines[key] = engine_for_tables(spark, sf_dir, STAR, with_joins)
+        _engines[key] = engine_for_tables(spark, sf_dir, STAR)
+    if with_joins and not _engines[key].edges:
+        _engines[key].build_joins()
     return _engines[key]
 
 

@@ -7,10 +7,8 @@ import zlib
 from collections import Counter
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DIM = 256
 
@@ -19,18 +17,6 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of two strings, 0 where either is null."""
-    return pd.Series([ratio(x, y) if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
-
-
-@F.pandas_udf(T.DoubleType())
-def best_ratio_udf(names: pd.Series, b: pd.Series) -> pd.Series:
-    """The largest ratio of ``b`` to any of an array of names."""
-    return pd.Series([max((ratio(x, y) for x in xs if x is not None), default=0.0) if xs is not None and y is not None else 0.0 for xs, y in zip(names, b)])
-
-
 def ngrams(text: str) -> Counter:
     grams: Counter = Counter()
     for word in text.lower().replace("_", " ").split():
@@ -50,11 +36,6 @@ def vector(text: str | None) -> list[float]:
     return [x / size for x in out] if size else out
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def vector_udf(text: pd.Series) -> pd.Series:
-    return text.map(vector)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of equal length, 0 where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

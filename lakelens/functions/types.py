@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MEASURE, DIMENSION, TIME, IDENTIFIER, TEXT, UNKNOWN = "MEASURE", "DIMENSION", "TIME", "IDENTIFIER", "TEXT", "UNKNOWN"
@@ -46,16 +44,16 @@ def pii_risk(name: str) -> bool:
     return bool(PII_PARTS & {*parts, *("_".join(p) for p in zip(parts, parts[1:]))})
 
 
-def role_expr(name: str, dtype: str, n_unique: Column, unique_rate: Column, key_suffixes: bool = False) -> Column:
-    """The role as an expression over the column's counts; ``key_suffixes`` also takes ``...key`` and ``...id`` for keys."""
+def role_of(name: str, dtype: str, n_unique: int, unique_rate: float, key_suffixes: bool = False) -> str:
+    """The role by name, type and cardinality; ``key_suffixes`` also takes parts such as ``...key`` and ``...id`` for keys."""
     parts = set(name_parts(name))
     if dtype == "datetime64" or parts & TIME_PARTS:
-        return F.lit(TIME)
+        return TIME
     if parts & ID_PARTS or key_suffixes and any(p.endswith(("key", "id")) for p in parts):
-        return F.lit(IDENTIFIER)
+        return IDENTIFIER
     if dtype in NUMERIC:
-        varied = (unique_rate > MEASURE_RATE) & (n_unique > FEW_NUMBERS)
-        return F.when(~varied & (n_unique <= FEW_NUMBERS), DIMENSION).otherwise(MEASURE)
+        varied = unique_rate > MEASURE_RATE and n_unique > FEW_NUMBERS
+        return MEASURE if varied or n_unique > FEW_NUMBERS else DIMENSION
     if dtype == "object":
-        return F.when((unique_rate > TEXT_RATE) & (n_unique > FEW_TEXTS), TEXT).otherwise(DIMENSION)
-    return F.lit(DIMENSION if dtype == "bool" else UNKNOWN)
+        return TEXT if unique_rate > TEXT_RATE and n_unique > FEW_TEXTS else DIMENSION
+    return DIMENSION if dtype == "bool" else UNKNOWN

@@ -1,43 +1,70 @@
-"""Data set cards and the column index, built from profiles."""
+"""Data set cards and the column index, built from profiles.
+
+One pure function makes a card or an index entry; it runs on the driver for a lake whose profiles fit there, and over
+the profile table otherwise.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakelens.functions import lexicon
-from lakelens.functions.similarity import vector_udf
+from lakelens.functions.similarity import vector
 from lakelens.functions.types import DIMENSION, MEASURE, TIME
 
-aliases_udf = F.udf(lexicon.aliases, T.ArrayType(T.StringType()))  # one call for each column of the lake
-domain_udf = F.udf(lexicon.domain_of, T.StringType())
+# fixed values: how many entities and sample words a card and an entry hold
+ENTITIES, WORDS = 10, 5
+
+CARD = """dataset_id string, domain string, row_count bigint, column_names array<string>, measure_columns array<string>,
+    dimension_columns array<string>, time_columns array<string>, entities array<string>, summary string, summary_embedding array<double>"""
+ENTRY = """dataset_id string, name string, lexical_key string, aliases array<string>, dtype string, role string, unique_rate double,
+    n_unique bigint, embedding array<double>"""
+NEEDED = ["dataset_id", "name", "dtype", "n_rows", "unique_rate", "n_unique", "inferred_role", "top_values"]
+
+
+def card_of(rows: list[dict]) -> dict:
+    """The card of one data set from the profiles of its columns."""
+    names = sorted(r["name"] for r in rows)
+    of_role = lambda role: sorted(r["name"] for r in rows if r["inferred_role"] == role)
+    measures, dimensions, times = of_role(MEASURE), of_role(DIMENSION), of_role(TIME)
+    dataset, domain = rows[0]["dataset_id"], lexicon.domain_of(names)
+    entities = list(dict.fromkeys(re.sub(r"(_id|_name)$", "", d.lower()) for d in dimensions))[:ENTITIES]
+    summary = f"{dataset} is a {domain} data set; measures: {', '.join(measures)}; dimensions: {', '.join(dimensions)}; time: {', '.join(times)}"
+    return {
+        "dataset_id": dataset, "domain": domain, "row_count": int(max(r["n_rows"] for r in rows)), "column_names": names, "measure_columns": measures,
+        "dimension_columns": dimensions, "time_columns": times, "entities": entities, "summary": summary, "summary_embedding": vector(summary),
+    }
+
+
+def entry_of(r: dict) -> dict:
+    """The index entry of one column."""
+    key, known = r["name"].lower().strip(), lexicon.aliases(r["name"])
+    values = " ".join(str(v) for v in list(r["top_values"] if r["top_values"] is not None else [])[:WORDS])
+    text = " | ".join([key, " ".join(known[:WORDS]), f"role={r['inferred_role']}", f"type={r['dtype']}", f"values: {values}"])
+    return {
+        "dataset_id": r["dataset_id"], "name": r["name"], "lexical_key": key, "aliases": known, "dtype": r["dtype"], "role": r["inferred_role"],
+        "unique_rate": float(r["unique_rate"]), "n_unique": int(r["n_unique"]), "embedding": vector(text),
+    }
+
+
+def _columns(schema: str) -> list[str]:
+    return [p.split()[0] for p in schema.split(",")]
 
 
 def dataset_cards(profiles: DataFrame) -> DataFrame:
-    """(dataset_id, domain, row_count, column lists by role, entities, summary, summary_embedding)."""
-    of_role = lambda role: F.array_sort(F.collect_set(F.when(F.col("inferred_role") == role, F.col("name"))))
-    cards = profiles.groupBy("dataset_id").agg(
-        F.max("n_rows").alias("row_count"), F.array_sort(F.collect_set("name")).alias("column_names"), of_role(MEASURE).alias("measure_columns"),
-        of_role(DIMENSION).alias("dimension_columns"), of_role(TIME).alias("time_columns"),
-    )
-    entities = F.slice(F.array_distinct(F.transform("dimension_columns", lambda c: F.regexp_replace(F.lower(c), "(_id|_name)$", ""))), 1, 10)
-    cards = cards.withColumn("domain", domain_udf("column_names")).withColumn("entities", entities)
-    summary = F.concat_ws(
-        " ", F.col("dataset_id"), F.lit("is a"), F.col("domain"), F.lit("data set; measures:"), F.array_join("measure_columns", ", "),
-        F.lit("; dimensions:"), F.array_join("dimension_columns", ", "), F.lit("; time:"), F.array_join("time_columns", ", "),
-    )
-    return cards.withColumn("summary", summary).withColumn("summary_embedding", vector_udf("summary"))
+    """The cards of all data sets; a group is the columns of one data set."""
+    return profiles.select(*NEEDED).groupBy("dataset_id").applyInPandas(lambda g: pd.DataFrame([card_of(g.to_dict("records"))], columns=_columns(CARD)), CARD)
 
 
 def column_index(profiles: DataFrame) -> DataFrame:
-    """(dataset_id, name, lexical_key, aliases, dtype, role, unique_rate, n_unique, embedding)."""
-    text = F.concat_ws(
-        " | ", F.col("lexical_key"), F.array_join(F.slice("aliases", 1, 5), " "), F.concat(F.lit("role="), F.col("role")),
-        F.concat(F.lit("type="), F.col("dtype")), F.concat(F.lit("values: "), F.array_join(F.slice("top_values", 1, 5), " ")),
-    )
-    rows = profiles.select(
-        "dataset_id", "name", F.lower(F.trim("name")).alias("lexical_key"), aliases_udf("name").alias("aliases"), "dtype",
-        F.col("inferred_role").alias("role"), "unique_rate", "n_unique", "top_values",
-    )
-    return rows.withColumn("embedding", vector_udf(text)).drop("top_values")
+    """The index entries of all columns."""
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([entry_of(r) for r in frame.to_dict("records")], columns=_columns(ENTRY))
+
+    return profiles.select(*NEEDED).mapInPandas(entries, ENTRY)

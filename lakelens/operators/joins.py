@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.operators.profile import as_text
-from lakelens.runtime import written
+from lakelens.runtime import spread, written
 
 # fixed values: sketch shape
 HASHES, BANDS, ROWS = 128, 16, 8
@@ -20,6 +20,7 @@ def column_values(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -
     for dataset, df in tables.items():
         if cols := columns.get(dataset):
             pairs = F.array(*(F.struct(F.lit(c).alias("column"), as_text(df, c).alias("v")) for c in cols))
+            df = spread(df)
             parts.append(df.select(F.lit(dataset).alias("dataset"), F.explode(pairs).alias("p")).select("dataset", "p.column", "p.v").where("v is not null"))
     return reduce(DataFrame.union, parts)
 
@@ -83,7 +84,7 @@ def index_stats(values: DataFrame) -> DataFrame:
 def minhash(values: DataFrame, hashes: int = HASHES) -> DataFrame:
     """(dataset, column, signature): minima of seeded 64-bit hashes, mergeable and computed with map-side partials."""
     mins = [F.min(F.xxhash64(F.lit(i), F.col("v"))).alias(f"h{i}") for i in range(hashes)]
-    return values.groupBy("dataset", "column").agg(*mins).select("dataset", "column", F.array(*(f"h{i}" for i in range(hashes))).alias("signature"))
+    return values.distinct().groupBy("dataset", "column").agg(*mins).select("dataset", "column", F.array(*(f"h{i}" for i in range(hashes))).alias("signature"))
 
 
 def jaccard(a, b, hashes: int = HASHES):

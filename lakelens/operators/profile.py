@@ -6,18 +6,23 @@ frame yields distinct counts, frequent values, samples and value counts together
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakelens.functions.types import NUMERIC, logical, pii_risk, role_expr
+from lakelens.functions.types import NUMERIC, logical, pii_risk, role_of
 from lakelens.operators.relational import quoted
-from lakelens.runtime import written
+from lakelens.runtime import spread, written
 
 # fixed values: sizes of a profile
 TOP, SAMPLES, KEYS, BUCKETS, FEW = 5, 8, 200, 10, 10
 #: Up to this many rows the histogram is an exact NTILE, beyond it one of percentile cuts.
 EXACT_ROWS = 1_000_000
+#: Columns of more distinct values (estimated) are counted by sketches instead of exactly.
+EXACT_DISTINCT = 20_000_000
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -29,84 +34,147 @@ def as_text(df: DataFrame, name: str) -> Column:
     return quoted(name).cast("string")
 
 
-def long_texts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, v): every non-null value of the columns as text."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("name"), as_text(df, c).alias("v")) for c in columns))
-    return df.select(F.explode(pairs).alias("p")).select("p.name", "p.v").where("v is not null")
+KEY = ["dataset", "name"]
+
+
+def long_values(df: DataFrame, columns: list[str], dataset: str, value: Callable[[DataFrame, str], Column], as_name: str) -> DataFrame:
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), value(df, c).alias(as_name)) for c in columns))
+    return df.select(F.explode(pairs).alias("p")).select(F.lit(dataset).alias("dataset"), "p.name", f"p.{as_name}").where(f"{as_name} is not null")
+
+
+def long_texts(df: DataFrame, columns: list[str], dataset: str = "") -> DataFrame:
+    """(dataset, name, v): every non-null value of the columns as text."""
+    return long_values(df, columns, dataset, as_text, "v")
 
 
-def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, v, cnt): the distinct values of each column; counted on the map side first, so hot values are cheap."""
-    return long_texts(df, columns).groupBy("name", "v").agg(F.count("*").alias("cnt"))
+def value_frequencies(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """(dataset, name, v, cnt): the distinct values of each column; counted on the map side first, so hot values are cheap."""
+    parts = [long_texts(df, columns[d], d) for d, df in tables.items() if columns.get(d)]
+    return reduce(DataFrame.union, parts).groupBy(*KEY, "v").agg(F.count("*").alias("cnt"))
 
 
-def scalars(df: DataFrame) -> DataFrame:
-    """One row for each column: name, n_rows, n_values, min_val, max_val, mean_val (numbers only), from one pass."""
+def scalars(df: DataFrame, dataset: str = "") -> DataFrame:
+    """One row for each column: dataset, name, n_rows, n_values, min_val, max_val, mean_val (numbers only) and guessed
+    (the estimated number of distinct values), all from one pass."""
     measures = []
     for i, f in enumerate(df.schema.fields):
         c, number = quoted(f.name), logical(f.dataType) in NUMERIC
         x = c.cast("double") if number else F.lit(None).cast("double")
-        measures.append(F.struct(F.lit(f.name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_values"), F.min(x).alias("min_val"), F.max(x).alias("max_val"), F.avg(x).alias("mean_val")).alias(f"s{i}"))
+        measures.append(
+            F.struct(
+                F.lit(dataset).alias("dataset"), F.lit(f.name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_values"), F.min(x).alias("min_val"),
+                F.max(x).alias("max_val"), F.avg(x).alias("mean_val"), F.approx_count_distinct(c if logical(f.dataType) != "nested" else as_text(df, f.name)).alias("guessed"),
+            ).alias(f"s{i}")
+        )
     one = df.agg(*measures)
     return one.select(F.explode(F.array(*(F.col(f"s{i}") for i in range(len(measures))))).alias("s")).select("s.*")
 
 
-def exact_histogram(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """(name, bucket, lo, hi, cnt) of NTILE buckets: sorts each column in one task, so only for tables of bounded size."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("name"), quoted(c).cast("double").alias("x")) for c in columns))
-    values = df.select(F.explode(pairs).alias("p")).select("p.*").where("x is not null")
-    tiles = values.withColumn("bucket", F.ntile(buckets).over(Window.partitionBy("name").orderBy("x")))
-    return tiles.groupBy("name", "bucket").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt"))
+def exact_histogram(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(dataset, name, bucket, lo, hi, cnt) of NTILE buckets, from value frequencies of numbers.
+
+    The first and last row of each bucket are looked up among the cumulated counts; a column's distinct values are
+    sorted in one task, so this is for tables of bounded size.
+    """
+    values = counts.select(*KEY, F.col("v").cast("double").alias("x"), "cnt")
+    whole = Window.partitionBy(*KEY)
+    placed = values.withColumns({"upto": F.sum("cnt").over(whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("cnt").over(whole)})
+    # rows count from 0; the first n % buckets buckets hold one row more than the others
+    place = f"if({{i}} < (n % {buckets}) * (n div {buckets} + 1), {{i}} div (n div {buckets} + 1), n % {buckets} + ({{i}} - (n % {buckets}) * (n div {buckets} + 1)) div greatest(n div {buckets}, 1)) + 1"
+    met = placed.withColumn("bucket", F.explode(F.sequence(F.expr(place.format(i="(upto - cnt)")), F.expr(place.format(i="(upto - 1)")))))
+    size = F.max(F.expr(f"n div {buckets} + if(bucket <= n % {buckets}, 1, 0)"))
+    return met.groupBy(*KEY, F.col("bucket").cast("int").alias("bucket")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), size.cast("long").alias("cnt"))
 
 
-def cut_histogram(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
+def cut_histogram(df: DataFrame, columns: list[str], dataset: str = "", buckets: int = BUCKETS) -> DataFrame:
     """The same shape at any size: cut points from mergeable percentile summaries, then one pass of bucket counts."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("name"), quoted(c).cast("double").alias("x")) for c in columns))
-    values = df.select(F.explode(pairs).alias("p")).select("p.*").where("x is not null")
-    cuts = values.groupBy("name").agg(F.percentile_approx("x", [k / buckets for k in range(1, buckets)], 10_000).alias("cuts"))
-    placed = values.join(F.broadcast(cuts), "name")  # one row for each column of the schema
+    values = long_values(df, columns, dataset, lambda d, c: quoted(c).cast("double"), "x")
+    cuts = values.groupBy(*KEY).agg(F.percentile_approx("x", [k / buckets for k in range(1, buckets)], 10_000).alias("cuts"))
+    placed = values.join(F.broadcast(cuts), KEY)  # one row for each column of the schema
     bucket = F.size(F.filter("cuts", lambda c: c < F.col("x"))) + 1
-    return placed.groupBy("name", bucket.alias("bucket")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt"))
+    return placed.groupBy(*KEY, bucket.alias("bucket")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt"))
 
 
-def profile(df: DataFrame, dataset_id: str, key_suffixes: bool = False, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def sketched_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, ranked) of the approximately most frequent values, from mergeable sketches in one pass.
+
+    Columns without frequent values may get fewer or none.
+    """
+    tops = [F.struct(F.lit(c).alias("name"), F.expr(f"approx_top_k(v{i}, {SAMPLES}, 10000)").alias("t")).alias(f"t{i}") for i, c in enumerate(columns)]
+    one = df.select(*(as_text(df, c).alias(f"v{i}") for i, c in enumerate(columns))).agg(*tops)
+    rows = one.select(F.explode(F.array(*(F.col(f"t{i}") for i in range(len(columns))))).alias("s")).select("s.name", F.col("s.t").alias("t"))
+    return rows.select("name", F.transform(F.filter("t", lambda x: x["item"].isNotNull()), lambda x, i: F.struct((i + 1).cast("int").alias("r"), x["item"].alias("v"), x["count"].alias("cnt"))).alias("ranked"))
+
+
+PROFILE = T.StructType.fromDDL(
+    """dataset_id string, name string, dtype string, n_rows bigint, missing_rate double, unique_rate double, n_unique bigint, min_val double,
+    max_val double, mean_val double, top_values array<string>, sample_values array<string>, inferred_role string, pii_risk boolean,
+    histogram array<struct<lo: double, hi: double, cnt: bigint>>, value_counts map<string, bigint>"""
+)
+
+
+def profile(df: DataFrame, dataset_id: str, key_suffixes: bool = False, exact_rows: int = EXACT_ROWS, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
     """A row for each column with the fields of a column profile; an empty table gives rates of 0 and empty lists.
 
+    Distinct and frequent values are exact for columns of up to ``exact_distinct`` distinct values and sketched beyond.
     Ties among frequent values are ranked by value; samples are the smallest values; nested columns have role UNKNOWN.
     """
-    base = written(scalars(df), "profile-scalars")
-    counts = written(value_frequencies(df, df.columns), "profile-values")
-    unique = counts.groupBy("name").agg(F.count("*").alias("n_unique"))
-    by_count = Window.partitionBy("name").orderBy(F.desc("cnt"), "v")
-    by_value = Window.partitionBy("name").orderBy("v")
-    ranked = counts.withColumn("r", F.row_number().over(by_count)).where(F.col("r") <= KEYS)
-    top = ranked.groupBy("name").agg(
-        F.sort_array(F.collect_list(F.struct("r", "v", "cnt"))).alias("ranked")
-    )
-    samples = counts.withColumn("r", F.row_number().over(by_value)).where(F.col("r") <= SAMPLES).groupBy("name").agg(F.sort_array(F.collect_list("v")).alias("sample_values"))
-    types = {f.name: logical(f.dataType) for f in df.schema.fields}
-    known = base.join(unique, "name", "left").fillna(0, ["n_unique"]).withColumn("unique_rate", F.when(F.col("n_rows") > 0, F.col("n_unique") / F.col("n_rows")).otherwise(0.0))
-    known = known.join(top, "name", "left").join(samples, "name", "left")
-    numbers = [c for c, t in types.items() if t in NUMERIC]
-    empty = "array<struct<lo:double,hi:double,cnt:bigint>>"
-    if numbers:
-        small = (base.agg(F.max("n_rows")).first()[0] or 0) <= exact_rows
-        hist = (exact_histogram if small else cut_histogram)(df, numbers)
-        hist = hist.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("bucket", "lo", "hi", "cnt"))).alias("h"))
-        known = known.join(hist.select("name", F.transform("h", lambda b: F.struct(b.lo.alias("lo"), b.hi.alias("hi"), b.cnt.alias("cnt"))).alias("histogram")), "name", "left")
+    return profile_many({dataset_id: df}, key_suffixes, exact_rows, exact_distinct)
+
+
+def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact_rows: int = EXACT_ROWS, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
+    """The profiles of several data sets by the same few jobs, so that small data sets cost next to nothing.
+
+    Only finished measures come to the driver: a bounded number of values for each column of the schemas.
+    """
+    tables = {d: spread(df) for d, df in tables.items() if df.columns}
+    if not tables:
+        raise ValueError("nothing to profile")
+    spark = next(iter(tables.values())).sparkSession
+    base = {(r["dataset"], r["name"]): r for r in reduce(DataFrame.union, [scalars(df, d) for d, df in tables.items()]).collect()}
+    types = {(d, f.name): logical(f.dataType) for d, df in tables.items() for f in df.schema.fields}
+    exact = {d: [c for c in df.columns if base[d, c]["guessed"] <= exact_distinct] for d, df in tables.items()}
+    sketched = {d: [c for c in df.columns if c not in exact[d]] for d, df in tables.items()}
+    if any(exact.values()):
+        counts = written(value_frequencies(tables, exact), "profile-values")
     else:
-        known = known.withColumn("histogram", F.lit(None).cast(empty))
-    dtype = F.create_map(*(F.lit(x) for kv in types.items() for x in kv))[F.col("name")]
-    role = F.coalesce(*(F.when(F.col("name") == c, role_expr(c, t, F.col("n_unique"), F.col("unique_rate"), key_suffixes)) for c, t in types.items()))
-    pii = F.col("name").isin([c for c in types if pii_risk(c)] or [None])
-    few = (F.col("dtype") == "object") & (F.col("n_unique") <= KEYS)
-    return known.withColumn("dtype", dtype).select(
-        F.lit(dataset_id).alias("dataset_id"), "name", "dtype", "n_rows",
-        F.round(F.when(F.col("n_rows") > 0, 1 - F.col("n_values") / F.col("n_rows")).otherwise(0.0), 4).alias("missing_rate"),
-        F.round("unique_rate", 4).alias("unique_rate"), "n_unique", "min_val", "max_val", F.round("mean_val", 4).alias("mean_val"),
-        F.coalesce(F.transform(F.slice("ranked", 1, TOP), lambda x: x.v), F.array().cast("array<string>")).alias("top_values"),
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
-        role.alias("inferred_role"), F.coalesce(pii, F.lit(False)).alias("pii_risk"),
-        F.when(F.col("n_unique") > FEW, F.col("histogram")).alias("histogram"),
-        F.when(few, F.map_from_entries(F.transform("ranked", lambda x: F.struct(x.v, x.cnt)))).alias("value_counts"),
-    )
+        counts = spark.createDataFrame([], "dataset string, name string, v string, cnt bigint")
+    unique = {(r["dataset"], r["name"]): r["n"] for r in counts.groupBy(*KEY).agg(F.count("*").alias("n")).collect()}
+    top: dict[tuple[str, str], list] = {}
+    by_count = Window.partitionBy(*KEY).orderBy(F.desc("cnt"), "v")
+    for r in counts.withColumn("r", F.row_number().over(by_count)).where(F.col("r") <= KEYS).collect():
+        top.setdefault((r["dataset"], r["name"]), []).append(r)
+    samples: dict[tuple[str, str], list[str]] = {}
+    by_value = Window.partitionBy(*KEY).orderBy("v")
+    for r in counts.withColumn("r", F.row_number().over(by_value)).where(F.col("r") <= SAMPLES).collect():
+        samples.setdefault((r["dataset"], r["name"]), []).append(r["v"])
+    for d, columns in sketched.items():
+        for r in sketched_values(tables[d], columns).collect() if columns else []:
+            k = (d, r["name"])
+            unique[k] = min(base[k]["guessed"], base[k]["n_values"])
+            top[k], samples[k] = r["ranked"], sorted(x["v"] for x in r["ranked"])
+    numbers = [k for k, t in types.items() if t in NUMERIC and unique.get(k, 0) > FEW]
+    small = [k for k in numbers if base[k]["n_rows"] <= exact_rows and k[1] in exact[k[0]]]
+    hists = []
+    if small:
+        picked = spark.createDataFrame(small, "dataset string, name string")  # some columns of the schemas
+        hists.append(exact_histogram(counts.join(F.broadcast(picked), KEY, "left_semi")))
+    for d, df in tables.items():
+        if large := [c for c in df.columns if (d, c) in numbers and (d, c) not in small]:
+            hists.append(cut_histogram(df, large, d))
+    hist: dict[tuple[str, str], list] = {}
+    for r in reduce(DataFrame.unionByName, hists).collect() if hists else []:
+        hist.setdefault((r["dataset"], r["name"]), []).append(r)
+    rows = []
+    for k, t in types.items():
+        b, n, u, ranked = base[k], base[k]["n_rows"], unique.get(k, 0), sorted(top.get(k, []), key=lambda r: r["r"])
+        rate = u / n if n else 0.0
+        few = t == "object" and u <= KEYS
+        rows.append((
+            *k, t, n, round(1 - b["n_values"] / n, 4) if n else 0.0, round(rate, 4), u, b["min_val"], b["max_val"],
+            round(b["mean_val"], 4) if b["mean_val"] is not None else None, [r["v"] for r in ranked[:TOP]], sorted(samples.get(k, [])),
+            role_of(k[1], t, u, rate, key_suffixes), pii_risk(k[1]),
+            [(h["lo"], h["hi"], h["cnt"]) for h in sorted(hist[k], key=lambda h: h["bucket"])] if k in hist else None,
+            {r["v"]: r["cnt"] for r in ranked} if few else None,
+        ))
+    return spark.createDataFrame(rows, PROFILE)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import Path
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakelens.functions.types import DIMENSION, IDENTIFIER
 from lakelens.operators import cards as card_ops
 from lakelens.operators import joins
-from lakelens.operators.profile import profile
+from lakelens.operators.profile import profile_many
 from lakelens.plans import discover as disc
 from lakelens.plans import optimize as opt
 from lakelens.plans.bind import BindingResult, bind, build_plan
@@ -25,8 +24,8 @@ from lakelens.plans.tokens import TokenUsage
 from lakelens.sources.catalog import Catalog
 from lakelens.sources.stores import AuditLog, OverrideStore, save_table
 
-#: Data sets profiled at the same time.
-AT_ONCE = 8
+#: Data sets profiled by the same jobs.
+AT_ONCE = 40
 
 
 class Engine:
@@ -55,15 +54,10 @@ class Engine:
     def build(self, with_joins: bool = True) -> Engine:
         """Profile every data set; one that can't be read is noted and left out."""
 
-        def one(dataset: str) -> DataFrame | None:
-            try:
-                return profile(self.catalog.scan(dataset), dataset, self.key_suffixes)
-            except Exception as e:  # noqa: BLE001 - a lake may hold broken files
-                self.errors[dataset] = str(e)[:300]
-                return None
-
-        with ThreadPoolExecutor(AT_ONCE) as pool:  # jobs of small data sets run beside each other
-            parts = [p for p in pool.map(one, self.catalog) if p is not None]
+        names = list(self.catalog)
+        parts = []
+        for i in range(0, len(names), AT_ONCE):
+            parts += self._profiles(names[i : i + AT_ONCE])
         if not parts:
             raise ValueError("nothing in this lake can be read")
         self.profiles = reduce(DataFrame.unionByName, parts)
@@ -77,6 +71,16 @@ class Engine:
             self.build_joins()
         return self
 
+    def _profiles(self, names: list[str]) -> list[DataFrame]:
+        """The profiles of some data sets together; if that fails, of each alone, to find the broken ones."""
+        try:
+            return [profile_many({n: self.catalog.scan(n) for n in names}, self.key_suffixes)]
+        except Exception as e:  # noqa: BLE001 - a lake may hold broken files
+            if len(names) == 1:
+                self.errors[names[0]] = str(e)[:300]
+                return []
+            return [p for n in names for p in self._profiles([n])]
+
     def load(self) -> Engine:
         """Take the index of an earlier session from ``home``."""
         self.profiles = self.spark.read.parquet(f"{self.home}/profiles")
@@ -86,13 +90,22 @@ class Engine:
         return self
 
     def _load(self) -> None:
+        """Cards and, for a lake of up to ``LOCAL_COLUMNS`` columns, profiles and index entries come to the driver."""
         self.index = card_ops.column_index(self.profiles)
-        self.cards = [Card(**{k: r[k] for k in Card.__dataclass_fields__}) for r in card_ops.dataset_cards(self.profiles).collect()]
-        few = self.profiles.count() <= LOCAL_COLUMNS
-        self.columns = [Column(**{k: r[k] for k in Column.__dataclass_fields__}) for r in self.index.collect()] if few else None
-        if few:
-            for r in self.profiles.collect():
-                self.rows.setdefault(r["dataset_id"], {})[r["name"]] = r.asDict(recursive=True)
+        head = self.profiles.limit(LOCAL_COLUMNS + 1).collect()
+        if len(head) > LOCAL_COLUMNS:
+            self.columns = None
+            self.cards = [self._card(r.asDict()) for r in card_ops.dataset_cards(self.profiles).collect()]
+            return
+        self.rows = {}
+        for r in head:
+            self.rows.setdefault(r["dataset_id"], {})[r["name"]] = r.asDict(recursive=True)
+        self.columns = [Column(**card_ops.entry_of(p)) for own in self.rows.values() for p in own.values()]
+        self.cards = [self._card(card_ops.card_of(list(own.values()))) for own in self.rows.values()]
+
+    @staticmethod
+    def _card(card: dict) -> Card:
+        return Card(**{k: card[k] for k in Card.__dataclass_fields__})
 
     def build_joins(self, least: float = 0.5) -> list[dict]:
         """Edges between key and dimension columns with at least two values; either direction."""
@@ -124,7 +137,8 @@ class Engine:
             candidates = [Candidate(**{k: r[k] for k in ("slot", "hint", "dataset", "column", "role", "dtype", "score", "evidence")}) for r in table.collect()]
         binding = bind(intent, datasets, candidates, self.edges, self.overrides.boost)
         info = {"domain": domain.__dict__, "datasets": datasets, "candidates": len(candidates)}
-        if binding.dataset_id is None or not binding.entries:
+        missing = [h for h in intent.metric_hints if not binding.of("metric")]
+        if binding.dataset_id is None or not binding.entries or missing and intent.agg_func_hint:
             return binding, None, info
         return binding, build_plan(intent, binding), info
 

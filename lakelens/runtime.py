@@ -49,7 +49,9 @@ def small_side(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores: for Python-bound stages over an input of fewer splits than the cluster has cores."""
+def spread(df: DataFrame, least_bytes: int = 1 << 20) -> DataFrame:
+    """``df`` over all cores: for CPU-bound stages over an input of fewer splits than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < least_bytes:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
