@@ -106,11 +106,9 @@ def sketched_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("name", F.transform(F.filter("t", lambda x: x["item"].isNotNull()), lambda x, i: F.struct((i + 1).cast("int").alias("r"), x["item"].alias("v"), x["count"].alias("cnt"))).alias("ranked"))
 
 
-PROFILE = T.StructType.fromDDL(
-    """dataset_id string, name string, dtype string, n_rows bigint, missing_rate double, unique_rate double, n_unique bigint, min_val double,
+PROFILE = """dataset_id string, name string, dtype string, n_rows bigint, missing_rate double, unique_rate double, n_unique bigint, min_val double,
     max_val double, mean_val double, top_values array<string>, sample_values array<string>, inferred_role string, pii_risk boolean,
     histogram array<struct<lo: double, hi: double, cnt: bigint>>, value_counts map<string, bigint>"""
-)
 
 
 def profile(df: DataFrame, dataset_id: str, key_suffixes: bool = False, exact_rows: int = EXACT_ROWS, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
