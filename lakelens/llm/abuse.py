@@ -31,8 +31,8 @@ LEXICON = {
     "BADNESS": """stupid worthless disgusting braindead ugly filthy useless pathetic lying miserable dumb retarded rotten
         dummer dumme dummes verdammter verdammte verdammtes daemlicher elender mieser pauvre sale stupide gros petit
         asqueroso asquerosa inutil maldito maldita estupida sucio""",
-    "YOU": "you your yours youre yourself u ya du dich dir dein deine deiner tu toi te ton ta vous ti usted contigo",
-    "COP": "are is was were be am bist sind ist war es est sont etes son eres era",
+    "YOU": "you your yours youre yourself u ya du dich dir dein deine deiner tu toi te ton ta vous ti usted contigo eres",
+    "COP": "are is was were be am bist sind ist war es est sont etes son eres era r",
     "DET": "a an the ein eine einen der die das den un une le la les des de los las el una such so",
     "VERMIN": """vermin parasites parasite rats rat filth scum cattle thieves liars cockroaches roaches lice maggots pest
         pests plague animals subhuman subhumans savages ungeziefer abschaum ratten parasiten pack dreck vermine ordures
@@ -67,7 +67,7 @@ PHRASES = (
     )
     .add("silence", 1.0, "shut up", "shut (your|the) (mouth|trap|face)", "shut (your|the) FUCK (mouth|up)", "shut the FUCK up", output="SILENCE")
     .add("silence", 1.0, "halt die (fresse|klappe|schnauze)", "halts maul", "halt dein maul", "ferme (ta|la) (gueule|bouche)", "ta gueule", output="GAG")
-    .add("silence", 1.0, "callate", "cierra (la|el) (boca|pico)", "tais toi", output="SILENCE")
+    .add("silence", 1.0, "callate", "cierra (la|el) (boca|pico)", "tais toi", "taistoi", output="SILENCE")
 )
 
 # Uses that are no attack: the word itself, reports of moderation, denial, farming, medicine, engineering, things.
@@ -93,9 +93,9 @@ CLAUSES = (
     # an insult with a person as its target
     .add(
         "abusive", 0.9,
-        "YOU (COP)? (DET)? (.)? (BADNESS)* INSULT", "COP DET (BADNESS)* INSULT BADNESS", "eres (un|una) (BADNESS)* INSULT",
+        "YOU (COP)? (DET)? (.)? (BADNESS)* INSULT", "COP DET (BADNESS)* INSULT BADNESS", "YOU (COP)? (DET)? (BADNESS)* VERMIN",
         "what DET (BADNESS)* INSULT YOU", "hey (BADNESS)* INSULT", "here (BADNESS)* INSULT", "only DET (BADNESS)* INSULT like",
-        "COP DET (BADNESS){1,3} INSULT", "(so|such) (DET)* (BADNESS)* INSULT (wie|like|as) YOU", "espece de (BADNESS)* INSULT",
+        "COP DET (BADNESS){1,3} INSULT", "(so|such) (DET)* (BADNESS)* INSULT (wie|like|as) YOU", "espece (de)? (BADNESS)* INSULT",
         "YOU (COP)? (DET)? (BADNESS){1,3} (INSULT|VERMIN)", "YOU FUCK INSULT", "INSULT like YOU", "SILENCE .{0,2} (BADNESS)* (INSULT|VERMIN|BADNESS)",
         "GAG", "SILENCE . YOU (BADNESS){1,3} .", "YOU COP (so|really|such|too)? (BADNESS){1,2} and", "(niemand|nobody) (braucht|needs) .{0,2} INSULT",
     )
@@ -139,6 +139,8 @@ ENDS = re.compile(r"[.!?…]+[\"'”’)»]*$|[。！？]")
 RUNS = re.compile(r"(.)\1{2,}")
 PAIRS = re.compile(r"(.)\1+")
 NUMBERED = re.compile(r"[^\W\d]\d{2,}$|^\d{2,}\W?[a-z]{0,2}$")  # user names and article numbers are no disguise
+STARRED = re.compile(r"f[*#@$%!_\-]{2,}(k|ck|ing|cking|er|cker)?!*")
+SENTENCE = ".,;:?\"'()[]{}<>«»„“”‘’…¿¡"
 INNER = re.compile(r"[^\w]|_")
 MASKED = re.compile(r"[.*#_\-+%&?�]+")
 UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
@@ -186,9 +188,10 @@ class Lexer:
                 for i in range(1, len(w)):
                     hole = w[:i] + "?" + w[i + 1 :]
                     self.fuzzy[hole] = (*self.fuzzy.get(hole, ()), w)
+        self.longest = max(map(len, self.labels))
         self.single = {PAIRS.sub(r"\1", w): w for w in sorted(content) if len(w) >= 3}
         hot = {"INSULT", "BADNESS", "GROUP", "VERMIN", "HARM", "KILL", "FUCK", "LEWD", "SEXUAL"}
-        hot_words = {"shut", "halt", "gueule", "callate", "tais", "ashamed", "crawl", "cage", "disappear", "screw", "wants", "mouth", "waste", "norren", "tavia", "burn", "rid", "echarlos", "people", "finished"}
+        hot_words = {"shut", "halt", "gueule", "callate", "tais", "ashamed", "crawl", "cage", "disappear", "screw", "wants", "mouth", "waste", "garbage", "trash", "sack", "norren", "tavia", "burn", "rid", "echarlos", "people", "finished"}
         self.memo: dict[str, tuple[Labels, bool, bool]] = {}
         self.cold: set[str] = set()
         self.frozen = {w: (frozenset(v) | {w}, w != "die" and bool(v & hot) or w in hot_words) for w, v in self.labels.items()}
@@ -198,6 +201,8 @@ class Lexer:
         plain = folded(token).strip(EDGES)
         if plain in self.labels:
             return (plain,)
+        if STARRED.fullmatch(folded(token).strip(SENTENCE)):
+            return ("fuck",)
         if plain.isalpha() and plain.isascii() and not RUNS.search(plain):
             return ()
         if not plain or len(plain) > 60 or NUMBERED.search(plain) or not any(c.isalpha() for c in plain):
@@ -205,7 +210,7 @@ class Lexer:
         umlauts = folded(unicodedata.normalize("NFC", token).lower().translate(UMLAUTS)).strip(EDGES)
         if umlauts in self.labels:
             return (umlauts,)
-        raw = folded(token).strip(".,;:?\"'()[]{}<>«»„“”‘’…¿¡")
+        raw = folded(token).strip(SENTENCE)
         tries = [raw, raw.rstrip("!")]
         for leet in (raw.translate(LEET), raw.rstrip("!").translate(LEET), raw.replace("1", "l").translate(LEET)):
             tries.append(leet)
@@ -219,8 +224,8 @@ class Lexer:
                         return (u,)
                 if (u := PAIRS.sub(r"\1", joined)) in self.single:
                     return (self.single[u],)
-        if re.fullmatch(r"f[\W_]{2,}(k|ck)?", raw):
-            return ("fuck",)
+        if (tail := re.split(r"['’]", plain)[-1]) != plain and tail in self.labels and len(tail) > 2:
+            return (tail,)  # an elided article
         for t in (raw, raw.translate(LEET)):
             for u in (t, RUNS.sub(r"\1", t)):
                 holes = MASKED.findall(u)
@@ -260,19 +265,24 @@ class Lexer:
         i = 0
         while i < len(tokens):
             j = i
-            while j < len(tokens) and len(letter := folded(tokens[j]).strip(EDGES)) == 1 and not letter.isdigit():
+            while j < len(tokens) and (len(letter := folded(tokens[j]).strip(EDGES)) == 1 and not letter.isdigit() or j > i and not letter and len(tokens[j]) == 1):
                 j += 1
-                if tokens[j - 1][-1] in ".,!?;:" and j - i >= 3:
+                if letter and tokens[j - 1][-1] in ".,!?;:" and j - i >= 3:
                     break
             if j - i < 3:
                 out.append(tokens[i])
                 i += 1
                 continue
-            text, k = "".join(folded(t).strip(EDGES) for t in tokens[i:j]).translate(LEET), 0
+            text = "".join(folded(t).strip(EDGES) for t in tokens[i:j]).translate(LEET)
+            # the split into known words with the largest sum of squared lengths
+            best: list[tuple[int, int]] = [(0, 0)] * (len(text) + 1)
+            for k in range(len(text) - 1, -1, -1):
+                sizes = [n for n in range(2, min(len(text) - k, self.longest) + 1) if text[k : k + n] in self.labels]
+                best[k] = max([(best[k + 1][0], 1), *((best[k + n][0] + n * n, n) for n in sizes)])
+            k = 0
             while k < len(text):
-                size = next((n for n in range(len(text) - k, 1, -1) if text[k : k + n] in self.labels), 0)
-                out.append(text[k : k + size] if size else text[k])
-                k += size or 1
+                out.append(text[k : k + best[k][1]])
+                k += best[k][1]
             out[-1] += tokens[j - 1].lstrip(tokens[j - 1].strip(EDGES)) if out else ""
             i = j
         return out
