@@ -10,8 +10,9 @@ identifier; no intersection is materialised.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.runtime import written
@@ -104,6 +105,13 @@ def identifiers(values: DataFrame, value_col: str = "value", set_col: str = "set
     return values.select(plain.alias("value"), values[set_col].cast("long").alias("set_id"), *extra)
 
 
+def _after(values: DataFrame, newest: datetime, days: int) -> Column:
+    """``newest`` minus the days, in the column's own type whatever time zone the driver is in."""
+    kind = values.schema["seen_ts"].dataType
+    at = F.lit(str(newest)).cast(kind) if kind.simpleString() != "timestamp" else F.lit(newest)
+    return at - F.expr(f"interval {int(days)} days")
+
+
 def overlaps_by_days(values: DataFrame, last_days: int = 7) -> Overlaps:
     """The state after a bulk load of all but the last days, and one increment with these days."""
     rows = identifiers(values).withColumn("member", F.lit(True))
@@ -111,7 +119,7 @@ def overlaps_by_days(values: DataFrame, last_days: int = 7) -> Overlaps:
     state = Overlaps.empty(values.sparkSession)
     if newest is None:
         return state.apply(rows.drop("seen_ts"))
-    recent = F.coalesce(F.col("seen_ts") > F.lit(newest) - F.expr(f"interval {int(last_days)} days"), F.lit(False))
+    recent = F.coalesce(F.col("seen_ts") > _after(values, newest, last_days), F.lit(False))
     return state.apply(rows.where(~recent).drop("seen_ts")).apply(rows.where(recent).drop("seen_ts"))
 
 
@@ -123,5 +131,5 @@ def overlaps_in_window(values: DataFrame, last_days: int = 14) -> Overlaps:
     if newest is None:
         return state
     seen = rows.groupBy("value", "set_id").agg(F.max("seen_ts").alias("last"))
-    gone = ~F.coalesce(F.col("last") > F.lit(newest) - F.expr(f"interval {int(last_days)} days"), F.lit(False))
+    gone = ~F.coalesce(F.col("last") > _after(values, newest, last_days), F.lit(False))
     return state.apply(seen.where(gone).select("value", "set_id", F.lit(False).alias("member")))
