@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.llm.codebook import slices
-from lakelens.llm.fst import Labels, Transducer
+from lakelens.llm.fst import Labels, Rule, Transducer
 from lakelens.runtime import spread
 
 THRESHOLD = 0.5
@@ -144,6 +144,8 @@ SENTENCE = ".,;:?\"'()[]{}<>«»„“”‘’…¿¡"
 INNER = re.compile(r"[^\w]|_")
 MASKED = re.compile(r"[.*#_\-+%&?�]+")
 UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
+CARRIERS = ("LEWD", "SEXUAL")  # without one of them a clause isn't about sex
+COMMON = {"YOU": 100, "COP": 100, "DET": 100, "HINT": 100, "CLINIC": 100, "HARM": 50}  # how common labels are; HARM holds the article "die"
 NOTHING: Labels = frozenset()
 OUTSIDE: Labels = frozenset({"OTHER"})
 
@@ -164,6 +166,36 @@ def folded(token: str) -> str:
     return text
 
 
+class Gate:
+    """Which clauses are worth reading, from the rules themselves.
+
+    A rule can match only a clause that holds a label of each set of ``Pattern.needs``, be it of a token or written by
+    a phrase or context that can match. ``hot`` has one such set of each rule; a clause without a hot token scores 0.
+    """
+
+    def __init__(self, phrases: Transducer):
+        self.writers = [*phrases.rules, *CONTEXT.rules]
+        self.deciding = [r for r in CLAUSES.rules if r.weight > 0 and (r.name != "lewd" or not r.pattern.first.isdisjoint(CARRIERS))]
+        self.hot: set[str] = set().union(*(self.key(r) for r in self.deciding))
+        waiting = list(self.writers)
+        while ready := [r for r in waiting if not r.output.isdisjoint(self.hot)]:
+            waiting = [r for r in waiting if r not in ready]
+            self.hot.update(*(self.key(r) for r in ready))
+
+    @staticmethod
+    def key(rule: Rule) -> Labels:
+        """The needed set that texts are least likely to hold."""
+        return min(rule.pattern.needs, key=lambda need: sum(COMMON.get(x, 1 if x.isupper() else 20 / len(x)) for x in need))
+
+    def opens(self, labels: list[Labels]) -> bool:
+        """Whether some rule that decides can match a clause of these labels."""
+        held = set().union(*labels)
+        for r in self.writers:
+            if not r.output <= held and all(not n.isdisjoint(held) for n in r.pattern.needs):
+                held |= r.output
+        return any(all(not n.isdisjoint(held) for n in r.pattern.needs) for r in self.deciding)
+
+
 class Lexer:
     """The lexical transducer: surface token -> labels, through all spellings that a reader would see through."""
 
@@ -190,11 +222,10 @@ class Lexer:
                     self.fuzzy[hole] = (*self.fuzzy.get(hole, ()), w)
         self.longest = max(map(len, self.labels))
         self.single = {PAIRS.sub(r"\1", w): w for w in sorted(content) if len(w) >= 3}
-        hot = {"INSULT", "BADNESS", "GROUP", "VERMIN", "HARM", "KILL", "FUCK", "LEWD", "SEXUAL"}
-        hot_words = {"shut", "halt", "gueule", "callate", "tais", "ashamed", "crawl", "cage", "disappear", "screw", "wants", "mouth", "waste", "garbage", "trash", "sack", "norren", "tavia", "burn", "rid", "echarlos", "people", "finished"}
+        self.gate = Gate(self.phrases)
         self.memo: dict[str, tuple[Labels, bool, bool]] = {}
         self.cold: set[str] = set()
-        self.frozen = {w: (frozenset(v) | {w}, w != "die" and bool(v & hot) or w in hot_words) for w, v in self.labels.items()}
+        self.frozen = {w: frozenset(v) | {w} for w, v in self.labels.items()}
 
     def words(self, token: str) -> tuple[str, ...]:
         """The lexicon words that ``token`` may spell; more than one only where a letter is masked."""
@@ -239,13 +270,12 @@ class Lexer:
         if found is None:
             if len(self.memo) > 400_000:
                 self.memo.clear()
-            spelled = [self.frozen[w] for w in self.words(token)]
-            labels, hot = frozenset().union(*(x for x, _ in spelled)) or OUTSIDE, any(h for _, h in spelled)
-            found = self.memo[token] = (labels, hot, bool(ENDS.search(token)))
+            labels = frozenset().union(*(self.frozen[w] for w in self.words(token))) or OUTSIDE
+            found = self.memo[token] = (labels, not self.gate.hot.isdisjoint(labels), bool(ENDS.search(token)))
         return found
 
     def quiet(self, tokens: list[str]) -> bool:
-        """Whether no token makes a clause worth reading: no labelled word, and no consonant that stands alone."""
+        """Whether no token makes a clause worth reading: no hot word, and no letter that stands alone and may be part of one."""
         if self.cold.issuperset(tokens):
             return True
         if len(self.cold) > 400_000:
@@ -298,7 +328,7 @@ class Scorer:
         labels = CONTEXT.rewrite(self.lexer.phrases.rewrite(labels))
         found = CLAUSES.score(labels)
         lewd = found.get("lewd", 0.0) + found.get("clinic", 0.0)
-        carries = any(not x.isdisjoint(("LEWD", "SEXUAL")) for x in labels)
+        carries = any(not x.isdisjoint(CARRIERS) for x in labels)
         return found.get("abusive", 0.0), found.get("hateful", 0.0), lewd if carries else 0.0
 
     def score(self, text: str | None) -> tuple[float, float, float]:
@@ -317,7 +347,7 @@ class Scorer:
                 labels.append(one)
                 hot |= is_hot
                 if ends or k + 1 == len(tokens):
-                    if hot:
+                    if hot and self.lexer.gate.opens(labels):
                         for i, s in enumerate(self.clause(labels)):
                             top[i] = max(top[i], s)
                     labels, hot = [], False

@@ -11,20 +11,24 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import product
 
 Labels = frozenset[str]
 LEX = re.compile(r"\{\d+,\d+\}|[()|?*.]|[^\s(){}|?*.]+")
 
 
 class Pattern:
-    """An automaton without empty moves: ``arcs[state]`` lists (label or None for any, next state)."""
+    """An automaton without empty moves: ``arcs[state]`` lists (label or None for any, next state).
+
+    Every match has a token of each set of labels in ``needs``.
+    """
 
     def __init__(self, text: str):
         self.tokens = LEX.findall(text)
         self.moves: list[list[tuple[str | None, int]]] = []
         self.empty: list[list[int]] = []
         self.at = 0
-        start, end = self._alternatives()
+        start, end, self.needs = self._alternatives()
         if self.at != len(self.tokens):
             raise ValueError(f"unbalanced pattern: {text}")
         closure = [self._closure(s) for s in range(len(self.moves))]
@@ -47,22 +51,25 @@ class Pattern:
                     todo.append(n)
         return seen
 
-    def _alternatives(self) -> tuple[int, int]:
+    def _alternatives(self) -> tuple[int, int, list[Labels]]:
         start, end = self._state(), self._state()
+        branches = []
         while True:
-            a, b = self._sequence()
+            a, b, needs = self._sequence()
+            branches.append(needs)
             self.empty[start].append(a)
             self.empty[b].append(end)
             if self.at < len(self.tokens) and self.tokens[self.at] == "|":
                 self.at += 1
                 continue
-            return start, end
+            return start, end, [frozenset().union(*one) for one in product(*branches)]
 
-    def _sequence(self) -> tuple[int, int]:
+    def _sequence(self) -> tuple[int, int, list[Labels]]:
         start = end = self._state()
+        needs: list[Labels] = []
         while self.at < len(self.tokens) and self.tokens[self.at] not in ")|":
             here = self.at
-            a, b = self._atom()
+            a, b, met = self._atom()
             low, high = 1, 1
             if self.at < len(self.tokens) and self.tokens[self.at][0] in "?*{":
                 mark = self.tokens[self.at]
@@ -72,8 +79,9 @@ class Pattern:
             copies = [(a, b)]
             while len(copies) < high:
                 self.at = here
-                copies.append(self._atom())
+                copies.append(self._atom()[:2])
             self.at = after
+            needs += met if low else []
             for k, (a, b) in enumerate(copies):
                 self.empty[end].append(a)
                 done = self._state()
@@ -81,18 +89,18 @@ class Pattern:
                 if k >= low:
                     self.empty[end].append(done)
                 end = done
-        return start, end
+        return start, end, needs
 
-    def _atom(self) -> tuple[int, int]:
+    def _atom(self) -> tuple[int, int, list[Labels]]:
         token = self.tokens[self.at]
         self.at += 1
         if token == "(":
-            a, b = self._alternatives()
+            a, b, needs = self._alternatives()
             self.at += 1
-            return a, b
+            return a, b, needs
         a, b = self._state(), self._state()
         self.moves[a].append((None if token == "." else token, b))
-        return a, b
+        return a, b, [] if token == "." else [frozenset({token})]
 
     def words(self) -> set[str]:
         """The literal words (not labels) of the pattern."""

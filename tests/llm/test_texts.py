@@ -156,3 +156,45 @@ def test_scores_of_rows(spark):
     rows = abuse.content_scores(df, keep=("source",)).collect()
     assert [r.flagged for r in sorted(rows, key=lambda r: r.doc_id or 0)] == [False, True, True, False] and rows[0].asDict().keys() >= {"doc_id", "source", "score", "sexual"}
     assert abuse.content_scores(df.limit(0)).count() == 0
+
+
+def own_sentence(pattern: Pattern) -> str:
+    """The shortest text that ``pattern`` matches, with a word of the lexicon for each label."""
+    word = {"GROUP": "Dunari", "SILENCE": "shut up", "GAG": "ta gueule", "YOU": "you", "HARM": "choke", "DET": "the", "COP": "are", "BADNESS": "stupid", "VERMIN": "vermin", "INSULT": "idiot", "KILL": "kill", "FUCK": "fuck"}
+    paths = [(pattern.start, [])]
+    for state, path in paths:
+        if path and pattern.final[state]:
+            return " ".join(word.get(x, abuse.LEXICON.get(x, x).split()[0]) for x in path)
+        paths += [(n, [*path, label or "quite"]) for label, n in sorted(pattern.arcs[state], key=str)]
+    raise ValueError("no match")
+
+
+def test_every_rule_passes_the_gate():
+    scorer, dead = abuse.Scorer(), []
+    for rule in abuse.CLAUSES.rules:
+        if rule.weight >= abuse.THRESHOLD and max(scorer.score(own_sentence(rule.pattern))) < abuse.THRESHOLD:
+            dead.append(own_sentence(rule.pattern))
+    assert not dead
+    for rule in abuse.PHRASES.rules:
+        text = own_sentence(rule.pattern)
+        text = f"you {text}" if "INSULT" in rule.output else f"{text} idiot"
+        assert max(scorer.score(text)) >= abuse.THRESHOLD, text
+
+
+@pytest.mark.parametrize("text", [
+    "I hope you die", "You deserve to die", "I will find out where you live", "no one will miss you", "ich mach dich fertig", "Ich bring dich um", "Halts Maul",
+    "ferme ta bouche", "raus mit ihnen",
+])
+def test_clauses_without_insults(text):
+    assert max(abuse.Scorer().score(text)) >= abuse.THRESHOLD
+
+
+def test_gate_opens_wherever_a_rule_matches():
+    scorer, rng = abuse.Scorer(), random.Random(5)
+    some = sorted(set(scorer.lexer.labels))
+    for _ in range(3000):
+        tokens = [rng.choice(some) for _ in range(rng.randrange(1, 7))]
+        labels = [scorer.lexer.look(t)[0] for t in tokens]
+        abusive, hateful, sexual = scorer.clause(labels)
+        if abusive or hateful or sexual > 0:
+            assert scorer.lexer.gate.opens(labels) and not scorer.lexer.quiet(tokens), tokens
