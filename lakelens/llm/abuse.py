@@ -138,11 +138,16 @@ EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…¿¡*_~`-–—�"
 ENDS = re.compile(r"[.!?…]+[\"'”’)»]*$|[。！？]")
 RUNS = re.compile(r"(.)\1{2,}")
 PAIRS = re.compile(r"(.)\1+")
+PAIRS_OR_ONE = re.compile(r"(.)\1*")
 NUMBERED = re.compile(r"[^\W\d]\d{2,}$|^\d{2,}\W?[a-z]{0,2}$")  # user names and article numbers are no disguise
 STARRED = re.compile(r"f[*#@$%!_\-]{2,}(k|ck|ing|cking|er|cker)?!*")
 SENTENCE = ".,;:?\"'()[]{}<>«»„“”‘’…¿¡"
 INNER = re.compile(r"[^\w]|_")
 MASKED = re.compile(r"[.*#_\-+%&?�]+")
+MASKED_OR_NOT = re.compile(r"[.*#_\-+%&?�]+|[^.*#_\-+%&?�]+")
+JOINERS = frozenset(".-+&?")
+# ordinary words of the four languages that doubled letters alone tell from words of the lexicon
+ORDINARY = frozenset("bitte bocca fills gross looser loosers magots morron morros pettit raten root roten saale salle soon staab striping".split())
 UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
 CARRIERS = ("LEWD", "SEXUAL")  # without one of them a clause isn't about sex
 COMMON = {"YOU": 100, "COP": 100, "DET": 100, "HINT": 100, "CLINIC": 100, "HARM": 50}  # how common labels are; HARM holds the article "die"
@@ -215,13 +220,19 @@ class Lexer:
         for w in self.phrases.words() | CONTEXT.words() | CLAUSES.words():
             self.labels.setdefault(w, set())
         self.fuzzy: dict[str, tuple[str, ...]] = {}
+        self.masked: dict[str, list[str]] = {}
         for w in sorted(content | {w for w in self.labels if len(w) > 4}):
             if len(w) >= 3 and not self.labels[w] & {"DET", "COP", "HINT", "YOU", "CLINIC"}:
+                self.masked.setdefault(w[0], []).append(w)
                 for i in range(1, len(w)):
                     hole = w[:i] + "?" + w[i + 1 :]
                     self.fuzzy[hole] = (*self.fuzzy.get(hole, ()), w)
         self.longest = max(map(len, self.labels))
         self.single = {PAIRS.sub(r"\1", w): w for w in sorted(content) if len(w) >= 3}
+        self.doubled: dict[str, list[str]] = {}
+        for w in sorted(content):
+            if len(w) >= 3 and (not self.labels[w] <= {"DET", "COP", "HINT", "YOU", "CLINIC"} or not self.labels[w] and len(w) > 3):
+                self.doubled.setdefault(PAIRS.sub(r"\1", w), []).append(w)
         self.gate = Gate(self.phrases)
         self.memo: dict[str, tuple[Labels, bool, bool]] = {}
         self.cold: set[str] = set()
@@ -235,8 +246,8 @@ class Lexer:
         if STARRED.fullmatch(folded(token).strip(SENTENCE)):
             return ("fuck",)
         if plain.isalpha() and plain.isascii() and not RUNS.search(plain):
-            return ()
-        if not plain or len(plain) > 60 or NUMBERED.search(plain) or not any(c.isalpha() for c in plain):
+            return self.redoubled(plain)
+        if not plain or NUMBERED.search(plain) or not any(c.isalpha() for c in plain):
             return ()
         umlauts = folded(unicodedata.normalize("NFC", token).lower().translate(UMLAUTS)).strip(EDGES)
         if umlauts in self.labels:
@@ -257,11 +268,46 @@ class Lexer:
                     return (self.single[u],)
         if (tail := re.split(r"['’]", plain)[-1]) != plain and tail in self.labels and len(tail) > 2:
             return (tail,)  # an elided article
-        for t in (raw, raw.translate(LEET)):
+        for t in (raw, raw.rstrip("!"), raw.translate(LEET)):
             for u in (t, RUNS.sub(r"\1", t)):
                 holes = MASKED.findall(u)
                 if len(holes) == 1 and (w := self.fuzzy.get(MASKED.sub("?", u))):
                     return w
+                if holes and (w := self.unmasked(u)):
+                    return w
+        return ()
+
+    def redoubled(self, plain: str) -> tuple[str, ...]:
+        """The word whose letters ``plain`` doubles, or from five letters on also writes once instead of twice."""
+        if plain in ORDINARY:
+            return ()
+        once = PAIRS.sub(r"\1", plain)
+        for w in self.doubled.get(once, ()):
+            runs = zip(PAIRS_OR_ONE.finditer(plain), PAIRS_OR_ONE.finditer(w))
+            if len(once) >= 5 or all(len(a.group()) >= len(b.group()) for a, b in runs):
+                return (w,)
+        return ()
+
+    def unmasked(self, token: str) -> tuple[str, ...]:
+        """The words that fit the letters of ``token``: the first and at least one more.
+
+        A masked run stands for as many letters as it is long, else for fewer, or, if half of the word's letters are
+        written, a run of stars for any number.
+        """
+        letters = MASKED.sub("", token)
+        if len(letters) < 2 or len(letters) > self.longest or not letters.isalpha() or not token[0].isalpha():
+            return ()
+        words = [w for w in self.masked.get(token[0], ()) if len(w) > len(letters)]
+        parts = MASKED_OR_NOT.findall(token)
+        if sum(map(bool, map(MASKED.fullmatch, parts))) > 1 and not JOINERS.isdisjoint(token):
+            return ()  # abbreviations and compounds
+        for many in (".{%d}", ".{1,%d}"):
+            fits = re.compile("".join(many % len(p) if MASKED.fullmatch(p) else p for p in parts))
+            if found := tuple(w for w in words if fits.fullmatch(w)):
+                return found
+        if set(token) - set(letters) <= {"*", "#"}:
+            fits = re.compile("".join(".+" if MASKED.fullmatch(p) else p for p in parts))
+            return tuple(w for w in words if 2 * len(letters) >= len(w) and fits.fullmatch(w))
         return ()
 
     def look(self, token: str) -> tuple[Labels, bool, bool]:

@@ -198,3 +198,24 @@ def test_gate_opens_wherever_a_rule_matches():
         abusive, hateful, sexual = scorer.clause(labels)
         if abusive or hateful or sexual > 0:
             assert scorer.lexer.gate.opens(labels) and not scorer.lexer.quiet(tokens), tokens
+
+
+@pytest.mark.parametrize("token,word", [
+    ("id**t", "idiot"), ("a**hole", "asshole"), ("m*r*n", "moron"), ("b**bs", "boobs"), ("c**t", "cunt"), ("w*nk*r", "wanker"), ("i*i*t!", "idiot"), ("id*t", "idiot"),
+    ("idiiot", "idiot"), ("stuupid", "stupid"), ("moronn", "moron"), ("ashole", "asshole"), ("fuuck", "fuck"), ("id" + "i" * 90 + "ot", "idiot"),
+])
+def test_disguises(token, word):
+    assert word in abuse.Lexer().words(token)
+
+
+@pytest.mark.parametrize("token", ["Bobs", "shot", "root", "roten", "bitte", "co-op", "AT&T", "t.t.s", "u.s.", "C++", "B�che", "Stra�e", "morrón", "a*b", "**", "z" * 500])
+def test_no_disguises(token):
+    found = abuse.Lexer().words(token)
+    assert not found or found == (token.lower(),)
+
+
+def test_disguised_passages():
+    scorer = abuse.Scorer()
+    for text in ("You are an id**t", "you m*r*n", "you stuupid idiiot", "you are a stupid a**hole", "You are an " + "idi" + "o" * 80 + "t"):
+        assert scorer.score(text)[0] >= abuse.THRESHOLD, text
+    assert max(scorer.score("The root of the tree was gross")) < abuse.THRESHOLD
