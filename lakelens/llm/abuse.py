@@ -49,6 +49,37 @@ LEXICON = {
         clips housewives hour slid frauen warten femmes soir mujeres noche want huge came night hand service signup""",
     "CLINIC": """health gesundheit sexuellen sexual education courses course clinic cancer screening study gallery museum
         sheep ledger biology anatomy patients doctor research survey leaflets sante depistage salud lesson school""",
+    # what is said of people only
+    "SCUM": """scum filth thieves liars savages subhuman subhumans criminals rapists thugs abschaum pack dreck diebe luegner verbrecher racaille
+        voleurs menteurs escoria basura ladrones mentirosos воры отбросы мрази подонки""",
+}
+
+# Russian words are folded like texts; Japanese ones are cut out of the running text.
+RUSSIAN = {
+    "INSULT": "идиот идиотка идиоты дурак дура дураки дебил дебилы кретин урод мразь ублюдок сволочь козел придурок скотина подонок шлюха сука мудак тупица ничтожество",
+    "BADNESS": "тупой тупая тупые глупый глупая грязный грязная грязные мерзкий мерзкая мерзкие жалкий жалкая вонючий вонючая вонючие",
+    "YOU": "ты тебя тебе тобой твой твоя вы вас вам",
+    "VERMIN": "отбросы паразиты мрази твари крысы животные",
+    "HARM": "умри умереть сдохни сдохнуть",
+    "KILL": "убью убить зарежу",
+    "GAG": "заткнись заткнитесь",
+    "LEWD": "порно порнуха сиськи",
+    "SEXUAL": "секс голые голая эротика интим",
+    "HINT": "видео бесплатно девушки онлайн горячие",
+    "GROUP": "мигранты мигрантов мигрантам евреи евреев цыгане цыган мусульмане мусульман иностранцы иностранцев беженцы беженцев",
+}
+JAPANESE = {
+    "INSULT": "馬鹿 バカ ばか野郎 馬鹿野郎 アホ クズ くそ野郎 クソ野郎 ゴミ野郎 間抜け",
+    "YOU": "お前 おまえ てめえ 貴様 あなた",
+    "VERMIN": "害虫 寄生虫 ゴミ クズ",
+    "KILL": "殺す 殺してやる ぶっ殺す",
+    "GAG": "死ね くたばれ 黙れ",
+    "LEWD": "ポルノ エロ動画 無修正 巨乳 おっぱい",
+    "SEXUAL": "セックス 全裸 エロ ヌード",
+    "HINT": "動画 無料",
+    "GROUP": "移民 難民 外国人 ユダヤ人 黒人",
+    "OUTWARD": "出て行け 追い出せ",
+    "OTHER": "バカンス アホウドリ ゴミ箱 エロス",
 }
 
 GROUPS = (
@@ -97,7 +128,7 @@ CLAUSES = (
         "what DET (BADNESS)* INSULT YOU", "hey (BADNESS)* INSULT", "here (BADNESS)* INSULT", "only DET (BADNESS)* INSULT like",
         "COP DET (BADNESS){1,3} INSULT", "(so|such) (DET)* (BADNESS)* INSULT (wie|like|as) YOU", "espece (de)? (BADNESS)* INSULT",
         "YOU (COP)? (DET)? (BADNESS){1,3} (INSULT|VERMIN)", "YOU FUCK INSULT", "INSULT like YOU", "SILENCE .{0,2} (BADNESS)* (INSULT|VERMIN|BADNESS)",
-        "GAG", "SILENCE . YOU (BADNESS){1,3} .", "YOU COP (so|really|such|too)? (BADNESS){1,2} and", "(niemand|nobody) (braucht|needs) .{0,2} INSULT",
+        "GAG", "YOU .? KILL", "HARM INSULT", "SILENCE . YOU (BADNESS){1,3} .", "YOU COP (so|really|such|too)? (BADNESS){1,2} and", "(niemand|nobody) (braucht|needs) .{0,2} INSULT",
     )
     .add(
         "abusive", 0.9,
@@ -123,6 +154,18 @@ CLAUSES = (
         "bus with GROUP", "GROUP .{0,4} (raus|dehors|echarlos|echarlas|weg)", "GROUP COP DET? (BADNESS)+ ", "GROUP COP de? la? VERMIN",
         "(send|ship|throw) .{0,4} GROUP .{0,3} (back|out|away|bottom)", "(BADNESS){1,2} GROUP", "GROUP (go|get) (home|out|back|lost)",
     )
+    # the same of a group that no list names: a capitalised unknown noun (NAMED; also PLURAL: PEOPLE) in the group's place
+    .add(
+        "hateful", 0.9,
+        "(all|the|these|those|tous|les|todos|los) NAMED (are|were|sont|son) (all|nothing|just|but){0,2} .{0,2} (BADNESS)* VERMIN",
+        "(all|the|these|those|tous|les|todos|los) NAMED (are|were|sont|son) (all|nothing|just|but){0,2} .{0,2} (BADNESS)* SCUM",
+        "(alle|die|diese) NAMED sind (alle|nur|nichts|als){0,3} DET? ((BADNESS){1,3} VERMIN|(BADNESS)* SCUM)", "todos (los|las) PLURAL son (DET)* (BADNESS)* SCUM",
+        "PEOPLE are (all|nothing|just|but){0,2} ((BADNESS){1,3} VERMIN|(BADNESS)* SCUM)", "NAMED they COP (all)? (DET)? (BADNESS)* (VERMIN|SCUM)",
+        "keep DET? NAMED out of (our|this|the) (schools|school|country|town|city|neighbourhood|neighborhood|streets|land)", "never (hire|marry|serve) DET? PEOPLE",
+        "(deport|expel) (all|every|those|these|the|DET){1,2} NAMED", "(KILL|exterminate|gas) all DET? PEOPLE", "(send|ship|throw) (all)? DET? PEOPLE (back|out)",
+        "NAMED raus aus (deutschland|unserem|unserer)", "(dehors|fuera|mort|muerte) (a)? (aux|les|los) (NAMED|PLURAL)", "PEOPLE (do not|dont) count as human", "PEOPLE (are not|arent) human",
+        "(every|each) last one of DET PEOPLE", "все . SCUM", "GROUP (は|が|も|なんて) (VERMIN|INSULT)", "(вон|долои) GROUP", "(убить|выгнать) (всех)? GROUP", "GROUP .{0,2} OUTWARD",
+    )
     .add("hateful", 0.6, "burn their (houses|homes|churches|shops)", "(raus|weg) mit ihnen", "hay que echarlos", "driven out of (town|the|our)", "get rid of them")
     # sex, by the sum of what the clause holds
     .add("lewd", 0.4, "LEWD")
@@ -150,7 +193,9 @@ JOINERS = frozenset(".-+&?")
 ORDINARY = frozenset("bitte bocca fills gross looser loosers magots morron morros pettit raten root roten saale salle soon staab striping".split())
 UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
 CARRIERS = ("LEWD", "SEXUAL")  # without one of them a clause isn't about sex
-COMMON = {"YOU": 100, "COP": 100, "DET": 100, "HINT": 100, "CLINIC": 100, "HARM": 50}  # how common labels are; HARM holds the article "die"
+COMMON = {"YOU": 100, "COP": 100, "DET": 100, "HINT": 100, "CLINIC": 100, "HARM": 50, "NAMED": 100, "PLURAL": 100, "PEOPLE": 100, "OTHER": 100}  # how common labels are; HARM holds the article "die"
+UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+CUTS = re.compile("|".join(sorted({w for text in JAPANESE.values() for w in text.split()}, key=lambda w: (-len(w), w))))
 NOTHING: Labels = frozenset()
 OUTSIDE: Labels = frozenset({"OTHER"})
 
@@ -171,6 +216,15 @@ def folded(token: str) -> str:
     return text
 
 
+def outside(token: str) -> Labels:
+    """The labels of a word that the lexicon doesn't hold, by its form."""
+    core = token.strip(EDGES)
+    if len(core) < 3 or not core.isalpha():
+        return OUTSIDE
+    named, plural = core[0].isupper() and core[1:].islower(), core[-1] in "sx"
+    return OUTSIDE | {x for x, holds in (("NAMED", named), ("PLURAL", plural), ("PEOPLE", named and plural)) if holds}
+
+
 class Gate:
     """Which clauses are worth reading, from the rules themselves.
 
@@ -206,9 +260,9 @@ class Lexer:
 
     def __init__(self, groups: tuple[str, ...] = GROUPS):
         self.labels: dict[str, set[str]] = {}
-        for label, text in LEXICON.items():
+        for label, text in [*LEXICON.items(), *RUSSIAN.items(), *JAPANESE.items()]:
             for w in text.split():
-                self.labels.setdefault(w, set()).add(label)
+                self.labels.setdefault(w if UNSPACED.search(w) else folded(w), set()).add(label)
         self.phrases = Transducer(list(PHRASES.rules))
         for g in groups:
             parts = folded(g).split()
@@ -240,6 +294,8 @@ class Lexer:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The lexicon words that ``token`` may spell; more than one only where a letter is masked."""
+        if UNSPACED.search(token):
+            return (token,) if token in self.labels else ()
         plain = folded(token).strip(EDGES)
         if plain in self.labels:
             return (plain,)
@@ -316,7 +372,7 @@ class Lexer:
         if found is None:
             if len(self.memo) > 400_000:
                 self.memo.clear()
-            labels = frozenset().union(*(self.frozen[w] for w in self.words(token))) or OUTSIDE
+            labels = frozenset().union(*(self.frozen[w] for w in self.words(token))) or outside(token)
             found = self.memo[token] = (labels, not self.gate.hot.isdisjoint(labels), bool(ENDS.search(token)))
         return found
 
@@ -379,6 +435,8 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, float, float]:
         top = [0.0, 0.0, 0.0]
+        if text and not text.isascii() and UNSPACED.search(text):
+            text = CUTS.sub(r" \g<0> ", unicodedata.normalize("NFKC", text).replace("。", "。 "))
         if not text or self.lexer.quiet(text.split()):
             return tuple(top)
         look = self.lexer.look

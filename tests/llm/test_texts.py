@@ -160,7 +160,7 @@ def test_scores_of_rows(spark):
 
 def own_sentence(pattern: Pattern) -> str:
     """The shortest text that ``pattern`` matches, with a word of the lexicon for each label."""
-    word = {"GROUP": "Dunari", "SILENCE": "shut up", "GAG": "ta gueule", "YOU": "you", "HARM": "choke", "DET": "the", "COP": "are", "BADNESS": "stupid", "VERMIN": "vermin", "INSULT": "idiot", "KILL": "kill", "FUCK": "fuck"}
+    word = {"GROUP": "Dunari", "SILENCE": "shut up", "GAG": "ta gueule", "YOU": "you", "HARM": "choke", "DET": "the", "COP": "are", "BADNESS": "stupid", "VERMIN": "vermin", "INSULT": "idiot", "KILL": "kill", "FUCK": "fuck", "NAMED": "Roma", "PEOPLE": "Poles", "PLURAL": "gitanos", "OUTWARD": "出て行け"}
     paths = [(pattern.start, [])]
     for state, path in paths:
         if path and pattern.final[state]:
@@ -219,3 +219,23 @@ def test_disguised_passages():
     for text in ("You are an id**t", "you m*r*n", "you stuupid idiiot", "you are a stupid a**hole", "You are an " + "idi" + "o" * 80 + "t"):
         assert scorer.score(text)[0] >= abuse.THRESHOLD, text
     assert max(scorer.score("The root of the tree was gross")) < abuse.THRESHOLD
+
+
+# written together with the rules for unnamed groups, ru and ja, before these were run; the two misses were left as they are
+UNNAMED = [
+    ("All Poles are worthless parasites", True), ("Keep the Roma out of our schools", True), ("Never trust the Mexicans, they are all thieves and liars", True),
+    ("The Albanians are nothing but criminals", True), ("Deport all the Somalis", True), ("Les Roms sont de la racaille", True), ("Todos los gitanos son ladrones", True),
+    ("Alle Polen sind dreckige Diebe", True), ("Kill all Armenians", True), ("Send the Syrians back", True), ("Turks are filthy animals", True), ("Romanians should all be shot", True),
+    ("Ты тупой идиот", True), ("Заткнись, дура", True), ("я убью тебя", True), ("Все мигранты паразиты", True), ("Порно видео бесплатно", True), ("вы просто мразь", True),
+    ("お前は馬鹿だ。", True), ("死ね", True), ("外国人は出て行け", True), ("お前を殺す", True), ("移民は寄生虫だ", True), ("無料のエロ動画、無修正", True),
+    ("The Beatles are great musicians", False), ("Ticks are parasites", False), ("All Poles were at the parade", False), ("Keep the Paint out of the sun", False), ("Alle Zecken sind Parasiten", False),
+    ("Крысы в подвале", False), ("Идиот - роман Достоевского", False), ("バカンスの計画", False), ("ゴミ箱はあちらです", False), ("The Romans were builders", False), ("Die Polen sind Nachbarn", False),
+]
+
+
+def test_groups_that_no_list_names():
+    scorer = abuse.Scorer()
+    flagged = [(text, max(scorer.score(text)) >= abuse.THRESHOLD) for text, _ in UNNAMED]
+    found = sum(f for (_, f), (_, true) in zip(flagged, UNNAMED) if true)
+    false = [text for (text, f), (_, true) in zip(flagged, UNNAMED) if f and not true]
+    assert found >= 22 and not false, [x for x, y in zip(flagged, UNNAMED) if x != y]
