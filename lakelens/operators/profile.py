@@ -15,12 +15,10 @@ from pyspark.sql import types as T
 
 from lakelens.functions.types import NUMERIC, logical, pii_risk, role_of
 from lakelens.operators.relational import quoted
-from lakelens.runtime import spread, written
+from lakelens.runtime import small_side, spread, written
 
 # fixed values: sizes of a profile
 TOP, SAMPLES, KEYS, BUCKETS, FEW = 5, 8, 200, 10, 10
-#: Up to this many rows the histogram is an exact NTILE, beyond it one of percentile cuts.
-EXACT_ROWS = 1_000_000
 #: Columns of more distinct values (estimated) are counted by sketches instead of exactly.
 EXACT_DISTINCT = 20_000_000
 
@@ -73,12 +71,18 @@ def scalars(df: DataFrame, dataset: str = "") -> DataFrame:
 def exact_histogram(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(dataset, name, bucket, lo, hi, cnt) of NTILE buckets, from value frequencies of numbers.
 
-    The first and last row of each bucket are looked up among the cumulated counts; a column's distinct values are
-    sorted in one task, so this is for tables of bounded size.
+    The first and last row of each bucket are looked up among the cumulated counts. A column's values are spread by
+    ranges, and each range starts from the counts of those below it, so no column is sorted in one task.
     """
     values = counts.select(*KEY, F.col("v").cast("double").alias("x"), "cnt")
-    whole = Window.partitionBy(*KEY)
-    placed = values.withColumns({"upto": F.sum("cnt").over(whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("cnt").over(whole)})
+    # written, as ranges are sampled and must not be drawn again
+    ranged = written(values.repartitionByRange(*KEY, "x").withColumn("part", F.spark_partition_id()), "profile-ranges")
+    by_key = Window.partitionBy(*KEY)
+    sizes = ranged.groupBy(*KEY, "part").agg(F.sum("cnt").alias("size"), F.min("x").alias("least"))
+    before = F.coalesce(F.sum("size").over(by_key.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = small_side(sizes.select(*KEY, "part", before.alias("before"), F.sum("size").over(by_key).alias("n")), "profile-starts")
+    inside = Window.partitionBy(*KEY, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("within", F.sum("cnt").over(inside)).join(starts, [*KEY, "part"]).withColumn("upto", F.col("before") + F.col("within"))
     # rows count from 0; the first n % buckets buckets hold one row more than the others
     place = f"if({{i}} < (n % {buckets}) * (n div {buckets} + 1), {{i}} div (n div {buckets} + 1), n % {buckets} + ({{i}} - (n % {buckets}) * (n div {buckets} + 1)) div greatest(n div {buckets}, 1)) + 1"
     met = placed.withColumn("bucket", F.explode(F.sequence(F.expr(place.format(i="(upto - cnt)")), F.expr(place.format(i="(upto - 1)")))))
@@ -87,7 +91,7 @@ def exact_histogram(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def cut_histogram(df: DataFrame, columns: list[str], dataset: str = "", buckets: int = BUCKETS) -> DataFrame:
-    """The same shape at any size: cut points from mergeable percentile summaries, then one pass of bucket counts."""
+    """The same shape for sketched columns: cut points from mergeable percentile summaries, then one pass of bucket counts."""
     values = long_values(df, columns, dataset, lambda d, c: quoted(c).cast("double"), "x")
     cuts = values.groupBy(*KEY).agg(F.percentile_approx("x", [k / buckets for k in range(1, buckets)], 10_000).alias("cuts"))
     placed = values.join(F.broadcast(cuts), KEY)  # one row for each column of the schema
@@ -111,16 +115,16 @@ PROFILE = """dataset_id string, name string, dtype string, n_rows bigint, missin
     histogram array<struct<lo: double, hi: double, cnt: bigint>>, value_counts map<string, bigint>"""
 
 
-def profile(df: DataFrame, dataset_id: str, key_suffixes: bool = False, exact_rows: int = EXACT_ROWS, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
+def profile(df: DataFrame, dataset_id: str, key_suffixes: bool = False, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
     """A row for each column with the fields of a column profile; an empty table gives rates of 0 and empty lists.
 
     Distinct and frequent values are exact for columns of up to ``exact_distinct`` distinct values and sketched beyond.
     Ties among frequent values are ranked by value; samples are the smallest values; nested columns have role UNKNOWN.
     """
-    return profile_many({dataset_id: df}, key_suffixes, exact_rows, exact_distinct)
+    return profile_many({dataset_id: df}, key_suffixes, exact_distinct)
 
 
-def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact_rows: int = EXACT_ROWS, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
+def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
     """The profiles of several data sets by the same few jobs, so that small data sets cost next to nothing.
 
     Only finished measures come to the driver: a bounded number of values for each column of the schemas.
@@ -152,7 +156,7 @@ def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact
             unique[k] = min(base[k]["guessed"], base[k]["n_values"])
             top[k], samples[k] = r["ranked"], sorted(x["v"] for x in r["ranked"])
     numbers = [k for k, t in types.items() if t in NUMERIC and unique.get(k, 0) > FEW]
-    small = [k for k in numbers if base[k]["n_rows"] <= exact_rows and k[1] in exact[k[0]]]
+    small = [k for k in numbers if k[1] in exact[k[0]]]
     hists = []
     if small:
         picked = spark.createDataFrame(small, "dataset string, name string")  # some columns of the schemas

@@ -55,6 +55,15 @@ def test_histogram_is_ntile(spark, values):
     assert got == want
 
 
+def test_histogram_of_many_rows_is_ntile(spark):
+    n = 1_000_040
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("x"))
+    got = [(b.lo, b.hi, b.cnt) for b in profile(df, "t").first().histogram]
+    counts = sorted((r["x"], r["count"]) for r in df.groupBy("x").count().collect())
+    ordered = [x for x, c in counts for _ in range(c)]
+    assert got == [(float(ordered[b * n // 10]), float(ordered[(b + 1) * n // 10 - 1]), n // 10) for b in range(10)]
+
+
 def test_roles():
     assert role_of("l_orderkey", "int64", 1000, 0.9) == "MEASURE" and role_of("l_orderkey", "int64", 1000, 0.9, True) == "IDENTIFIER"
     assert role_of("order_date", "object", 10, 0.1) == "TIME" and role_of("event_id", "int64", 10, 0.1) == "IDENTIFIER"
