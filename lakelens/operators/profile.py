@@ -19,8 +19,6 @@ from lakelens.runtime import small_side, spread, written
 
 # fixed values: sizes of a profile
 TOP, SAMPLES, KEYS, BUCKETS, FEW = 5, 8, 200, 10, 10
-#: Columns of more distinct values (estimated) are counted by sketches instead of exactly.
-EXACT_DISTINCT = 20_000_000
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -115,16 +113,17 @@ PROFILE = """dataset_id string, name string, dtype string, n_rows bigint, missin
     histogram array<struct<lo: double, hi: double, cnt: bigint>>, value_counts map<string, bigint>"""
 
 
-def profile(df: DataFrame, dataset_id: str, key_suffixes: bool = False, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
+def profile(df: DataFrame, dataset_id: str, key_suffixes: bool = False, exact_distinct: int | None = None) -> DataFrame:
     """A row for each column with the fields of a column profile; an empty table gives rates of 0 and empty lists.
 
-    Distinct and frequent values are exact for columns of up to ``exact_distinct`` distinct values and sketched beyond.
+    Everything is exact at any size. Only where ``exact_distinct`` is given, columns of more distinct values (estimated)
+    are profiled by sketches instead.
     Ties among frequent values are ranked by value; samples are the smallest values; nested columns have role UNKNOWN.
     """
     return profile_many({dataset_id: df}, key_suffixes, exact_distinct)
 
 
-def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
+def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact_distinct: int | None = None) -> DataFrame:
     """The profiles of several data sets by the same few jobs, so that small data sets cost next to nothing.
 
     Only finished measures come to the driver: a bounded number of values for each column of the schemas.
@@ -135,7 +134,7 @@ def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact
     spark = next(iter(tables.values())).sparkSession
     base = {(r["dataset"], r["name"]): r for r in reduce(DataFrame.union, [scalars(df, d) for d, df in tables.items()]).collect()}
     types = {(d, f.name): logical(f.dataType) for d, df in tables.items() for f in df.schema.fields}
-    exact = {d: [c for c in df.columns if base[d, c]["guessed"] <= exact_distinct] for d, df in tables.items()}
+    exact = {d: [c for c in df.columns if exact_distinct is None or base[d, c]["guessed"] <= exact_distinct] for d, df in tables.items()}
     sketched = {d: [c for c in df.columns if c not in exact[d]] for d, df in tables.items()}
     if any(exact.values()):
         counts = written(value_frequencies(tables, exact), "profile-values")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from lakelens.functions import lexicon
 from lakelens.functions.types import logical, pii_risk, role_of
 from lakelens.operators import joins, vectors
+from lakelens.operators import profile as prof
 from lakelens.operators.profile import exact_histogram, profile, profile_many
 from lakelens.streaming.ingest import merged_counts, value_counts_to
 
@@ -33,6 +34,14 @@ def test_sketched_columns(spark):
     assert p["g"]["n_unique"] == 7 and abs(p["n"]["n_unique"] - 2000) < 200 and sum(b["cnt"] for b in p["n"]["histogram"]) == 2000
 
 
+def test_exact_by_default_at_any_size(spark, monkeypatch):
+    plain = prof.scalars
+    monkeypatch.setattr(prof, "scalars", lambda df, d="": plain(df, d).withColumn("guessed", F.lit(10**9)))
+    df = spark.range(3000).select((F.col("id") + 1000).alias("n"))
+    p = profile(df, "t").first()
+    assert (p.n_unique, p.unique_rate, p.top_values, p.sample_values) == (3000, 1.0, [str(1000 + i) for i in range(5)], [str(1000 + i) for i in range(8)])
+
+
 def test_many_at_once(spark):
     tables = {"a": spark.range(30).toDF("x"), "b": spark.createDataFrame([("u",), ("u",)], "x string")}
     rows = {(r["dataset_id"], r["name"]): r for r in profile_many(tables).collect()}
