@@ -62,7 +62,17 @@ class FooterColumn:
     constant: object = None
 
 
-def footer_column(group: pq.RowGroupMetaData, index: dict[str, int], name: str, numeric: bool) -> FooterColumn:
+def as_micros(kind: pa.DataType) -> bool:
+    """Whether extrema of this type are taken as microseconds."""
+    return pa.types.is_timestamp(kind) or pa.types.is_date(kind)
+
+
+def micros(value: object) -> float:
+    """Microseconds since 1970 of a time or day, exact in a double until the year 2255."""
+    return float(pa.scalar(value).cast(pa.timestamp("us", tz=getattr(pa.scalar(value).type, "tz", None))).value)
+
+
+def footer_column(group: pq.RowGroupMetaData, index: dict[str, int], name: str, numeric: bool, times: bool = False) -> FooterColumn:
     if name not in index:
         return FooterColumn(nulls=group.num_rows)
     stats = group.column(index[name]).statistics
@@ -75,7 +85,7 @@ def footer_column(group: pq.RowGroupMetaData, index: dict[str, int], name: str,
         if stats.min == stats.max and out.nulls == 0:
             out.constant = stats.min
         if numeric:
-            low, high = float(stats.min), float(stats.max)
+            low, high = (micros(stats.min), micros(stats.max)) if times else (float(stats.min), float(stats.max))
             if low <= high:  # false for NaN
                 out.low, out.high = low, high
     return out
@@ -126,8 +136,9 @@ def profile_row_group(file: pq.ParquetFile, k: int, by: str | None, specs: list[
     per_group = np.bincount(codes, minlength=len(groups))
     for spec in specs:
         kind = schema.field(spec.name).type if spec.name in index else pa.null()
-        numeric = pa.types.is_floating(kind) or pa.types.is_integer(kind) or pa.types.is_decimal(kind)
-        footer = footer_column(group, index, spec.name, numeric)
+        times = as_micros(kind)
+        numeric = pa.types.is_floating(kind) or pa.types.is_integer(kind) or pa.types.is_decimal(kind) or times
+        footer = footer_column(group, index, spec.name, numeric, times)
         known = single and footer.nulls is not None and (not numeric or footer.low is not None or footer.nulls == rows)
         base = [dict(grp=g, name=spec.name, n_rows=int(n), low=None, high=None, decoded=0, other=0, odd=0) for g, n in zip(groups, per_group)]
         if footer.nulls == rows:
@@ -149,7 +160,10 @@ def _decoded(file: pq.ParquetFile, k: int, spec: ColumnSpec, numeric: bool, code
     of_group, of_value = pair // max(1, len(values)), pair % max(1, len(values))
     total = lambda keep: np.bincount(of_group[keep], weights=count[keep], minlength=len(base)).astype(np.int64)
     nulls = np.array([b["n_rows"] for b in base]) - total(np.ones(len(pair), bool))
-    numbers = np.asarray(values.cast(pa.float64()), np.float64) if numeric else np.zeros(0)
+    if numeric and as_micros(values.type):
+        numbers = np.asarray(values.cast(pa.timestamp("us", tz=getattr(values.type, "tz", None)), safe=False).cast(pa.int64()), np.float64)
+    else:
+        numbers = np.asarray(values.cast(pa.float64()), np.float64) if numeric else np.zeros(0)
     texts = None if numeric else values.cast(pa.string()).to_pylist()
     if numeric:
         low, high = np.full(len(base), np.inf), np.full(len(base), -np.inf)
@@ -210,7 +224,7 @@ def row_group_records(spark: SparkSession, path: str, by: str | None, specs: lis
 def profile_columns(spark: SparkSession, path: str, by: str | None, specs: list[ColumnSpec]) -> DataFrame:
     """(grp, name, n_rows, nulls, low, high, upto, per_key, other, odd, n_unique) for each group and column.
 
-    ``low`` and ``high`` are of numbers without NaN, null for other types and where all is null; ``n_unique`` counts
+    ``low`` and ``high`` are of numbers without NaN and of times in microseconds since 1970, null for other types and where all is null; ``n_unique`` counts
     distinct non-null values where asked for, else it is null; rows with a null group form the group null; a column
     that a file lacks is null in its rows; repeated rows count as often as they are stored; no rows, no result.
     """

@@ -66,6 +66,12 @@ def scalars(df: DataFrame, dataset: str = "") -> DataFrame:
     return one.select(F.explode(F.array(*(F.col(f"s{i}") for i in range(len(measures))))).alias("s")).select("s.*")
 
 
+def ntile(row: str, buckets: int) -> str:
+    """SQL of the NTILE bucket of row number ``row`` of ``n``; rows count from 0, and the first n % buckets buckets hold one row more."""
+    some = f"(n % {buckets})"
+    return f"if({row} < {some} * (n div {buckets} + 1), {row} div (n div {buckets} + 1), {some} + ({row} - {some} * (n div {buckets} + 1)) div greatest(n div {buckets}, 1)) + 1"
+
+
 def exact_histogram(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(dataset, name, bucket, lo, hi, cnt) of NTILE buckets, from value frequencies of numbers.
 
@@ -81,9 +87,7 @@ def exact_histogram(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     starts = small_side(sizes.select(*KEY, "part", before.alias("before"), F.sum("size").over(by_key).alias("n")), "profile-starts")
     inside = Window.partitionBy(*KEY, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     placed = ranged.withColumn("within", F.sum("cnt").over(inside)).join(starts, [*KEY, "part"]).withColumn("upto", F.col("before") + F.col("within"))
-    # rows count from 0; the first n % buckets buckets hold one row more than the others
-    place = f"if({{i}} < (n % {buckets}) * (n div {buckets} + 1), {{i}} div (n div {buckets} + 1), n % {buckets} + ({{i}} - (n % {buckets}) * (n div {buckets} + 1)) div greatest(n div {buckets}, 1)) + 1"
-    met = placed.withColumn("bucket", F.explode(F.sequence(F.expr(place.format(i="(upto - cnt)")), F.expr(place.format(i="(upto - 1)")))))
+    met = placed.withColumn("bucket", F.explode(F.sequence(F.expr(ntile("(upto - cnt)", buckets)), F.expr(ntile("(upto - 1)", buckets)))))
     size = F.max(F.expr(f"n div {buckets} + if(bucket <= n % {buckets}, 1, 0)"))
     return met.groupBy(*KEY, F.col("bucket").cast("int").alias("bucket")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), size.cast("long").alias("cnt"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakelens.operators.footer_profile import ColumnSpec, profile_columns
+from lakelens.operators.profile import ntile
 
 #: A baseline has one row for each column of a data set; more than this is no baseline.
 MOST_COLUMNS = 20_000
@@ -92,3 +94,42 @@ def load_profile(spark: SparkSession, path: str, columns: list[str], by: str | N
         "n_unique", F.round(F.col("n_unique") / F.col("n_rows"), 4).alias("unique_rate"),
         F.col("low").alias("min_val"), F.col("high").alias("max_val"),
     )
+
+
+def load_distribution(spark: SparkSession, path: str, by: str = "load_id", buckets: int = 10) -> DataFrame:
+    """(by, name, dtype, n_rows, missing_rate, n_unique, unique_rate, min_val, max_val, min_ts, max_ts, bucket, lo, hi, cnt) of every column of the schema.
+
+    A row for each load, column and bucket of the load's values in NTILE order: numbers and times by size, other types by
+    value as text. ``lo`` and ``hi`` are texts; times are in microseconds since 1970 there. A column that is null
+    throughout a load has one row with a null bucket; so has a type without an order.
+    """
+    df = spark.read.parquet(path)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    times = [c for c, t in kinds.items() if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType))]
+    numbers = [c for c, t in kinds.items() if isinstance(t, T.NumericType)]
+    stats = profile_columns(spark, path, by, [ColumnSpec(c, distinct=True) for c in kinds])
+    at = F.timestamp_micros(F.col("low").cast("long")), F.timestamp_micros(F.col("high").cast("long"))
+    is_time = F.col("name").isin(times)
+    head = stats.select(
+        F.col("grp").alias(by), "name", F.element_at(F.create_map(*(F.lit(x) for c, t in kinds.items() for x in (c, t.simpleString()))), F.col("name")).alias("dtype"),
+        "n_rows", F.round(F.col("nulls") / F.col("n_rows"), 4).alias("missing_rate"), "n_unique", F.round(F.col("n_unique") / F.col("n_rows"), 4).alias("unique_rate"),
+        F.when(~is_time, F.col("low")).alias("min_val"), F.when(~is_time, F.col("high")).alias("max_val"), F.when(is_time, at[0]).alias("min_ts"), F.when(is_time, at[1]).alias("max_ts"),
+    )
+
+    def cell(c: str) -> Column:
+        x = F.col(f"`{c}`")
+        number = F.unix_micros(x.cast("timestamp")) if c in times else x
+        text = number.cast("string") if not isinstance(kinds[c], (T.ArrayType, T.MapType, T.StructType)) else F.lit(None).cast("string")
+        return F.struct(F.lit(c).alias("name"), (number.cast("double") + F.lit(0.0) if c in times or c in numbers else F.lit(None).cast("double")).alias("x"), text.alias("t"))
+
+    # values are counted first, so that a bucket is found among distinct values only
+    cells = df.select(F.col(by).alias(by), F.explode(F.array(*map(cell, kinds))).alias("c")).select(by, "c.*").where("t is not null")
+    counts = cells.groupBy(by, "name", "x", F.when(F.col("x").isNull(), F.col("t")).alias("s")).agg(F.count("*").alias("cnt"), F.min("t").alias("t"))
+    own = Window.partitionBy(by, "name")
+    upto = counts.withColumns({"upto": F.sum("cnt").over(own.orderBy("x", "s").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("cnt").over(own)})
+    met = upto.withColumn("bucket", F.explode(F.sequence(F.expr(ntile("(upto - cnt)", buckets)), F.expr(ntile("(upto - 1)", buckets)))))
+    size = F.max(F.expr(f"n div {buckets} + if(bucket <= n % {buckets}, 1, 0)"))
+    hist = met.groupBy(by, "name", F.col("bucket").cast("int").alias("bucket")).agg(F.min_by("t", F.struct("x", "s")).alias("lo"), F.max_by("t", F.struct("x", "s")).alias("hi"), size.alias("cnt"))
+    h, d = head.alias("h"), hist.alias("d")
+    joined = h.join(d, F.col(f"h.{by}").eqNullSafe(F.col(f"d.{by}")) & (F.col("h.name") == F.col("d.name")), "left")
+    return joined.select("h.*", "d.bucket", "d.lo", "d.hi", "d.cnt")

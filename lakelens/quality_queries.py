@@ -19,6 +19,11 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.load_profile(spark, f"{sf_dir}/taxi_trips.parquet", TRIPS)
 
 
+def p4_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of every load, with its distribution; ``p4_profile`` keeps to the columns of its SQL."""
+    return quality.load_distribution(spark, f"{sf_dir}/taxi_trips.parquet")
+
+
 def p4_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null shares and extrema of whole tables: footers alone, nothing is decoded."""
     return quality.load_profile(spark, f"{sf_dir}/sensor_readings.parquet", ["temperature_c", "vibration_mms", "remaining_useful_life", "machine_type"], by=None, distinct=False).drop("n_unique", "unique_rate")
@@ -55,7 +60,7 @@ def p5_rows_train_energy_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p4_found, p4_profile, p4_footers, p5_found, p5_row_counts,
+        p4_found, p4_profile, p4_distribution, p4_footers, p5_found, p5_row_counts,
         p5_rows_insurance, p5_rows_cat_breed, p5_rows_mba_admission, p5_rows_train_energy_data,
     )
 }

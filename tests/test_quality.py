@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from lakelens import quality_queries
 from lakelens.operators import footer_profile, quality, records
 
 ROWS = [
@@ -103,3 +104,23 @@ def test_records(spark):
     counts = {r.file_path: r for r in records.row_counts(recs, cards, cols).collect()}
     assert sum(r.row_count for r in counts.values()) == typed.count() and counts["f0"].claimed == 5
     assert records.failures(recs.limit(0), cards, cols).count() == 0 and records.failures(recs, cards.limit(0), cols).count() == 0
+
+
+def test_every_column_of_every_load_has_its_distribution(spark):
+    path = "/root/testdata/sf0.001/taxi_trips.parquet"
+    df = spark.read.parquet(path)
+    rows, stored = quality_queries.p4_distribution(spark, "/root/testdata/sf0.001").collect(), df.collect()
+    loads = {r.load_id for r in stored}
+    assert {(r.load_id, r.name) for r in rows} == {(x, c) for x in loads for c in df.columns}
+    for load in loads:
+        own = [r for r in stored if r.load_id == load]
+        pickups = [r.pickup_ts for r in own if r.pickup_ts is not None]
+        got = sorted((r for r in rows if r.load_id == load and r.name == "pickup_ts"), key=lambda r: r.bucket)
+        assert (got[0].min_ts.replace(tzinfo=None), got[0].max_ts.replace(tzinfo=None)) == (min(pickups), max(pickups)) and sum(r.cnt for r in got) == len(pickups)
+        fares = sorted(r.base_fare for r in own if r.base_fare is not None)
+        got = sorted((r for r in rows if r.load_id == load and r.name == "base_fare"), key=lambda r: r.bucket)
+        if not fares:
+            assert [(r.bucket, r.missing_rate) for r in got] == [(None, 1.0)]
+            continue
+        assert [r.cnt for r in got] == [len(fares) // 10 + (b < len(fares) % 10) for b in range(min(10, len(fares)))]
+        assert float(got[0].lo) == fares[0] and float(got[-1].hi) == fares[-1]
