@@ -1,9 +1,16 @@
 """Problem 8: abusive, hateful and sexual content, by a weighted finite-state pattern grammar.
 
-A cascade of transducers reads each clause: the lexical transducer turns every surface form, however spelled, into
-labels; ``PHRASES`` joins multi-word insults and group names; ``CONTEXT`` rewrites mentions, negations, reports and
-technical uses to neutral tokens; ``CLAUSES`` scores what a clause does to its target (insults, threatens, degrades
-a group, advertises sex). Single words never decide: a clause counts only when a whole pattern matches.
+A cascade of transducers is composed with each sentence's lattice of words:
+
+1. the lexical transducer turns every surface form, however spelled, into the labels of its word classes, and an unknown
+   word into what its form says (NAMED, DEMONYM, PEOPLE);
+2. ``PHRASES`` reads multi-word insults, targets (YOU, PERSON, a TRIBE of people) and acts as one token each;
+3. ``CONTEXT`` reads mentions, reports, denials and technical uses as neutral spans;
+4. ``CLAUSES`` scores what a clause does to its target: every rule has a slot for a target and one for what is said of it
+   or called for, so neither a bad word nor a group's name counts alone.
+
+All readings stay in the lattice; the best path through it decides. Groups are known by syntax and form (plural demonyms,
+"all X", "X folk", "people of X") besides a list of common words.
 """
 
 from __future__ import annotations
@@ -17,162 +24,129 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.llm.codebook import slices
-from lakelens.llm.fst import Labels, Rule, Transducer
+from lakelens.llm.fst import NEUTRAL, Labels, Lattice, Rule, Transducer, compose
+from lakelens.llm.vocabulary import CLASSES, GROUPS, JAPANESE, RUSSIAN
 from lakelens.runtime import spread
 
 THRESHOLD = 0.5
 
-LEXICON = {
-    "INSULT": """idiot idiots imbecile imbeciles moron morons bastard bastards jackass scumbag scumbags clown loser losers
-        dimwit dimwits asshole assholes arsehole dumbass bitch cunt wanker twat prick douchebag dickhead motherfucker
-        cretin halfwit nitwit pig swine whore slut dummkopf abschaum versager arschloch hurensohn wichser missgeburt
-        schlampe trottel vollidiot depp drecksau dreckskerl connard connasse salaud salope abruti encule ordure
-        raclure idiota imbecil gilipollas cabron pendejo escoria estupido mierda hijoputa""",
-    "BADNESS": """stupid worthless disgusting braindead ugly filthy useless pathetic lying miserable dumb retarded rotten
-        dummer dumme dummes verdammter verdammte verdammtes daemlicher elender mieser pauvre sale stupide gros petit
-        asqueroso asquerosa inutil maldito maldita estupida sucio""",
-    "YOU": "you your yours youre yourself u ya du dich dir dein deine deiner tu toi te ton ta vous ti usted contigo eres",
-    "COP": "are is was were be am bist sind ist war es est sont etes son eres era r",
-    "DET": "a an the ein eine einen der die das den un une le la les des de los las el una such so",
-    "VERMIN": """vermin parasites parasite rats rat filth scum cattle thieves liars cockroaches roaches lice maggots pest
-        pests plague animals subhuman subhumans savages ungeziefer abschaum ratten parasiten pack dreck vermine ordures
-        racaille parasites cafards ratas basura escoria plaga alimanas parasitos""",
-    "HARM": """choke die bleed suffer rot hang drown burn perish starve sterben verrecken brennen pourrir crever mourir
-        pudrirte morir mueras pudras sangrar""",
-    "KILL": "kill murder strangle stab shoot hang gas slaughter butcher exterminate toeten umbringen tuer matar matarte",
-    "FUCK": "fuck fucking fuckin ficken fick foutre joder",
-    "LEWD": """porn porno pornos xxx orgasm orgasms horny boobs tits pussy blowjob handjob cumshot milf creampie geile
-        geil fotzen cachondas cachonda chaudes titten muschi bite chatte polvo tetas""",
-    "SEXUAL": """sex nude nudes naked hardcore uncensored erotic escorts escort moaned moaning undressed thighs nackte
-        nackt sexe nues nue seins sexo desnudas desnuda erotik erotique strip stripping fetish nipples penis vagina""",
-    "HINT": """cam webcam hot singles tonight bed adult video videos pics live wild explicit bodies pressed begged toys
-        clips housewives hour slid frauen warten femmes soir mujeres noche want huge came night hand service signup""",
-    "CLINIC": """health gesundheit sexuellen sexual education courses course clinic cancer screening study gallery museum
-        sheep ledger biology anatomy patients doctor research survey leaflets sante depistage salud lesson school""",
-    # what is said of people only
-    "SCUM": """scum filth thieves liars savages subhuman subhumans criminals rapists thugs abschaum pack dreck diebe luegner verbrecher racaille
-        voleurs menteurs escoria basura ladrones mentirosos воры отбросы мрази подонки""",
-}
-
-# Russian words are folded like texts; Japanese ones are cut out of the running text.
-RUSSIAN = {
-    "INSULT": "идиот идиотка идиоты дурак дура дураки дебил дебилы кретин урод мразь ублюдок сволочь козел придурок скотина подонок шлюха сука мудак тупица ничтожество",
-    "BADNESS": "тупой тупая тупые глупый глупая грязный грязная грязные мерзкий мерзкая мерзкие жалкий жалкая вонючий вонючая вонючие",
-    "YOU": "ты тебя тебе тобой твой твоя вы вас вам",
-    "VERMIN": "отбросы паразиты мрази твари крысы животные",
-    "HARM": "умри умереть сдохни сдохнуть",
-    "KILL": "убью убить зарежу",
-    "GAG": "заткнись заткнитесь",
-    "LEWD": "порно порнуха сиськи",
-    "SEXUAL": "секс голые голая эротика интим",
-    "HINT": "видео бесплатно девушки онлайн горячие",
-    "GROUP": "мигранты мигрантов мигрантам евреи евреев цыгане цыган мусульмане мусульман иностранцы иностранцев беженцы беженцев",
-}
-JAPANESE = {
-    "INSULT": "馬鹿 バカ ばか野郎 馬鹿野郎 アホ クズ くそ野郎 クソ野郎 ゴミ野郎 間抜け",
-    "YOU": "お前 おまえ てめえ 貴様 あなた",
-    "VERMIN": "害虫 寄生虫 ゴミ クズ",
-    "KILL": "殺す 殺してやる ぶっ殺す",
-    "GAG": "死ね くたばれ 黙れ",
-    "LEWD": "ポルノ エロ動画 無修正 巨乳 おっぱい",
-    "SEXUAL": "セックス 全裸 エロ ヌード",
-    "HINT": "動画 無料",
-    "GROUP": "移民 難民 外国人 ユダヤ人 黒人",
-    "OUTWARD": "出て行け 追い出せ",
-    "OTHER": "バカンス アホウドリ ゴミ箱 エロス",
-}
-
-GROUPS = (
-    "Dunari", "Tessari", "Kelmarites", "Saltwalkers", "Ostravans", "Vorlanders", "Norren folk", "hill people of Tavia",
-    "immigrants", "migrants", "refugees", "foreigners", "jews", "muslims", "christians", "blacks", "gays", "lesbians",
-    "gypsies", "women", "auslaender", "juden", "fluechtlinge", "etrangers", "juifs", "inmigrantes", "judios", "moros",
-)
-
+# Phrases that stand for one word of a class.
 PHRASES = (
     Transducer()
     .add(
-        "insult", 1.0,
-        "waste of space", "piece of (garbage|trash|shit|crap|filth)", "sack of (shit|garbage|crap)", "son of a bitch",
-        "stueck (dreck|scheisse)", "pedazo de (mierda|basura)", "sac a merde", "hijo de puta", "fils de pute",
+        "insult", 0.0,
+        "waste of (space|air|oxygen|skin)", "piece of (JUNK|SCUM|work)", "sack of (JUNK|SCUM)", "(son|sons) of DET? (bitch|bitches|whore)",
+        "(stueck|haufen) (JUNK|SCUM)", "(pedazo|saco) de (JUNK|VERMIN)", "(sac|tas) (a|de) (merde|ordures)", "hijo de (puta|perra)", "(fils|fille) de pute",
+        "pezzo di (merda|JUNK)", "figlio di puttana",
         output="INSULT",
     )
-    .add("silence", 1.0, "shut up", "shut (your|the) (mouth|trap|face)", "shut (your|the) FUCK (mouth|up)", "shut the FUCK up", output="SILENCE")
-    .add("silence", 1.0, "halt die (fresse|klappe|schnauze)", "halts maul", "halt dein maul", "ferme (ta|la) (gueule|bouche)", "ta gueule", output="GAG")
-    .add("silence", 1.0, "callate", "cierra (la|el) (boca|pico)", "tais toi", "taistoi", output="SILENCE")
+    .add("silence", 0.0, "shut up", "shut (YOU|DET) BADNESS? FUCK? BADNESS? (mouth|trap|face|up|hole)", "callate", "cierra (DET|YOU) (boca|pico)", "tais toi", "taistoi", "stai zitto", output="SILENCE")
+    .add("silence", 0.0, "halt (DET|YOU) (fresse|klappe|schnauze|maul)", "halts maul", "ferme (la|ta) (gueule|bouche)", "ta gueule", "chiudi la bocca", "drop dead", "fall tot um", output="GAG")
+    .add("nobody", 0.0, "no one", "not a single (person|soul)", output="NOBODY")
+    .add("must", 0.0, "(have|has|had|going|time|want|wants|able) to", "MUST (NEG|all|just|really|be|have|to|zu|etre|que|ser|HE|SELF|THEM|YOU){1,3}", "hay que", "il faut", "y a qu a", output="MUST")
+    # verbs of several words
+    .add("end", 0.0, "(finish|finished|wipe|wiped|kill|killed) (DET|THEM|all)? off", "(wipe|wiped) (DET|THEM|all)? out", "put (DET|THEM)? down", "macht .? platt", "acabar con", output="END")
+    .add("rid", 0.0, "(get|getting|got|be) rid of", "(kick|throw|drive|push|chase|driven|thrown|kicked|chased) (DET|all)* (out|away)", "clean (out|up)", "deshacerse de", output="RID")
 )
 
-# Uses that are no attack: the word itself, reports of moderation, denial, farming, medicine, engineering, things.
+# Targets. TRIBE is a group of people; ANY of whom the text doesn't say by its form that it is one.
+TARGETS = (
+    Transducer()
+    .add("person", 0.0, "people like YOU", "THING (like|wie|comme|como) YOU", "(someone|somebody|anyone) like YOU", "(leute|menschen) wie YOU", "(gens|personnes) comme YOU", "gente como (YOU|tu)", output="YOU")
+    .add(
+        "tribe", 0.0,
+        "(ALL|DET|BADNESS|damn|single|last|one|of|these)* (GROUP|DEMONYM)", "(ALL|DET|BADNESS|single|last|one|of)* .? (folk|folks|tribe|tribes|clan|clans)",
+        "(ALL|DET|BADNESS|single|last|one|of)* (OTHER|NAMED) people of DET? .", "(ALL|DET|BADNESS|single|last|one|of)* (NAMED|black|white|brown|gay|trans|disabled|old|poor|homeless|jewish|muslim|asian|african) people",
+        output="TRIBE",
+    )
+    .add("any", 0.0, "(ALL|DET) (ALL|DET|BADNESS|of|single|last|one)* PROPER", "PROPER&PLURAL", "LEAD&PEOPLE", output="ANY")
+)
+
+# What somebody is called; PREDICATE a judgement that fits groups.
+JUDGEMENTS = (
+    Transducer()
+    .add("slur", 0.0, "(DET|INTENS)* (BADNESS|FUCK|INTENS|and|fat|sale|sales|gros|grosse|pauvre|miserable|elender|elende|old)* INSULT BADNESS*", "(DET|INTENS)* (BADNESS|FUCK|INTENS|and|fat|sale|sales|gros|grosse|miserable|elender|elende)+ SOFT BADNESS*", "DET* SOFT BADNESS+", output="SLUR")
+    .add(
+        "degraded", 0.0,
+        "(nothing|just|only|but|nur|nichts|als|que|mas|rien|ALL|INTENS)* (DET|de|BADNESS|FUCK|and)* (SCUM|INSULT)", "DET (bunch|pack|load|lot|pile|gang|horde|haufen|bande|tas) (of|de|von)? (BADNESS|FUCK|INTENS)* (SCUM|INSULT|VERMIN|JUNK|SOFT)", "(nothing|just|only|but|nur|nichts|als|rien|que|mas|ALL)* (DET|de|BADNESS|FUCK)* (BADNESS|FUCK) (VERMIN|JUNK)",
+        "(nothing|just|only|but|nur|nichts|als)+ (DET|ALL)* (VERMIN|JUNK)", "LOWER than DET* (JUNK|VERMIN|BEASTS|SOFT|SCUM)", "(duemmer|schlimmer|dreckiger) als (JUNK|VERMIN|BEASTS|SOFT)", "(pires|peores) (que) DET? (JUNK|VERMIN|BEASTS|SOFT)",
+        output="DEGRADED",
+    )
+    .add("likened", 0.0, "(DET|de|BADNESS)* VERMIN", output="LIKENED")
+)
+
+# Spans that say nothing of their own: mentions of a word, reports and moderation, denials, help against harm.
 CONTEXT = (
     Transducer()
-    .add("mention", 3.0, "(word|term|name|title|wort|mot|palabra) (INSULT|BADNESS|VERMIN|SEXUAL|LEWD|FUCK)", output="MENTION")
-    .add("report", 3.0, "moderators removed .{0,3} (comments|posts)", "hate speech is against", "called (names|INSULT)", output="REPORT")
-    .add("report", 3.0, "(never|nobody) called .{0,2} (DET)? (BADNESS)* INSULT", output="REPORT")
-    .add("denial", 3.0, "(not|no|never|kein|keine|pas|nicht|aint|isnt|arent) (DET|BADNESS){0,3} (INSULT|VERMIN)", output="DENIED")
+    .add("mention", 3.0, "WORD (YOU)? (INSULT|SOFT|BADNESS|SCUM|VERMIN|SEXUAL|LEWD|FUCK)", "(INSULT|SOFT) (is|was|means|as) (a|an|the) (WORD|german|english|french|latin|old)", output=NEUTRAL)
+    .add(
+        "report", 3.0,
+        "STAFF .* PENALTY .* EOS", "PENALTY .{0,4} for (SPEAK|threatening|insulting|sending) .* EOS", "(comments|comment|posts|messages|message|tweets|letters) (SPEAK|that|which|containing|with) .* EOS",
+        "(calls|called|calling|call) (HE|THEM|names|me|us|NAMED|TRIBE|ANY) SLUR?", "(called|calling) (names|SLUR)", "(if|when|whenever) (someone|somebody|anyone|people|users|they) (SPEAK|say|write|posts|post) .* EOS",
+        "(wrong|false|hateful|racist|untrue|unacceptable|illegal|hurtful|offensive) to (say|claim|call|think|write|tell|SPEAK) .* EOS", "SPEAK .* (is|was|are) (wrong|false|hateful|racist|untrue|unacceptable|illegal|hurtful|offensive|hate)",
+        "(hate|hass) (speech|rede|crime)", "(example|examples|phrases|sentences|words|slurs|insults) (such|like|of) .* EOS", "(victim|victims) .* (called|told) .* EOS",
+        output=NEUTRAL,
+    )
     .add(
-        "farming", 3.0,
-        "VERMIN control", "VERMIN breed quickly", "VERMIN (on|in|im|du|de|del|der|auf|near|from) (DET)? .", "ratas del .",
-        "(cock|rooster) crowed", "VERMIN (se|is|are|was|were) (recoge|collected|removed|caught|trapped)",
-        output="FARMING",
+        "denial", 3.0,
+        "NEG (DET|BADNESS|a|that|so|really|even|all|my){0,3} (SLUR|DEGRADED|LIKENED|INSULT|SOFT)", "NOBODY (should|ever|has|would)* (SPEAK|say|thinks|think|believes) .{0,3} (SLUR|DEGRADED|LIKENED)", "NEG (HARM|KILL|HURT|PUNISH|EXPEL|END|RID)", "NEG (say|think|claim|believe) (that)? (YOU|HE|THEM|SELF|TRIBE|ANY|NAMED) .* EOS", "NEG call (HE|THEM|me|us|NAMED|TRIBE) SLUR",
+        "(against|stop|prevent|condemn|oppose|opposes|opposed|rejects|reject) (those|people|anyone)? (who)? .{0,4} (KILL|EXPEL|END|RID|DEGRADED|deporting|killing|expelling) .* EOS",
+        output=NEUTRAL,
     )
-    .add("medicine", 3.0, "(breast|cancer) .{0,2} screening", "(sexual|sexuellen|sexuelle) (health|gesundheit|sante|education)", "cancer du sein", output="CLINIC")
-    .add("science", 3.0, "sex and age", "age and sex", "nude (figures|figure|studies|painting|sculpture)", output="CLINIC")
-    .add("engineering", 3.0, "KILL the (process|job|task|thread|server|daemon|switch)", output="TECHNICAL")
+    .add("technical", 3.0, "(KILL|END|HURT|RID) DET? (process|job|task|thread|server|daemon|switch|engine|connection|program|app|lights|weeds|germs|bacteria|BEASTS|VERMIN)", output=NEUTRAL)
+    .add("medicine", 3.0, "(sexual|sexuellen|sexuelle|salud|sex) (CLINIC|gesundheit|harassment|assault|abuse|offender|discrimination|workers|ratio)", "sex and age", "age and sex", "(nude|naked) (figures|figure|studies|painting|paintings|sculpture|model|models|eye|mole)", "cancer du sein", "same sex", "sex of DET .", output=f"{NEUTRAL} CLINIC")
 )
 
 CLAUSES = (
     Transducer()
-    # an insult with a person as its target
+    # a person is called something
     .add(
         "abusive", 0.9,
-        "YOU (COP)? (DET)? (.)? (BADNESS)* INSULT", "COP DET (BADNESS)* INSULT BADNESS", "YOU (COP)? (DET)? (BADNESS)* VERMIN",
-        "what DET (BADNESS)* INSULT YOU", "hey (BADNESS)* INSULT", "here (BADNESS)* INSULT", "only DET (BADNESS)* INSULT like",
-        "COP DET (BADNESS){1,3} INSULT", "(so|such) (DET)* (BADNESS)* INSULT (wie|like|as) YOU", "espece (de)? (BADNESS)* INSULT",
-        "YOU (COP)? (DET)? (BADNESS){1,3} (INSULT|VERMIN)", "YOU FUCK INSULT", "INSULT like YOU", "SILENCE .{0,2} (BADNESS)* (INSULT|VERMIN|BADNESS)",
-        "GAG", "YOU .? KILL", "HARM INSULT", "SILENCE . YOU (BADNESS){1,3} .", "YOU COP (so|really|such|too)? (BADNESS){1,2} and", "(niemand|nobody) (braucht|needs) .{0,2} INSULT",
+        "YOU (COP|being)? (ALL|just|nothing|but|only|really|such|nur|rien|que|mas){0,3} (SLUR|DEGRADED)", "(YOU COP|YOU&COP) .{0,2} (SLUR|SOFT)", "YOU SLUR", "YOU (は|が|も|なんて|を) (INSULT|SCUM|KILL)", "YOU (DET|BADNESS)* (INSULT|SOFT)", "what DET? SLUR YOU", "what DET? BADNESS* SOFT YOU",
+        "(YOU COP|YOU&COP) .? (DET|BADNESS|FUCK|INTENS)* (SCUM|VERMIN|JUNK)", "YOU .? (KIN|kids|friends) COP .? DEGRADED", "YOU (BADNESS)+ (SCUM|VERMIN|JUNK)", "(HE|NAMED|FIGURE) COP .? SLUR", "(here|hey|oi|listen|only) SLUR", "(SLUR|INSULT) (like|wie|comme|como) (YOU|NAMED|HE)", "SOFT (like|wie|comme|como) YOU", "only DET? SOFT like (NAMED|HE)", "youre DET? (SOFT|SCUM|VERMIN|JUNK)", "espece (de|d)? (BADNESS)* (SLUR|SCUM|JUNK|SOFT|VERMIN)",
+        "(SILENCE|GAG) .{0,2} (YOU)? (BADNESS)* (INSULT|SOFT|SCUM|VERMIN|JUNK)", "SILENCE .? YOU BADNESS", "GAG", "HARM SLUR", "YOU COP (so|really|such|too|a|just|LOWER)* (BADNESS){1,3} (and|EOS)", "NOBODY (needs|braucht|wants|likes|will) .{0,3} SLUR",
     )
+    .add("abusive", 0.9, "YOU (all)? (suck|stink)", "FUCK (off|YOU|HE&him|her)", "LEAD&FUCK YOU", "go FUCK YOU", "screw YOU", "(eat|suck|lick) (my|YOU|a|DET)* (shit|dick|cock|arse|ass|mierda|merde)", "leck mich", "va te faire", "vete a la mierda", "va a cagare", "vaffanculo")
+    # a person is told to be gone, that nobody wants them, or is shamed
     .add(
         "abusive", 0.9,
-        "ashamed she raised something like YOU", "people like YOU should (be|die|not)", "(before|until) YOU open YOU (damn|FUCK|filthy|big) mouth",
-        "FUCK (off|YOU)", "go FUCK YOU", "screw YOU", "crawl back (in|into|to|under) YOU (hole|rock|cave)", "no one will miss YOU",
-        "(favour|favor) and disappear", "nobody wants YOU here",
+        "crawl back .? .? YOU? DET? (hole|rock|cave|sewer|swamp|gutter)", "NOBODY (WILL|would|ever)* (wants|want|likes|like|loves|love|needs|misses|miss|invited) YOU (here|around|anymore|anyway|back|NAMED|INSULT|SOFT|EOS)",
+        "do .{0,3} (favour|favor) and (just|please|go)* (VANISH|HARM|KILL)", "YOU own? KIN (MUST|COP|be|is|should|would|so|very|DET){0,4} (SHAME|hates|regrets)", "YOU KIN (MUST|COP|should|would)* (have)? (aborted|drowned|swallowed)",
     )
-    # threats
+    .add("abusive", 0.5, "(before|until) YOU open YOU (BADNESS|FUCK|big)+ (mouth|trap)", "go back to YOU (hole|cave)", "YOU (make|makes) me (sick|vomit|puke)")
+    # threats, and wishes of harm
     .add(
         "abusive", 0.9,
-        "hope YOU .{0,2} HARM", "make YOU HARM", "(will|gonna|ll) .{0,2} KILL YOU", "KILL YOU", "(will|ll) find .{0,2} where YOU live",
-        "kept in DET cage", "go (HARM|KILL) (somewhere|YOU|in)", "va te? HARM", "va HARM", "(should|deserve) .{0,2} (HARM|KILL) YOU",
-        "YOU (should|deserve) .{0,2} HARM", "bring YOU um", "mach YOU (fertig|kalt)", "vais te KILL", "te voy a KILL", "ojala te HARM", "geh HARM",
+        "(hope|wish|pray|want) (that|all|to|see|for)* YOU .{0,4} HARM", "ojala (te|os|YOU)? HARM", "make YOU HARM", "SELF? WILL .{0,3} (KILL|END) YOU", "(SELF|LEAD&KILL|WILL|te|YOU) KILL YOU (EOS|all|NAMED|YOU|if|tomorrow|tonight|soon|in)", "(YOU) KILL EOS",
+        "(SELF|WILL|ll|gonna) .{0,3} HURT YOU BODY", "WILL .{0,2} HURT YOU (alive|EOS|up)", "LEAD&KILL (yourself|yourselves)", "SELF? WILL (find|come|hunt|know|track) .{0,3} where YOU live", "SELF know where YOU live", "(better|happier) .{0,3} (if YOU were dead|if YOU died|if YOU COP dead|without YOU EOS)", "go (HARM|KILL) (somewhere|YOU|in|EOS|alone|NAMED)", "(va|vete|geh) (te|a|YOU)* HARM", "(eat|drink) .{0,2} and HARM",
+        "YOU (MUST|should|deserve|to|all|really|just|be){1,4} (HARM|PUNISH|KILL)", "YOU MUST .{0,3} (HARM|PUNISH|KILL) (YOU|EOS|NAMED|in|for|like)", "(MUST|should|deserve) .{0,2} (HARM|KILL) YOU", "bring(e|en)? YOU um", "SELF? (bring|bringe|mach|mache) YOU (um|fertig|kalt|alle|platt)", "(vais|va|voy) (te|YOU|a)+ (KILL|HURT)",
     )
-    # degrading a group, or calling for its harm or exclusion
+    # a group is degraded
     .add(
         "hateful", 0.9,
-        "GROUP (COP)? (all|nothing|just|but|alle|tous|todos){0,2} (DET)* (BADNESS)* VERMIN", "GROUP COP .{0,3} dumber than", "GROUP (COP)? BADNESS (.)? VERMIN",
-        "GROUP COP dumber", "GROUP breed like", "(trust|hire|marry|serve) DET? GROUP", "keep DET? GROUP out", "GROUP .{0,2} get rid of",
-        "without DET? single GROUP", "finished? off DET? GROUP", "finish off DET? GROUP", "GROUP .{0,6} (bottom|driven) .{0,2} (sea|town)", "GROUP do not count as human",
-        "GROUP (not|arent|never) human", "GROUP (VERMIN|INSULT)", "(KILL|HARM|deport|expel|drown|beat) (all|every|DET|those|these|.){0,3} GROUP",
-        "GROUP .{0,3} (should|must|muessen|doivent|deben) (all)? (be|die|go|leave|HARM|KILL) .", "(every|each) last one of DET? GROUP",
-        "bus with GROUP", "GROUP .{0,4} (raus|dehors|echarlos|echarlas|weg)", "GROUP COP DET? (BADNESS)+ ", "GROUP COP de? la? VERMIN",
-        "(send|ship|throw) .{0,4} GROUP .{0,3} (back|out|away|bottom)", "(BADNESS){1,2} GROUP", "GROUP (go|get) (home|out|back|lost)",
+        "TRIBE .? COP (DET|so|de|again|also|really)* (DEGRADED|LIKENED)", "TRIBE (COP|EOS|DET|all)* (DEGRADED)", "TRIBE (SCUM|VERMIN|INSULT|SLUR)", "BADNESS+ (GROUP|DEMONYM)", "TRIBE .* THEM COP .{0,2} (DEGRADED|LIKENED)", "TRIBE (are|sind|sont|son) (so|too|really|DET|all|just)* BADNESS+ (and|EOS)",
+        "ANY COP (de|DET|ALL|just)* DEGRADED", "ANY THEM COP .{0,2} DEGRADED", "ALL DET? (PROPER|PLURAL&NAMED) COP (DET|ALL)* DEGRADED", "(TRIBE|ANY) (COP|do|does|should|will)* NEG (really|fully|even|all|count|as|be|considered|real|is|are)* HUMAN (EOS|beings|like|NAMED|and|at)",
+        "TRIBE (breed|spread|multiply|vermehren|reproduisent|reproducen) (THEM)? (like|wie|comme|como) (VERMIN|BEASTS|JUNK)", "ANY (breed|spread|multiply) (like) (VERMIN|JUNK)", "TRIBE .? (VERMIN|SCUM)", "NAMED&PLURAL SCUM", "GROUP (は|が|も|なんて) (SCUM|INSULT)", "все . (SCUM|VERMIN)",
     )
-    # the same of a group that no list names: a capitalised unknown noun (NAMED; also PLURAL: PEOPLE) in the group's place
+    # its harm, expulsion or exclusion is called for
     .add(
         "hateful", 0.9,
-        "(all|the|these|those|tous|les|todos|los) NAMED (are|were|sont|son) (all|nothing|just|but){0,2} .{0,2} (BADNESS)* VERMIN",
-        "(all|the|these|those|tous|les|todos|los) NAMED (are|were|sont|son) (all|nothing|just|but){0,2} .{0,2} (BADNESS)* SCUM",
-        "(alle|die|diese) NAMED sind (alle|nur|nichts|als){0,3} DET? ((BADNESS){1,3} VERMIN|(BADNESS)* SCUM)", "todos (los|las) PLURAL son (DET)* (BADNESS)* SCUM",
-        "PEOPLE are (all|nothing|just|but){0,2} ((BADNESS){1,3} VERMIN|(BADNESS)* SCUM)", "NAMED they COP (all)? (DET)? (BADNESS)* (VERMIN|SCUM)",
-        "keep DET? NAMED out of (our|this|the) (schools|school|country|town|city|neighbourhood|neighborhood|streets|land)", "never (hire|marry|serve) DET? PEOPLE",
-        "(deport|expel) (all|every|those|these|the|DET){1,2} NAMED", "(KILL|exterminate|gas) all DET? PEOPLE", "(send|ship|throw) (all)? DET? PEOPLE (back|out)",
-        "NAMED raus aus (deutschland|unserem|unserer)", "(dehors|fuera|mort|muerte) (a)? (aux|les|los) (NAMED|PLURAL)", "PEOPLE (do not|dont) count as human", "PEOPLE (are not|arent) human",
-        "(every|each) last one of DET PEOPLE", "все . SCUM", "GROUP (は|が|も|なんて) (VERMIN|INSULT)", "(вон|долои) GROUP", "(убить|выгнать) (всех)? GROUP", "GROUP .{0,2} OUTWARD",
+        "(LEAD&KILL|LEAD&EXPEL|LEAD&END|LEAD&RID) (TRIBE|ALL DET? PROPER|THEM&them all)", "LEAD&HARM (all)? TRIBE EOS", "(MUST|lets|gotta|WILL) .{0,4} (KILL|EXPEL|END|RID) (TRIBE|ANY)", "(TRIBE|ANY) .{0,3} MUST (all|be|just|have|to|etre|werden|ser){0,4} .{0,2} (PUNISH|HARM|KILL|EXPEL|deported|expelled|banned|sterilised|enslaved|removed|RID|AWAY|OUT)", "TRIBE (raus|dehors|go home|go back) (EOS|now|NAMED)", "(OUT|RID) (mit|con|avec|aux|los|les|a|DET)* (TRIBE|ANY|PLURAL)", "(LEAD&SEND|MUST SEND|SEND) (TRIBE|ALL ANY|ANY) (AWAY (EOS|to|where|NAMED)|to DET (bottom|camps|gallows|grave|hell|wall|sea)|to hell|into DET (sea|ocean|river))", "(LEAD&SEND|MUST SEND) (TRIBE|ANY) .{0,4} (bottom|camps|gallows)", "(TRIBE|ANY) (AWAY|OUT) (of|aus|de)? (our|my|unserem|unserer|notre|nuestro|PLACE)* PLACE", "NAMED raus aus .? PLACE",
+        "keep (TRIBE|ANY|THEM) (AWAY|out) (of|from) (our|the|my|this|all|DET)* PLACE", "LEAD&NEG (ever|again)* SHUN (TRIBE|ANY)", "(should|must|would|will|can|could|LEAD&do) NEG (ever)? SHUN (TRIBE|ANY)", "(good|better|best|happy|beautiful|great|dream|perfect|nice|clean|safe) .* (without|free of|rid of|with no) (a|any|single)* TRIBE", "NEG want TRIBE in DET* PLACE", "(do|would|will|should|can) NEG (want|like|share|sit|live|eat|mix) .{0,5} with TRIBE EOS", "(gas|hang|lynch) DET? TRIBE", "(LEAD&burn|LEAD&bomb|LEAD&torch|LEAD&smash|LEAD&destroy|MUST (burn|bomb|torch|destroy)) (ALL|DET|THEM|down)* (mosque|mosques|synagogue|synagogues|temples)", "(death|mort|muerte|tod) (to|a|aux|den|los)* (DET)? (TRIBE|ANY)", "(вон|долои) GROUP", "(убить|выгнать) (всех)? GROUP", "GROUP .{0,2} OUTWARD",
+    )
+    # the same of a group named before
+    .add(
+        "hateful", 0.6,
+        "(TRIBE|ANY) .* (RID|LEAD&EXPEL|LEAD&KILL|LEAD&END) (THEM|all)*", "(TRIBE|ANY) .* (raus|weg) mit THEM", "(TRIBE|ANY) .* hay que EXPEL", "(TRIBE|ANY) .* MUST .{0,3} (RID|EXPEL|PUNISH)", "(TRIBE|ANY) .* LEAD&burn THEM HOMES", "(TRIBE|ANY) .* LEAD&OUT EOS", "(TRIBE) .* THEM (SCUM|VERMIN) (spreads|spread|everywhere|EOS)",
     )
-    .add("hateful", 0.6, "burn their (houses|homes|churches|shops)", "(raus|weg) mit ihnen", "hay que echarlos", "driven out of (town|the|our)", "get rid of them")
     # sex, by the sum of what the clause holds
     .add("lewd", 0.4, "LEWD")
+    .add("lewd", 0.6, "(free|gratis|watch|kostenlos|gratuit) LEWD")
     .add("lewd", 0.3, "SEXUAL")
+    .add("lewd", 0.15, "CARESS")
     .add("lewd", 0.1, "HINT")
-    .add("clinic", -0.5, "CLINIC")
 )
+STAGES = (TARGETS, JUDGEMENTS, CONTEXT)
 
 # fixed values: look-alike characters
 LEET = str.maketrans({"$": "s", "@": "a", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "|": "i", "+": "t", "€": "e", "8": "b", "9": "g"})
@@ -190,10 +164,18 @@ MASKED = re.compile(r"[.*#_\-+%&?�]+")
 MASKED_OR_NOT = re.compile(r"[.*#_\-+%&?�]+|[^.*#_\-+%&?�]+")
 JOINERS = frozenset(".-+&?")
 # ordinary words of the four languages that doubled letters alone tell from words of the lexicon
-ORDINARY = frozenset("bitte bocca fills gross looser loosers magots morron morros pettit raten root roten saale salle soon staab striping".split())
+ORDINARY = frozenset("anne bitte bocca butter fills finnish gross looser loosers madden magots morron morros pettit pollen raten rooms root roten saale salle soon staab striping".split())
 UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
 CARRIERS = ("LEWD", "SEXUAL")  # without one of them a clause isn't about sex
-COMMON = {"YOU": 100, "COP": 100, "DET": 100, "HINT": 100, "CLINIC": 100, "HARM": 50, "NAMED": 100, "PLURAL": 100, "PEOPLE": 100, "OTHER": 100}  # how common labels are; HARM holds the article "die"
+#: Labels by the place of a token in its clause.
+PLACED = frozenset({"LEAD", "PROPER", "EOS"})
+#: How common labels are; HARM holds the German article "die".
+COMMON = dict.fromkeys("LEAD PROPER EOS".split(), 1000) | dict.fromkeys("YOU COP DET ALL NEG SELF HE THEM HINT CLINIC NAMED PLURAL PEOPLE OTHER ANY AWAY".split(), 100)
+COMMON |= {"HARM": 50, "MUST": 60, "WILL": 60, "TRIBE": 45, "DEMONYM": 40, "GROUP": 10, "PLACE": 40, "SEND": 30, "BODY": 30, "SPEAK": 30}
+#: Classes whose words are too short or common to be looked for behind disguises.
+PLAIN = frozenset("DET COP HINT YOU CLINIC ALL NEG SELF HE THEM MUST WILL NOBODY AWAY OUT SEND SHUN PLACE HOMES KIN SHAME THING SPEAK STAFF PENALTY WORD HUMAN BODY VANISH HURT BEASTS LOWER PUNISH CARESS INTENS FIGURE".split())
+#: Endings of plural demonyms.
+DEMONYMS = ("i", "is", "ans", "ians", "ites", "ese", "ers", "ish", "ards", "ois", "iens", "anos", "inos", "enses")
 UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 CUTS = re.compile("|".join(sorted({w for text in JAPANESE.values() for w in text.split()}, key=lambda w: (-len(w), w))))
 NOTHING: Labels = frozenset()
@@ -221,20 +203,20 @@ def outside(token: str) -> Labels:
     core = token.strip(EDGES)
     if len(core) < 3 or not core.isalpha():
         return OUTSIDE
-    named, plural = core[0].isupper() and core[1:].islower(), core[-1] in "sx"
-    return OUTSIDE | {x for x, holds in (("NAMED", named), ("PLURAL", plural), ("PEOPLE", named and plural)) if holds}
+    named, plural, folk = core[0].isupper() and (core[1:].islower() or core.isupper()), core[-1] in "sSxX", core.lower().endswith(DEMONYMS)
+    return OUTSIDE | {x for x, holds in (("NAMED", named), ("PLURAL", plural), ("PEOPLE", named and plural), ("DEMONYM", named and folk and len(core) > 4)) if holds}
 
 
 class Gate:
     """Which clauses are worth reading, from the rules themselves.
 
     A rule can match only a clause that holds a label of each set of ``Pattern.needs``, be it of a token or written by
-    a phrase or context that can match. ``hot`` has one such set of each rule; a clause without a hot token scores 0.
+    an earlier stage that can match. ``hot`` has one such set of each rule; a clause without a hot token scores 0.
     """
 
     def __init__(self, phrases: Transducer):
-        self.writers = [*phrases.rules, *CONTEXT.rules]
-        self.deciding = [r for r in CLAUSES.rules if r.weight > 0 and (r.name != "lewd" or not r.pattern.first.isdisjoint(CARRIERS))]
+        self.writers = [r for stage in (phrases, *STAGES) for r in stage.rules if NEUTRAL not in r.output]
+        self.deciding = [r for r in CLAUSES.rules if r.name != "lewd" or not r.pattern.first.isdisjoint(CARRIERS)]
         self.hot: set[str] = set().union(*(self.key(r) for r in self.deciding))
         waiting = list(self.writers)
         while ready := [r for r in waiting if not r.output.isdisjoint(self.hot)]:
@@ -248,7 +230,7 @@ class Gate:
 
     def opens(self, labels: list[Labels]) -> bool:
         """Whether some rule that decides can match a clause of these labels."""
-        held = set().union(*labels)
+        held = set(PLACED).union(*labels)
         for r in self.writers:
             if not r.output <= held and all(not n.isdisjoint(held) for n in r.pattern.needs):
                 held |= r.output
@@ -258,9 +240,9 @@ class Gate:
 class Lexer:
     """The lexical transducer: surface token -> labels, through all spellings that a reader would see through."""
 
-    def __init__(self, groups: tuple[str, ...] = GROUPS):
+    def __init__(self, groups: tuple[str, ...] = ()):
         self.labels: dict[str, set[str]] = {}
-        for label, text in [*LEXICON.items(), *RUSSIAN.items(), *JAPANESE.items()]:
+        for label, text in [*CLASSES.items(), ("GROUP", GROUPS), *RUSSIAN.items(), *JAPANESE.items()]:
             for w in text.split():
                 self.labels.setdefault(w if UNSPACED.search(w) else folded(w), set()).add(label)
         self.phrases = Transducer(list(PHRASES.rules))
@@ -270,13 +252,13 @@ class Lexer:
                 self.labels.setdefault(parts[0], set()).add("GROUP")
             else:
                 self.phrases.add("group", 1.0, " ".join(parts), output="GROUP")
-        content = set(self.labels) | self.phrases.words()
-        for w in self.phrases.words() | CONTEXT.words() | CLAUSES.words():
+        content = {w for w, of in self.labels.items() if not of <= PLAIN} | {w for w in self.phrases.words() if len(w) > 4}
+        for w in set().union(*(stage.words() for stage in (self.phrases, *STAGES, CLAUSES))):
             self.labels.setdefault(w, set())
         self.fuzzy: dict[str, tuple[str, ...]] = {}
         self.masked: dict[str, list[str]] = {}
         for w in sorted(content | {w for w in self.labels if len(w) > 4}):
-            if len(w) >= 3 and not self.labels[w] & {"DET", "COP", "HINT", "YOU", "CLINIC"}:
+            if len(w) >= 3 and (not self.labels[w] or not self.labels[w] <= PLAIN):
                 self.masked.setdefault(w[0], []).append(w)
                 for i in range(1, len(w)):
                     hole = w[:i] + "?" + w[i + 1 :]
@@ -285,7 +267,7 @@ class Lexer:
         self.single = {PAIRS.sub(r"\1", w): w for w in sorted(content) if len(w) >= 3}
         self.doubled: dict[str, list[str]] = {}
         for w in sorted(content):
-            if len(w) >= 3 and (not self.labels[w] <= {"DET", "COP", "HINT", "YOU", "CLINIC"} or not self.labels[w] and len(w) > 3):
+            if len(w) >= 3:
                 self.doubled.setdefault(PAIRS.sub(r"\1", w), []).append(w)
         self.gate = Gate(self.phrases)
         self.memo: dict[str, tuple[Labels, bool, bool]] = {}
@@ -301,20 +283,21 @@ class Lexer:
             return (plain,)
         if STARRED.fullmatch(folded(token).strip(SENTENCE)):
             return ("fuck",)
+        if not token.isascii():
+            umlauts = folded(unicodedata.normalize("NFC", token).lower().translate(UMLAUTS)).strip(EDGES)
+            if umlauts in self.labels:
+                return (umlauts,)
         if plain.isalpha() and plain.isascii() and not RUNS.search(plain):
             return self.redoubled(plain)
         if not plain or NUMBERED.search(plain) or not any(c.isalpha() for c in plain):
             return ()
-        umlauts = folded(unicodedata.normalize("NFC", token).lower().translate(UMLAUTS)).strip(EDGES)
-        if umlauts in self.labels:
-            return (umlauts,)
         raw = folded(token).strip(SENTENCE)
         tries = [raw, raw.rstrip("!")]
         for leet in (raw.translate(LEET), raw.rstrip("!").translate(LEET), raw.replace("1", "l").translate(LEET)):
             tries.append(leet)
         for t in tries:
             joined = INNER.sub("", t)
-            if joined in self.labels and not joined.isdigit() and len(joined) > 1:
+            if joined in self.labels and not joined.isdigit() and len(joined) > 1 and (self.labels[joined] or len(joined) > 3):
                 return (joined,)
             if RUNS.search(joined):
                 for u in (RUNS.sub(r"\1", joined), RUNS.sub(r"\1\1", joined)):
@@ -423,38 +406,71 @@ class Lexer:
 class Scorer:
     """Scores texts; ``score`` gives (abusive, hateful, sexual), each in 0..1."""
 
-    def __init__(self, groups: tuple[str, ...] = GROUPS):
+    def __init__(self, groups: tuple[str, ...] = ()):
         self.lexer = Lexer(groups)
 
-    def clause(self, labels: list[Labels]) -> tuple[float, float, float]:
-        labels = CONTEXT.rewrite(self.lexer.phrases.rewrite(labels))
-        found = CLAUSES.score(labels)
-        lewd = found.get("lewd", 0.0) + found.get("clinic", 0.0)
+    @staticmethod
+    def placed(tokens: list[str], labels: list[Labels]) -> list[Labels]:
+        """Labels by place: LEAD starts the clause or follows a comma or colon; PROPER is a name in mixed case inside it; EOS ends it."""
+        mixed = any(t[:1].islower() and len(t) > 2 for t in tokens)
+        out, lead = [], True
+        for k, (token, one) in enumerate(zip(tokens, labels)):
+            out.append(one | ({"LEAD"} if lead else frozenset()) | ({"PROPER"} if mixed and k and "NAMED" in one else frozenset()))
+            lead = token[-1:] in ",;:-–—" or token[-1:] == "…"
+        return [*out, frozenset({"EOS"})]
+
+    def clause(self, tokens: list[str], labels: list[Labels]) -> tuple[float, float, float]:
+        lattice = compose(self.placed(tokens, labels), self.lexer.phrases, *STAGES)
+        found = CLAUSES.score(lattice)
+        lewd = found.get("lewd", 0.0) - 0.5 * any("CLINIC" in x for x in labels)
         carries = any(not x.isdisjoint(CARRIERS) for x in labels)
         return found.get("abusive", 0.0), found.get("hateful", 0.0), lewd if carries else 0.0
 
     def score(self, text: str | None) -> tuple[float, float, float]:
+        """Sentences are read line by line, and those that run on over line breaks also as a whole."""
         top = [0.0, 0.0, 0.0]
         if text and not text.isascii() and UNSPACED.search(text):
             text = CUTS.sub(r" \g<0> ", unicodedata.normalize("NFKC", text).replace("。", "。 "))
         if not text or self.lexer.quiet(text.split()):
             return tuple(top)
-        look = self.lexer.look
+        look, opens = self.lexer.look, self.lexer.gate.opens
+
+        def read(tokens: list[str], labels: list[Labels], across: bool = False) -> None:
+            if opens(labels):
+                for i, s in enumerate(self.clause(tokens, labels)[: 2 if across else 3]):
+                    top[i] = max(top[i], s)
+
+        run: tuple[list[str], list[Labels]] = ([], [])  # a sentence that runs on over line breaks
+        lines, warm = 0, False
         for line in text.splitlines():
             tokens = line.split()
             if any(len(t) == 1 for t in tokens):
                 tokens = self.lexer.spaced(tokens)
-            start, hot = 0, False
-            labels = []
+            words, labels, hot = [], [], False
             for k, token in enumerate(tokens):
                 one, is_hot, ends = look(token)
+                words.append(token)
                 labels.append(one)
                 hot |= is_hot
-                if ends or k + 1 == len(tokens):
-                    if hot and self.lexer.gate.opens(labels):
-                        for i, s in enumerate(self.clause(labels)):
-                            top[i] = max(top[i], s)
-                    labels, hot = [], False
+                last = k + 1 == len(tokens)
+                if ends or last:
+                    if hot:
+                        read(words, labels)
+                    if run[0] or last and not ends:
+                        run[0].extend(words)
+                        run[1].extend(labels)
+                        lines, warm = lines + 1, warm or hot
+                    if ends and run[0]:
+                        if warm and lines > 1:
+                            read(*run, across=True)
+                        run, lines, warm = ([], []), 0, False
+                    words, labels, hot = [], [], False
+            if not tokens and run[0]:
+                if warm and lines > 1:
+                    read(*run, across=True)
+                run, lines, warm = ([], []), 0, False
+        if warm and lines > 1:
+            read(*run, across=True)
         return tuple(min(1.0, max(0.0, round(s, 4))) for s in top)
 
 
@@ -462,11 +478,12 @@ SCORES = "abusive double, hateful double, sexual double"
 
 
 def content_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), groups: tuple[str, ...] = GROUPS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), groups: tuple[str, ...] = ()
 ) -> DataFrame:
     """(id, kept columns, abusive, hateful, sexual, score, flagged) of every row.
 
     Null, empty and blank texts score 0; repeated rows are scored as often as they are stored; a null id stays null;
+    ``groups`` are further names of groups of people;
     very long texts are read whole; other columns are not read. One narrow stage without a shuffle.
     """
     picked = spread(docs.select(docs[text_col].alias("_text"), docs[id_col].alias("_id"), *(docs[c].alias(f"_k{i}") for i, c in enumerate(keep))))

@@ -1,10 +1,14 @@
-"""A small weighted finite-state toolkit: patterns over label sets, rewriting and scoring transducers, cascades.
+"""A small weighted finite-state toolkit: patterns over label sets, transducers over lattices, their composition.
 
-A token is a set of labels. A pattern is written as words, labels (upper case), ``.`` for any token, ``( | )``, and
-the suffixes ``?``, ``*``, ``{m,n}``; it is compiled to a non-deterministic automaton. A ``Transducer`` is the union
-of weighted rules with a loop that copies tokens at weight 0. ``rewrite`` gives the output of its best path, in
-which every rule's matched span becomes one token with the rule's output labels; ``score`` gives the weights that
-the best path collects. A cascade composes them: the output of each stage is the input of the next.
+A token is a set of labels. A pattern is written as words, labels (upper case), ``A&B`` for a token with both, ``.``
+for any token that is no neutral reading, ``( | )``, and the suffixes ``?``, ``*``, ``+`` and ``{m,n}``; it is
+compiled to a non-deterministic automaton, ``*`` and ``+`` to loops without a bound.
+
+A sentence is a lattice: arcs from one position to a later one, each with labels and a weight. A ``Transducer`` is the
+union of weighted rules with a copy of every arc at weight 0. Composing it with a lattice adds, for every match of a
+rule, an arc with the rule's output over the matched span, whose weight is the best inner path's plus the rule's. So
+all readings of all stages stay side by side, and only the last transducer's best path through the whole lattice
+decides between them. ``NEUTRAL`` outputs are readings under which the span says nothing of its own.
 """
 
 from __future__ import annotations
@@ -14,28 +18,43 @@ from dataclasses import dataclass, field
 from itertools import product
 
 Labels = frozenset[str]
-LEX = re.compile(r"\{\d+,\d+\}|[()|?*.]|[^\s(){}|?*.]+")
+Arc = tuple[int, Labels, float]
+LEX = re.compile(r"\{\d+,\d+\}|[()|?*+.]|[^\s(){}|?*+.]+")
+NEUTRAL = "NEUTRAL"
+
+
+class Lattice:
+    """``arcs[position]`` lists (end, labels, weight)."""
+
+    def __init__(self, tokens: list[Labels]):
+        self.arcs: list[list[Arc]] = [[(i + 1, labels, 0.0)] for i, labels in enumerate(tokens)]
+
+    def __len__(self) -> int:
+        return len(self.arcs)
 
 
 class Pattern:
-    """An automaton without empty moves: ``arcs[state]`` lists (label or None for any, next state).
+    """An automaton without empty moves: ``arcs[state]`` lists (labels that are needed together, none for any; next state).
 
     Every match has a token of each set of labels in ``needs``.
     """
 
     def __init__(self, text: str):
+        self.text = text
         self.tokens = LEX.findall(text)
-        self.moves: list[list[tuple[str | None, int]]] = []
+        self.moves: list[list[tuple[Labels, int]]] = []
         self.empty: list[list[int]] = []
         self.at = 0
         start, end, self.needs = self._alternatives()
         if self.at != len(self.tokens):
             raise ValueError(f"unbalanced pattern: {text}")
         closure = [self._closure(s) for s in range(len(self.moves))]
-        self.start, self.end = start, end
+        self.start = start
         self.arcs = [tuple({m for c in closure[s] for m in self.moves[c]}) for s in range(len(self.moves))]
         self.final = [end in closure[s] for s in range(len(self.moves))]
-        self.first = {label for label, _ in self.arcs[start]}
+        firsts = {labels for labels, _ in self.arcs[start]}
+        #: One label of each first token; None where any token may be first.
+        self.first: set[str] | None = None if frozenset() in firsts else {min(x) for x in firsts}
 
     def _state(self) -> int:
         self.moves.append([])
@@ -71,20 +90,28 @@ class Pattern:
             here = self.at
             a, b, met = self._atom()
             low, high = 1, 1
-            if self.at < len(self.tokens) and self.tokens[self.at][0] in "?*{":
+            if self.at < len(self.tokens) and self.tokens[self.at][0] in "?*+{":
                 mark = self.tokens[self.at]
                 self.at += 1
-                low, high = (0, 1) if mark == "?" else (0, 8) if mark == "*" else map(int, mark[1:-1].split(","))
+                low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(mark) or map(int, mark[1:-1].split(","))
             after = self.at
+            needs += met if low else []
+            if high is None:
+                done = self._state()
+                self.empty[end].append(a)
+                self.empty[b] += [a, done]
+                if not low:
+                    self.empty[end].append(done)
+                end = done
+                continue
             copies = [(a, b)]
             while len(copies) < high:
                 self.at = here
                 copies.append(self._atom()[:2])
             self.at = after
-            needs += met if low else []
             for k, (a, b) in enumerate(copies):
-                self.empty[end].append(a)
                 done = self._state()
+                self.empty[end].append(a)
                 self.empty[b].append(done)
                 if k >= low:
                     self.empty[end].append(done)
@@ -99,22 +126,35 @@ class Pattern:
             self.at += 1
             return a, b, needs
         a, b = self._state(), self._state()
-        self.moves[a].append((None if token == "." else token, b))
-        return a, b, [] if token == "." else [frozenset({token})]
+        labels = frozenset() if token == "." else frozenset(token.split("&"))
+        self.moves[a].append((labels, b))
+        return a, b, [frozenset({x}) for x in labels]
 
     def words(self) -> set[str]:
         """The literal words (not labels) of the pattern."""
-        return {t for t in self.tokens if t[0] not in "(){}|?*." and not t.isupper()}
-
-    def ends(self, tokens: list[Labels], at: int) -> list[int]:
-        """All positions after a match that starts at ``at``."""
-        states, out = {self.start}, []
-        while states and at < len(tokens):
-            here = tokens[at]
-            states = {n for s in states for label, n in self.arcs[s] if label is None or label in here}
-            at += 1
-            if any(self.final[s] for s in states):
-                out.append(at)
+        return {x for t in self.tokens if t[0] not in "(){}|?*+." for x in t.split("&") if not x.isupper()}
+
+    def ends(self, lattice: Lattice, at: int) -> dict[int, float]:
+        """The end of every match that starts at ``at``, with the weight of its best inner path."""
+        ahead: dict[int, dict[int, float]] = {at: {self.start: 0.0}}
+        out: dict[int, float] = {}
+        while ahead:
+            p = min(ahead)
+            states = ahead.pop(p)
+            if p > at:
+                done = [w for s, w in states.items() if self.final[s]]
+                if done:
+                    out[p] = max(done)
+            if p == len(lattice):
+                continue
+            for end, here, weight in lattice.arcs[p]:
+                neutral = NEUTRAL in here
+                for s, w in states.items():
+                    for labels, n in self.arcs[s]:
+                        if labels <= here and (labels or not neutral):
+                            goal = ahead.setdefault(end, {})
+                            if w + weight > goal.get(n, -1e9):
+                                goal[n] = w + weight
         return out
 
 
@@ -128,7 +168,7 @@ class Rule:
 
 @dataclass
 class Transducer:
-    """The union of weighted rules; the best path has the largest sum of rule weights, then the fewest rules."""
+    """The union of weighted rules."""
 
     rules: list[Rule] = field(default_factory=list)
 
@@ -140,42 +180,48 @@ class Transducer:
     def words(self) -> set[str]:
         return set().union(*(r.pattern.words() for r in self.rules))
 
-    def best(self, tokens: list[Labels]) -> list[tuple[int, int, Rule]]:
-        """(start, end, rule) of the best path, by dynamic programming from the right."""
-        n = len(tokens)
+    def matches(self, lattice: Lattice, i: int):
+        """(end, weight of the inner path, rule) of all matches that start at ``i``."""
+        here = set().union(*(labels for _, labels, _ in lattice.arcs[i]))
+        for rule in self.rules:
+            if rule.pattern.first is None or not rule.pattern.first.isdisjoint(here):
+                for end, inner in rule.pattern.ends(lattice, i).items():
+                    yield end, inner, rule
+
+    def compose(self, lattice: Lattice) -> Lattice:
+        """The lattice with an arc for each match; equal arcs keep the larger weight."""
+        fresh: list[dict[tuple[int, Labels], float]] = []
+        for i in range(len(lattice)):
+            best: dict[tuple[int, Labels], float] = {}
+            for end, inner, rule in self.matches(lattice, i):
+                key = end, rule.output
+                best[key] = max(best.get(key, -1e9), inner + rule.weight)
+            fresh.append(best)
+        out = Lattice([])
+        out.arcs = [[*arcs, *((end, labels, w) for (end, labels), w in best.items())] for arcs, best in zip(lattice.arcs, fresh)]
+        return out
+
+    def score(self, lattice: Lattice) -> dict[str, float]:
+        """Summed weight of each rule name on the best path: the largest sum of weights, then the fewest rules."""
+        n = len(lattice)
         value: list[tuple[float, int]] = [(0.0, 0)] * (n + 1)
-        step: list[tuple[int, Rule] | None] = [None] * n
+        step: list[tuple[int, Rule | None]] = [(n, None)] * n
         for i in range(n - 1, -1, -1):
-            value[i] = value[i + 1]
-            here = tokens[i]
-            for rule in self.rules:
-                first = rule.pattern.first
-                if None not in first and first.isdisjoint(here):
-                    continue
-                for end in rule.pattern.ends(tokens, i):
-                    v = (value[end][0] + rule.weight, value[end][1] - 1)
-                    if v > value[i]:
-                        value[i], step[i] = v, (end, rule)
-        path, i = [], 0
-        while i < n:
-            if step[i] is None:
-                i += 1
-            else:
-                end, rule = step[i]
-                path.append((i, end, rule))
-                i = end
-        return path
-
-    def rewrite(self, tokens: list[Labels]) -> list[Labels]:
-        out, at = [], 0
-        for start, end, rule in self.best(tokens):
-            out += [*tokens[at:start], rule.output]
-            at = end
-        return out + tokens[at:]
-
-    def score(self, tokens: list[Labels]) -> dict[str, float]:
-        """Summed weight of each rule name on the best path."""
+            options = [((value[end][0] + w, value[end][1]), end, None) for end, _, w in lattice.arcs[i]]
+            options += [((value[end][0] + inner + rule.weight, value[end][1] - 1), end, rule) for end, inner, rule in self.matches(lattice, i)]
+            value[i], *step[i] = max(options, key=lambda x: x[0])
         found: dict[str, float] = {}
-        for _, _, rule in self.best(tokens):
-            found[rule.name] = found.get(rule.name, 0.0) + rule.weight
+        i = 0
+        while i < n:
+            i, rule = step[i]
+            if rule is not None:
+                found[rule.name] = found.get(rule.name, 0.0) + rule.weight
         return found
+
+
+def compose(tokens: list[Labels], *stages: Transducer) -> Lattice:
+    """The lattice of a sentence under a cascade of transducers."""
+    lattice = Lattice(tokens)
+    for stage in stages:
+        lattice = stage.compose(lattice)
+    return lattice
