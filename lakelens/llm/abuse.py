@@ -297,7 +297,7 @@ class Lexer:
             tries.append(leet)
         for t in tries:
             joined = INNER.sub("", t)
-            if joined in self.labels and not joined.isdigit() and len(joined) > 1 and (self.labels[joined] or len(joined) > 3):
+            if joined in self.labels and not joined.isdigit() and len(joined) > 1 and (self.labels[joined] or len(joined) > 3 or len(joined) == len(t)):
                 return (joined,)
             if RUNS.search(joined):
                 for u in (RUNS.sub(r"\1", joined), RUNS.sub(r"\1\1", joined)):
