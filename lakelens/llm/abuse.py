@@ -222,19 +222,36 @@ class Gate:
         while ready := [r for r in waiting if not r.output.isdisjoint(self.hot)]:
             waiting = [r for r in waiting if r not in ready]
             self.hot.update(*(self.key(r) for r in ready))
+        known = sorted(set().union(PLACED, *(n for r in (*self.writers, *self.deciding) for n in (*r.pattern.needs, r.output))))
+        self.bit = {x: 1 << k for k, x in enumerate(known)}
+        self.placed = self.bits(PLACED)
+        self.writing = [(self.bits(r.output), *self._asked(r)) for r in self.writers]
+        self.judging = [self._asked(r) for r in self.deciding]
 
     @staticmethod
     def key(rule: Rule) -> Labels:
         """The needed set that texts are least likely to hold."""
         return min(rule.pattern.needs, key=lambda need: sum(COMMON.get(x, 1 if x.isupper() else 20 / len(x)) for x in need))
 
-    def opens(self, labels: list[Labels]) -> bool:
-        """Whether some rule that decides can match a clause of these labels."""
-        held = set(PLACED).union(*labels)
-        for r in self.writers:
-            if not r.output <= held and all(not n.isdisjoint(held) for n in r.pattern.needs):
-                held |= r.output
-        return any(all(not n.isdisjoint(held) for n in r.pattern.needs) for r in self.deciding)
+    def bits(self, labels: Labels | set[str]) -> int:
+        """The set of those labels that rules ask for, as bits."""
+        return sum(self.bit[x] for x in labels if x in self.bit)
+
+    def _asked(self, rule: Rule) -> tuple[int, list[int]]:
+        """The labels that the rule needs for certain, and the sets of which it needs one."""
+        needs = [self.bits(need) for need in rule.pattern.needs]
+        return sum({n for n in needs if n.bit_count() == 1}), [n for n in needs if n.bit_count() > 1]
+
+    def opens(self, held: int) -> bool:
+        """Whether some rule that decides can match a clause that holds these labels."""
+        held |= self.placed
+        for output, all_of, one_of in self.writing:
+            if output & ~held and held & all_of == all_of and all(held & n for n in one_of):
+                held |= output
+        for all_of, one_of in self.judging:
+            if held & all_of == all_of and all(held & n for n in one_of):
+                return True
+        return False
 
 
 class Lexer:
@@ -270,7 +287,7 @@ class Lexer:
             if len(w) >= 3:
                 self.doubled.setdefault(PAIRS.sub(r"\1", w), []).append(w)
         self.gate = Gate(self.phrases)
-        self.memo: dict[str, tuple[Labels, bool, bool]] = {}
+        self.memo: dict[str, tuple[Labels, bool, bool, int]] = {}
         self.cold: set[str] = set()
         self.frozen = {w: frozenset(v) | {w} for w, v in self.labels.items()}
 
@@ -349,14 +366,14 @@ class Lexer:
             return tuple(w for w in words if 2 * len(letters) >= len(w) and fits.fullmatch(w))
         return ()
 
-    def look(self, token: str) -> tuple[Labels, bool, bool]:
-        """(labels, whether a clause with it is worth reading, whether the clause ends here)."""
+    def look(self, token: str) -> tuple[Labels, bool, bool, int]:
+        """(labels, whether a clause with it is worth reading, whether the clause ends here, the labels as the gate's bits)."""
         found = self.memo.get(token)
         if found is None:
             if len(self.memo) > 400_000:
                 self.memo.clear()
             labels = frozenset().union(*(self.frozen[w] for w in self.words(token))) or outside(token)
-            found = self.memo[token] = (labels, not self.gate.hot.isdisjoint(labels), bool(ENDS.search(token)))
+            found = self.memo[token] = (labels, not self.gate.hot.isdisjoint(labels), bool(ENDS.search(token)), self.gate.bits(labels))
         return found
 
     def quiet(self, tokens: list[str]) -> bool:
@@ -435,42 +452,43 @@ class Scorer:
             return tuple(top)
         look, opens = self.lexer.look, self.lexer.gate.opens
 
-        def read(tokens: list[str], labels: list[Labels], across: bool = False) -> None:
-            if opens(labels):
+        def read(tokens: list[str], labels: list[Labels], held: int, across: bool = False) -> None:
+            if opens(held):
                 for i, s in enumerate(self.clause(tokens, labels)[: 2 if across else 3]):
                     top[i] = max(top[i], s)
 
         run: tuple[list[str], list[Labels]] = ([], [])  # a sentence that runs on over line breaks
-        lines, warm = 0, False
+        lines, warm, seen = 0, False, 0
         for line in text.splitlines():
             tokens = line.split()
             if any(len(t) == 1 for t in tokens):
                 tokens = self.lexer.spaced(tokens)
-            words, labels, hot = [], [], False
+            words, labels, hot, held = [], [], False, 0
             for k, token in enumerate(tokens):
-                one, is_hot, ends = look(token)
+                one, is_hot, ends, bits = look(token)
                 words.append(token)
                 labels.append(one)
                 hot |= is_hot
+                held |= bits
                 last = k + 1 == len(tokens)
                 if ends or last:
                     if hot:
-                        read(words, labels)
+                        read(words, labels, held)
                     if run[0] or last and not ends:
                         run[0].extend(words)
                         run[1].extend(labels)
-                        lines, warm = lines + 1, warm or hot
+                        lines, warm, seen = lines + 1, warm or hot, seen | held
                     if ends and run[0]:
                         if warm and lines > 1:
-                            read(*run, across=True)
-                        run, lines, warm = ([], []), 0, False
-                    words, labels, hot = [], [], False
+                            read(*run, seen, across=True)
+                        run, lines, warm, seen = ([], []), 0, False, 0
+                    words, labels, hot, held = [], [], False, 0
             if not tokens and run[0]:
                 if warm and lines > 1:
-                    read(*run, across=True)
-                run, lines, warm = ([], []), 0, False
+                    read(*run, seen, across=True)
+                run, lines, warm, seen = ([], []), 0, False, 0
         if warm and lines > 1:
-            read(*run, across=True)
+            read(*run, seen, across=True)
         return tuple(min(1.0, max(0.0, round(s, 4))) for s in top)
 
 

@@ -171,6 +171,7 @@ class Transducer:
     """The union of weighted rules."""
 
     rules: list[Rule] = field(default_factory=list)
+    starting: tuple[int, dict[str | None, list[int]]] = (0, {})
 
     def add(self, name: str, weight: float, *patterns: str, output: str = "") -> Transducer:
         for p in patterns:
@@ -182,11 +183,22 @@ class Transducer:
 
     def matches(self, lattice: Lattice, i: int):
         """(end, weight of the inner path, rule) of all matches that start at ``i``."""
-        here = set().union(*(labels for _, labels, _ in lattice.arcs[i]))
-        for rule in self.rules:
-            if rule.pattern.first is None or not rule.pattern.first.isdisjoint(here):
-                for end, inner in rule.pattern.ends(lattice, i).items():
-                    yield end, inner, rule
+        if self.starting[0] != len(self.rules):  # rules by the labels that their first token may have
+            by_label: dict[str | None, list[int]] = {}
+            for k, rule in enumerate(self.rules):
+                for label in (None,) if rule.pattern.first is None else rule.pattern.first:
+                    by_label.setdefault(label, []).append(k)
+            self.starting = len(self.rules), by_label
+        by_label = self.starting[1]
+        ready = set(by_label.get(None, ()))
+        for _, labels, _ in lattice.arcs[i]:
+            for label in labels:
+                if label in by_label:
+                    ready.update(by_label[label])
+        for k in sorted(ready):
+            rule = self.rules[k]
+            for end, inner in rule.pattern.ends(lattice, i).items():
+                yield end, inner, rule
 
     def compose(self, lattice: Lattice) -> Lattice:
         """The lattice with an arc for each match; equal arcs keep the larger weight."""
