@@ -105,6 +105,23 @@ def test_leaks_against_brute_force(spark, run):
     assert leakage.leaked_items(d, e.limit(0), run).count() == 0 and leakage.leaked_items(d.limit(0), e, run).count() == 0
 
 
+def test_a_run_that_all_passages_share(monkeypatch):
+    monkeypatch.setattr(leakage, "CANDIDATES", 50)
+    shared = " ".join(f"w{i}" for i in range(15))
+    items = [(i, f"own{i} {shared} end{i}") for i in range(120)] + [(500, "too short")]
+    search = leakage.LeakFinder(leakage.WuManber([(i, words(p)) for i, p in items], 12))
+    doc, item = search.find([None, shared, "x " * 3000 + shared.upper(), "", "own3 " + shared])
+    assert {(d, i) for d, i in zip(doc.tolist(), item.tolist())} == {(d, i) for d in (1, 2, 4) for i in range(120)}
+
+
+def test_tables_of_a_block_are_small():
+    import pickle
+
+    rng = random.Random(3)
+    items = [(i, [f"w{rng.randrange(10**5)}" for _ in range(200)]) for i in range(800)]  # about a million characters
+    assert len(pickle.dumps(leakage.WuManber(items, 12))) < 30_000_000
+
+
 def test_leaks_in_documents(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()]
     items = [(r.item_id, r.passage) for r in table(spark, DATA, "eval_items").collect()]
