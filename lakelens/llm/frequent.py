@@ -2,8 +2,8 @@
 
 Round by round the table is aggregated by a prefix of each value's hash. A prefix's count is an upper bound for every
 value in it, so prefixes that can't reach the current lower bound are dropped and the others lengthened, until whole
-values remain. A round needs memory for 2^bits counters of each group in a task, however many distinct values there
-are. Counts are exact.
+values remain. How far they are lengthened depends on how many survive, so a round's counters are bounded however many
+distinct values there are. Counts are exact.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lakelens.runtime import small_side, written
 
 BITS = (12, 32)
+#: A round of ``top_values`` has at most about 2^COUNTERS prefixes in all; prefixes of this many bits hold one value almost always.
+COUNTERS, LONG_ENOUGH = 22, 40
 
 
 def long_form(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -67,33 +69,45 @@ def _with_total(counted: DataFrame, totals: DataFrame, keys: list[str]) -> DataF
     return a.join(b, on).select("a.*", "b.n")
 
 
-def top_values(df: DataFrame, by: list[str], columns: list[str], k: int = 10, bits: tuple[int, ...] = BITS) -> DataFrame:
+def top_values(df: DataFrame, by: list[str], columns: list[str], k: int = 10, bits: int = BITS[0]) -> DataFrame:
     """(by..., column_name, value, cnt, rank) of the k most frequent values; ties are ranked by value.
 
-    The lower bound is the k-th largest exact count among the values of the k heaviest prefixes; every prefix that
-    reaches it is lengthened. Where a column is flat many prefixes survive, and the last round counts what is left
-    of the distinct values in a distributed aggregation: exact at any size, never capped.
+    The lower bound is the k-th largest exact count among the values of the k heaviest prefixes, taken anew as long as
+    many prefixes survive; every prefix that reaches it is lengthened by as many bits as keep a round's counters within
+    2^``COUNTERS``. A column so flat that more prefixes than that survive is counted by value at once, in a distributed
+    aggregation that spills: exact at any size, never capped.
     """
     keys = [*by, "column_name"]
-    order = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "p")
-    first = written(count_by(long_form(df, by, columns), keys, prefix(bits[0]).alias("p")), "p3-prefixes")
-    heavy = small_side(first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*keys, "p"), "p3-heavy")
-    hashed = long_form(df, by, columns).withColumn("p", prefix(bits[0]))
-    ranked = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "value")
-    known = count_by(null_safe_semi(hashed, heavy, [*keys, "p"]), keys, F.col("value"))
-    bound = small_side(
-        known.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).groupBy(*keys)
-        .agg(F.when(F.count("*") == k, F.min("cnt")).otherwise(F.lit(1)).alias("n")),
-        "p3-bound",
-    )
     reach = F.col("cnt") >= F.col("n")
-    rows, counted = hashed, first
-    for now, after in zip(bits, (*bits[1:], None)):
+    ranked = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "value")
+    counted, bound = written(count_by(long_form(df, by, columns), keys, prefix(bits).alias("p")), "p3-prefixes"), None
+    while True:
+        if bound is None or survivors > 4 * k * groups:
+            bound = _kth_count(df, by, columns, k, counted, bits)
+            groups = bound.count()
         kept = small_side(_with_total(counted, bound, keys).where(reach).select(*keys, "p"), "p3-kept")
-        rows = null_safe_semi(long_form(df, by, columns).withColumn("p", prefix(now)), kept, [*keys, "p"])
-        counted = count_by(rows, keys, prefix(after).alias("p") if after else F.col("value"))
+        survivors = kept.count()
+        rows = null_safe_semi(long_form(df, by, columns).withColumn("p", prefix(bits)), kept, [*keys, "p"])
+        if bits >= LONG_ENOUGH or survivors >> COUNTERS:
+            break
+        bits = min(LONG_ENOUGH, bits + max(4, COUNTERS - survivors.bit_length()))
+        counted = written(count_by(rows, keys, prefix(bits).alias("p")), "p3-prefixes")
     return (
-        _with_total(counted, bound, keys).where(reach)
+        _with_total(count_by(rows, keys, F.col("value")), bound, keys).where(reach)
         .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
         .select(*keys, "value", "cnt", "rank")
     )
+
+
+def _kth_count(df: DataFrame, by: list[str], columns: list[str], k: int, counted: DataFrame, bits: int) -> DataFrame:
+    """(keys, n): of each group the k-th largest exact count among the values of its k heaviest prefixes, 1 if there are fewer values."""
+    keys = [*by, "column_name"]
+    order = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "p")
+    heavy = small_side(counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*keys, "p"), "p3-heavy")
+    ranked = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "value")
+    known = count_by(null_safe_semi(long_form(df, by, columns).withColumn("p", prefix(bits)), heavy, [*keys, "p"]), keys, F.col("value"))
+    return small_side(
+        known.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).groupBy(*keys)
+        .agg(F.when(F.count("*") == k, F.min("cnt")).otherwise(F.lit(1)).alias("n")),
+        "p3-bound",
+    )

@@ -86,6 +86,28 @@ def test_signed_deltas(spark):
         assert {r.set_id: r.n for r in state.sizes.collect()} == sizes
     same = state.apply(spark.createDataFrame([], "value string, set_id long, member boolean"))
     assert sorted(map(str, same.candidates().collect())) == sorted(map(str, state.candidates().collect()))
+    merged = state.compact()
+    assert len(merged.members) == 1 and sorted(map(str, merged.candidates().collect())) == sorted(map(str, state.candidates().collect()))
+    again = merged.apply(spark.createDataFrame([("hot", 77, True), ("a", 0, False)], "value string, set_id long, member boolean"))
+    members = (members | {("hot", 77)}) - {("a", 0)}
+    assert {(r.left_set, r.right_set): r.shared for r in again.pairs.collect()} == pairs_of(members)[0]
+
+
+def test_identifier_in_very_many_sets(spark):
+    """All pairs of its sets are made in pieces, and an increment adds segments of its own size only."""
+    n = 2000
+    rows = spark.range(n).selectExpr("'hot' AS value", "id AS set_id", "true AS member").union(spark.createDataFrame([("x", 1, True), ("x", 2, True)], "value string, set_id long, member boolean"))
+    state = overlap.Overlaps.empty(spark).apply(rows)
+    assert state.pairs.count() == n * (n - 1) // 2 and [r.shared for r in state.pairs.where("left_set = 1 and right_set = 2").collect()] == [2]
+    after = state.apply(spark.createDataFrame([("hot", 5000, True), ("hot", 7, False), ("y", 3, True)], "value string, set_id long, member boolean"))
+    assert after.members[0] is state.members[0] and after.pair_parts[0] is state.pair_parts[0]
+    assert after.members[1].count() == 2 and after.pair_parts[1].count() == (n - 1) * 2 and after.size_parts[1].count() == 3
+    assert after.pairs.where("left_set = 7 or right_set = 7").count() == 0 and after.pairs.where("right_set = 5000").count() == n - 1
+    for piece in (1, 3, 10**6):
+        some = state.spark.createDataFrame([([1, 2, 3], [4, 5, 6, 7], [8, 9], 2), ([], [1, 2], [], 1)], "kept array<bigint>, plus array<bigint>, minus array<bigint>, w bigint")
+        got = sorted(tuple(r) for r in overlap.pair_deltas(some, piece).collect())
+        want = [(min(p, q), max(p, q), 2) for p in (4, 5, 6, 7) for q in (1, 2, 3, *range(p + 1, 8))] + [(min(p, q), max(p, q), -2) for p in (8, 9) for q in (1, 2, 3, *range(p + 1, 10))] + [(1, 2, 1)]
+        assert got == sorted(want)
 
 
 def test_identifiers_and_days(spark):
@@ -119,10 +141,22 @@ def test_frequent(spark):
     for bits in ((2, 5), (12, 32)):
         got = {(r.load_id, r.column_name, r.value): r.cnt for r in frequent.frequent_values(df, ["load_id"], ["a", "b"], (1, 50), bits).collect()}
         assert got == {k: n for k, n in counts.items() if n * 50 >= totals[k[0], k[1]]}
-        top = {(r.load_id, r.column_name, r["rank"]): (r.value, r.cnt) for r in frequent.top_values(df, ["load_id"], ["a", "b"], 3, bits).collect()}
+        top = {(r.load_id, r.column_name, r["rank"]): (r.value, r.cnt) for r in frequent.top_values(df, ["load_id"], ["a", "b"], 3, bits[0]).collect()}
         want = {}
         for g, c in totals:
             own = sorted(((-n, v) for (h, d, v), n in counts.items() if (h, d) == (g, c)))[:3]
             want |= {(g, c, i + 1): (v, -n) for i, (n, v) in enumerate(own)}
         assert top == want
     assert frequent.frequent_values(df.limit(0), ["load_id"], ["a"]).count() == 0 and frequent.top_values(df.limit(0), ["load_id"], ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("counters", [1, 6, 22])
+def test_top_values_of_a_flat_column(spark, monkeypatch, counters):
+    """However many prefixes survive, and however far they are lengthened, the result is the same."""
+    monkeypatch.setattr(frequent, "COUNTERS", counters)
+    df = spark.range(3000).selectExpr("id % 2 AS load_id", "concat('v', id % 997) AS a", "'clash' AS b")
+    got = [tuple(r) for r in frequent.top_values(df, ["load_id"], ["a"], 4, 2).orderBy("load_id", "rank").collect()]
+    want = df.groupBy("load_id", "a").count().collect()
+    for load in (0, 1):
+        best = sorted((-r["count"], r.a) for r in want if r.load_id == load)[:4]
+        assert [(v, n) for g, _, v, n, _ in got if g == load] == [(v, -n) for n, v in best]
