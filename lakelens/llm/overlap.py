@@ -71,7 +71,7 @@ class Overlaps:
         """(value, sets) of all identifiers that are in a set."""
         if not self.members:
             return self.spark.createDataFrame([], "value string, sets array<bigint>")
-        return self._newest(reduce(DataFrame.unionByName, self.members)).where("size(sets) > 0")
+        return self._newest(self.members).where("size(sets) > 0")
 
     @property
     def pairs(self) -> DataFrame:
@@ -89,9 +89,11 @@ class Overlaps:
         return parts[0] if len(parts) == 1 else _sum(reduce(DataFrame.unionByName, parts), keys, what)  # a segment holds each key once
 
     @staticmethod
-    def _newest(rows: DataFrame) -> DataFrame:
+    def _newest(parts: list[DataFrame]) -> DataFrame:
         sets = F.array_sort(F.array_union("kept", "plus"))
-        return rows.groupBy("value").agg(F.max_by(sets, "seq").alias("sets"))
+        if len(parts) == 1:  # a segment holds each value once
+            return parts[0].select("value", sets.alias("sets"))
+        return reduce(DataFrame.unionByName, parts).groupBy("value").agg(F.max_by(sets, "seq").alias("sets"))
 
     def apply(self, changes: DataFrame) -> Overlaps:
         """``changes``: (value, set_id, member boolean), the membership that shall hold afterwards.
@@ -113,7 +115,7 @@ class Overlaps:
         if self.members:
             told = written(told, "p2-told")
             touched = small_side(told.select("value"), "p2-touched")
-            old = self._newest(reduce(DataFrame.unionByName, self.members).join(touched, "value", "left_semi"))
+            old = self._newest([part.join(touched, "value", "left_semi") for part in self.members])
             known = told.join(old, "value", "left").withColumn("old", F.coalesce("sets", none))
         else:
             known = told.withColumn("old", none)
