@@ -15,7 +15,7 @@ from lakelens.operators import joins, vectors
 from lakelens.operators import profile as prof
 from lakelens.plans import optimize as opt
 from lakelens.plans.engine import Engine, engine_for_tables
-from lakelens.plans.plan import Plan, compile_plan
+from lakelens.plans.plan import Plan, compile_plan, execute
 from lakelens.plans.retrieve import as_rows, candidates_table
 from lakelens.runtime import shared_dir, table
 from lakelens.sources.catalog import Catalog
@@ -134,10 +134,11 @@ planned(
     "topk_by_agg", "SELECT l_suppkey, round(sum(l_extendedprice), 2) AS sum_l_extendedprice FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     scan("lineitem"), group("l_suppkey"), agg("l_extendedprice", "sum"), ("SORT", {"column": "l_extendedprice", "order": "desc"}), ("LIMIT", {"n": 10}),
 )
-planned(
-    "limit_capped", "SELECT o_custkey, count(o_orderkey) AS count_o_orderkey FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500",
-    scan("orders"), group("o_custkey"), agg("o_orderkey", "count"), ("SORT", {"column": "o_orderkey", "order": "desc"}), ("LIMIT", {"n": 100_000}),
+BIG_LIMIT = (
+    scan("orders"), group("o_custkey"), agg("o_orderkey", "count"), ("SORT", {"column": "o_orderkey", "order": "desc"}), ("LIMIT", {"n": 800}),
 )
+_BIG_LIMIT = "SELECT o_custkey, count(o_orderkey) AS count_o_orderkey FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT "
+planned("limit_uncapped", _BIG_LIMIT + "800", *BIG_LIMIT)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -150,6 +151,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("limit_capped", _BIG_LIMIT + "500")
+def limit_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plan at the edge, where at most 500 rows are given out."""
+    out = execute(Plan.of(*BIG_LIMIT), catalog(spark, sf_dir))
+    return spark.createDataFrame([tuple(r) for r in out.rows], out.df.schema)
+
+
 @query("scan_csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV lake of one data set, read through the recursive locator with sniffed options and a stored schema."""

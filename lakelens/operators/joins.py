@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.operators.profile import as_text
-from lakelens.runtime import spread, written
+from lakelens.runtime import small_side, spread, written
 
 # fixed values: sketch shape
 HASHES, BANDS, ROWS = 128, 16, 8
+#: Columns of a value that are paired in one task.
+PIECE = 64
 
 
 def column_values(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
@@ -25,32 +27,48 @@ def column_values(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -
     return reduce(DataFrame.union, parts)
 
 
+def column_pairs(groups: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(a, b, n, some) for the pairs of each group's ``cols`` (an ordered array) that lie in different data sets.
+
+    A group is cut into pieces of ``piece`` columns that are spread over tasks; there each column is a row, and then each
+    of its later partners, so no row ever holds all pairs of a value that very many columns have.
+    """
+    pieces = groups.withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.size("cols") - 1) / piece).cast("int"))))
+    large = F.size("cols") > piece
+    cut = pieces.where(~large).unionByName(pieces.where(large).repartition(F.xxhash64("cols"), "at"))
+    each = cut.select("cols", "n", "some", F.posexplode(F.slice("cols", F.col("at") * piece + 1, piece)).alias("i", "a"), "at")
+    later = each.select("a", "n", "some", F.explode(F.slice("cols", F.col("at") * piece + F.col("i") + 2, F.size("cols"))).alias("b"))
+    return later.where("a.dataset <> b.dataset")
+
+
 def overlap_edges(values: DataFrame, least: float = 0.5, examples: int = 10) -> DataFrame:
     """Pairs of columns of different data sets with |A ∩ B| / min(|A|, |B|) >= least; full recall, one shuffle by value.
 
     Values with the same set of columns are counted together before any pair is formed, so work grows with the number
-    of such sets, not with the number of shared values. Examples are the smallest shared values.
+    of such sets, not with the number of shared values. Examples are the smallest shared values; they are looked up for
+    the pairs that qualify only.
     """
     column = F.struct("dataset", "column")
     held = written(values.groupBy("v").agg(F.array_sort(F.collect_set(column)).alias("cols")), "overlap-values")
     sizes = held.select(F.explode("cols").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     shared = held.where("size(cols) > 1").withColumn("r", F.row_number().over(Window.partitionBy("cols").orderBy("v")))
-    some = shared.where(F.col("r") <= examples).groupBy("cols").agg(F.sort_array(F.collect_list("v")).alias("some"))
-    groups = held.where("size(cols) > 1").groupBy("cols").agg(F.count("*").alias("n")).join(some, "cols")
-    pairs = groups.select(
-        F.explode(F.expr("flatten(transform(cols, a -> transform(filter(cols, b -> b > a and b.dataset <> a.dataset), b -> struct(a, b))))")).alias("p"), "n", "some"
-    )
-    edges = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("both"), F.sort_array(F.flatten(F.collect_list("some"))).alias("some"))
+    groups = shared.groupBy("cols").agg(F.count("*").alias("n"), F.array_compact(F.array(*(F.max(F.when(F.col("r") == k, F.col("v"))) for k in range(1, examples + 1)))).alias("some"))
+    pairs = column_pairs(written(groups, "overlap-groups"))
+    edges = pairs.groupBy("a", "b").agg(F.sum("n").alias("both"))
     left = sizes.select(F.col("c").alias("a"), F.col("n").alias("left_distinct"))
     right = sizes.select(F.col("c").alias("b"), F.col("n").alias("right_distinct"))
     ratio = F.col("both") / F.least("left_distinct", "right_distinct")
+    edges = edges.join(left, "a").join(right, "b").where(ratio >= least)
+    kept = small_side(edges, "overlap-edges")
+    values_of = pairs.join(kept.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.explode("some").alias("v"))
+    first = values_of.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("v"))).where(F.col("r") <= examples)
+    some = first.groupBy("a", "b").agg(F.sort_array(F.collect_list("v")).alias("samples"))
     return (
-        edges.join(left, "a").join(right, "b").where(ratio >= least)
+        kept.join(some, ["a", "b"], "left")
         .select(
             F.col("a.dataset").alias("left_dataset"), F.col("a.column").alias("left_column"),
             F.col("b.dataset").alias("right_dataset"), F.col("b.column").alias("right_column"),
-            F.round(ratio, 4).alias("overlap_ratio"), "left_distinct", "right_distinct", F.col("both").alias("intersection_size"),
-            F.slice("some", 1, examples).alias("samples"),
+            F.round(ratio, 4).alias("overlap_ratio"), "left_distinct", "right_distinct", F.col("both").alias("intersection_size"), "samples",
             F.array(F.concat(F.lit("overlap="), F.col("both"), F.lit("/"), F.least("left_distinct", "right_distinct"))).alias("evidence"),
         )
     )
@@ -82,9 +100,13 @@ def index_stats(values: DataFrame) -> DataFrame:
 
 
 def minhash(values: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """(dataset, column, signature): minima of seeded 64-bit hashes, mergeable and computed with map-side partials."""
-    mins = [F.min(F.xxhash64(F.lit(i), F.col("v"))).alias(f"h{i}") for i in range(hashes)]
-    return values.distinct().groupBy("dataset", "column").agg(*mins).select("dataset", "column", F.array(*(f"h{i}" for i in range(hashes))).alias("signature"))
+    """(dataset, column, signature): minima of seeded 64-bit hashes, mergeable, with map-side partials and one shuffle of minima.
+
+    A value is hashed once, and each seed mixes that 64-bit hash. Repeated values change no minimum, so they needn't be removed.
+    """
+    hashed = values.select("dataset", "column", F.xxhash64("v").alias("h"))
+    mins = [F.min(F.xxhash64("h", F.lit(i))).alias(f"h{i}") for i in range(hashes)]
+    return hashed.groupBy("dataset", "column").agg(*mins).select("dataset", "column", F.array(*(f"h{i}" for i in range(hashes))).alias("signature"))
 
 
 def jaccard(a, b, hashes: int = HASHES):

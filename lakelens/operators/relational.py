@@ -71,6 +71,27 @@ def condition(col: Column, kind: T.DataType, op: str, value: Any = None) -> Colu
     return tests[op]()
 
 
+def year_condition(col: Column, kind: T.DataType, op: str, value: Any) -> Column | None:
+    """``year(col) op value`` as bounds on the column itself, which a scan can prune by; None where it can't be said so."""
+    if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return None
+    try:
+        years = [int(v) for v in (value if isinstance(value, (list, tuple)) else [value])]
+    except (TypeError, ValueError):
+        return None
+    if any(not 1 <= y < 9999 for y in years) or any(isinstance(v, float) and not v.is_integer() for v in (value if isinstance(value, (list, tuple)) else [value])):
+        return None
+    start = lambda y: F.lit(f"{y:04d}-01-01").cast(kind)
+    op, y = " ".join(str(op).upper().split()), years[0]
+    if op == "BETWEEN" and len(years) == 2:
+        return (col >= start(y)) & (col < start(years[1] + 1))
+    if len(years) != 1:
+        return None
+    tests = {"=": lambda: (col >= start(y)) & (col < start(y + 1)), "==": lambda: (col >= start(y)) & (col < start(y + 1)), ">": lambda: col >= start(y + 1),
+             ">=": lambda: col >= start(y), "<": lambda: col < start(y), "<=": lambda: col < start(y + 1)}
+    return tests[op]() if op in tests else None
+
+
 def derive_time(col: Column, unit: str) -> Column:
     """A part of a date; texts that are no dates give null. Other units give the value as text."""
     day = col.try_cast("date")

@@ -8,11 +8,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.operators.relational import PlanError, aggregate, condition, derive_time, join_type, ordering, quoted
+from lakelens.operators.buckets import medians
+from lakelens.operators.relational import PlanError, aggregate, condition, derive_time, join_type, ordering, quoted, year_condition
+from lakelens.runtime import bytes_of
 from lakelens.sources.catalog import Catalog
 
 OPS = ("SCAN", "JOIN", "DERIVE_TIME", "FILTER", "GROUPBY", "AGGREGATE", "SORT", "LIMIT", "SELECT")
 MAX_ROWS = 500
+#: Input beyond which medians are taken from bucket counts.
+MEDIAN_BYTES = 256 << 20
 
 
 @dataclass
@@ -121,6 +125,31 @@ def scanned(plan: Plan, catalog: Catalog) -> Frame:
     return frame
 
 
+def aggregated(frame: Frame, by: list[str], aggregates: dict[str, tuple[str, str]]) -> DataFrame:
+    """The groups with their aggregates by name.
+
+    A median over more than ``MEDIAN_BYTES`` of input is taken from bucket counts, as the aggregate function keeps the
+    distinct values of a group in one buffer; the result is the same.
+    """
+    apart = {n: m for n, (m, f) in aggregates.items() if f == "median"}
+    if not apart or bytes_of(frame.df) <= MEDIAN_BYTES:
+        apart = {}
+    rest = [aggregate(frame.col(m), f).alias(n) for n, (m, f) in aggregates.items() if n not in apart]
+    plain = {f"k{i}": k for i, k in enumerate(by)}
+    keyed = frame.df.select(*(quoted(k).alias(p) for p, k in plain.items()), *{i: quoted(i).alias(i) for i in map(frame.name, apart.values()) if i not in by}.values()) if apart else None
+    out = frame.df.groupBy(*map(quoted, by)).agg(*rest) if rest or not apart else None
+    for n, m in apart.items():
+        inner = frame.name(m)
+        one = medians(keyed, list(plain), next((p for p, k in plain.items() if k == inner), inner), n)
+        if out is None:
+            out = one.withColumnsRenamed(plain)
+        elif not by:
+            out = out.crossJoin(F.broadcast(one))  # one row each
+        else:
+            out = out.join(one, [quoted(k).eqNullSafe(one[p]) for p, k in plain.items()]).drop(*plain)
+    return out.select(*map(quoted, by), *map(quoted, aggregates))
+
+
 def compile_plan(plan: Plan, catalog: Catalog) -> DataFrame:
     """One lazy DataFrame: joins, derivations, filters, grouping, order, limit, projection, whatever the steps' order.
 
@@ -128,12 +157,18 @@ def compile_plan(plan: Plan, catalog: Catalog) -> DataFrame:
     aggregate; group keys break ties, so that a limit is repeatable. No row cap is applied unless a LIMIT says so.
     """
     frame = scanned(plan, catalog)
+    years: dict[str, str] = {}
     for p in plan.all("DERIVE_TIME"):
         target = p["target"]
+        if p.get("unit", "year") == "year":
+            years[target] = p["source"]
         frame.df = frame.df.withColumn(target, derive_time(frame.col(p["source"]), p.get("unit", "year")))
         frame.derived.append(target)
     for p in plan.all("FILTER"):
-        frame.df = frame.df.where(condition(frame.col(p["column"]), frame.kind(p["column"]), p.get("op", "="), p.get("value")))
+        op, value = p.get("op", "="), p.get("value")
+        source = years.get(p["column"])
+        bounds = year_condition(frame.col(source), frame.kind(source), op, value) if source else None
+        frame.df = frame.df.where(condition(frame.col(p["column"]), frame.kind(p["column"]), op, value) if bounds is None else bounds)
     keys = (plan.last("GROUPBY") or {}).get("keys", [])
     metrics = list({(p["metric"], p.get("func", "sum").lower()): None for p in plan.all("AGGREGATE")})
     select = (plan.last("SELECT") or {}).get("columns") or []
@@ -148,12 +183,10 @@ def compile_plan(plan: Plan, catalog: Catalog) -> DataFrame:
 
     if metrics:
         names = {m: [f"{f}_{inner[m].split('.', 1)[-1]}" for n, f in metrics if n == m] for m, _ in metrics}
-        aggregates = {f"{f}_{inner[m].split('.', 1)[-1]}": aggregate(frame.col(m), f) for m, f in metrics}
         for k in keys:
             show(k)
-        by = [quoted(i) for i in shown.values()]
-        out = frame.df.groupBy(*by).agg(*(a.alias(n) for n, a in aggregates.items()))
-        shown |= {n: n for n in aggregates}
+        out = aggregated(frame, list(shown.values()), {f"{f}_{inner[m].split('.', 1)[-1]}": (m, f) for m, f in metrics})
+        shown |= {n: n for n in out.columns if n not in shown.values()}
     elif keys:
         for k in keys:
             show(k)
@@ -171,7 +204,7 @@ def compile_plan(plan: Plan, catalog: Catalog) -> DataFrame:
         ties = [quoted(inner[k]).asc_nulls_last() for k in keys if inner[k] != target]
         out = out.orderBy(ordering(quoted(target), sort.get("order", "desc")), *ties)
     if limit := plan.last("LIMIT"):
-        out = out.limit(max(0, min(int(limit["n"]), MAX_ROWS)))
+        out = out.limit(max(0, int(limit["n"])))
     return out.select(*(quoted(i).alias(n) for n, i in shown.items()))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from lakelens.operators.buckets import medians
 from lakelens.operators.relational import PlanError
 from lakelens.plans import optimize as opt
+from lakelens.plans import plan as plan_module
 from lakelens.plans.plan import Plan, PlanOp, compile_plan, execute
 from lakelens.sources.catalog import Catalog
 
@@ -70,6 +75,46 @@ def test_joins(lake):
     assert compile_plan(Plan.of(("SCAN", {"dataset": "a"}), j("LEFT")), lake).columns == ["k", "a b", "v", "day"]
 
 
+@pytest.mark.parametrize("steps", [[], [("GROUPBY", {"keys": ["a b"]})], [("GROUPBY", {"keys": ["v"]})]])
+def test_medians_from_bucket_counts(lake, monkeypatch, steps):
+    """The same result from either way, next to other aggregates, with null groups and groups without values."""
+    more = [*steps, ("AGGREGATE", {"metric": "v", "func": "median"}), ("AGGREGATE", {"metric": "k", "func": "median"}), ("AGGREGATE", {"metric": "v", "func": "sum"})]
+    plain = run(lake, *more)
+    monkeypatch.setattr(plan_module, "MEDIAN_BYTES", -1)
+    assert sorted(map(str, run(lake, *more))) == sorted(map(str, plain))
+    only = [*steps, ("AGGREGATE", {"metric": "v", "func": "median"})]
+    assert len(run(lake, *only)) == len(plain)
+
+
+def test_exact_medians(spark):
+    rng = random.Random(2)
+    rows = [(g, x) for g in (None, 1, 2) for x in [rng.gauss(0, 10**g if g else 1) for _ in range(400 + (g or 0))] + [1e300, -0.0, 0.0, 5.0, 5.0, None]]
+    rows += [(3, None), (4, float("inf")), (4, float("-inf")), (4, float("nan")), (5, 7.0)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {r.g: r.m for r in medians(df, ["g"], "x", "m").collect()}
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
+    assert got == want and got[3] is None and got[4] == float("inf")
+    assert medians(df.where("g is not null and g < 3"), [], "x", "m").collect() == df.where("g is not null and g < 3").agg(F.median("x").alias("m")).collect()
+
+
+def test_years_are_pushed_down(spark, tmp_path):
+    spark.sql("SELECT id, make_date(1990 + int(id), 12, 31) AS d FROM range(20)").write.parquet(f"{tmp_path}/t.parquet")
+    lake = Catalog(spark, {"t": f"{tmp_path}/t.parquet"})
+    base = [("SCAN", {"dataset": "t"}), ("DERIVE_TIME", {"source": "d", "target": "y", "unit": "year"})]
+    for op, value, n in (("=", 1997, 1), (">", 2000, 9), (">=", "2000", 10), ("<", 1995, 5), ("<=", 1995, 6), ("between", [1991, 1993], 3), ("!=", 1997, 19), ("IN", [1991, 2005], 2)):
+        df = compile_plan(Plan.of(*base, ("FILTER", {"column": "y", "op": op, "value": value})), lake)
+        assert df.count() == n, op
+        if op not in ("!=", "IN"):
+            assert "PushedFilters: [IsNotNull(d), " in df._jdf.queryExecution().toString()
+
+
+def test_limits(spark, tmp_path):
+    spark.range(700).write.parquet(f"{tmp_path}/t.parquet")
+    lake = Catalog(spark, {"t": f"{tmp_path}/t.parquet"})
+    plan = Plan.of(("SCAN", {"dataset": "t"}), ("LIMIT", {"n": 650}))
+    assert compile_plan(plan, lake).count() == 650 and execute(plan, lake).row_count == 500 and execute(plan, lake, 600).row_count == 600
+
+
 def test_empty(lake):
     plan = Plan.of(("SCAN", {"dataset": "empty"}), ("GROUPBY", {"keys": ["k"]}), ("AGGREGATE", {"metric": "v"}))
     assert compile_plan(plan, lake).collect() == []

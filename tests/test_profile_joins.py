@@ -103,6 +103,17 @@ def test_overlap_brute_force(spark):
     assert joins.joinable(joins.overlap_edges(values, 0.3), "c").count() > 0
 
 
+def test_value_of_very_many_columns(spark):
+    """All pairs of its columns are made in pieces; columns of one data set aren't paired."""
+    n = 300
+    values = spark.range(n).selectExpr("concat('d', id div 2) AS dataset", "concat('c', id) AS column", "'1' AS v")
+    edges = joins.overlap_edges(values)
+    assert edges.count() == n * (n - 1) // 2 - n // 2 and edges.where("samples <> array('1') OR overlap_ratio <> 1.0").count() == 0
+    groups = values.groupBy().agg(F.array_sort(F.collect_set(F.struct("dataset", "column"))).alias("cols"), F.lit(1).alias("n"), F.array(F.lit("1")).alias("some"))
+    for piece in (1, 7, 1000):
+        assert joins.column_pairs(groups, piece).count() == n * (n - 1) // 2 - n // 2
+
+
 def test_minhash_is_near_jaccard(spark):
     a, b = [str(i) for i in range(300)], [str(i) for i in range(100, 400)]
     values = spark.createDataFrame([("a", "x", v) for v in a] + [("b", "y", v) for v in b * 2], "dataset string, column string, v string")
