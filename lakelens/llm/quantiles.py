@@ -8,37 +8,12 @@ or loads are merged by adding the counts of equal buckets. All work is JVM-side,
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakelens.operators.buckets import ALPHA, bucket_of, bucket_value
 from lakelens.runtime import small_side, written
 
-ALPHA = 0.01
-#: Larger than any |ceil(log_g |x|)| of a double for alpha >= 1e-6.
-OFFSET = 1 << 32
-
-
-def gamma(alpha: float) -> float:
-    return (1 + alpha) / (1 - alpha)
-
-
-def bucket_of(x: Column, alpha: float = ALPHA) -> Column:
-    """The bucket of a double; infinities fall beyond all finite values."""
-    far = F.lit(OFFSET * 2)
-    index = F.when(F.abs(x) == math.inf, far).otherwise(F.ceil(F.log(F.abs(x)) / math.log(gamma(alpha))).cast("long") + OFFSET)
-    return F.when(x == 0, F.lit(0).cast("long")).otherwise(F.when(x < 0, -index).otherwise(index))
-
-
-def bucket_value(bucket: Column, alpha: float = ALPHA) -> Column:
-    """The middle of a bucket: within ``alpha`` (relative) of every value in it."""
-    g = gamma(alpha)
-    size = F.pow(F.lit(g), F.abs(bucket) - OFFSET) * (2 / (g + 1))
-    middle = F.when(F.abs(bucket) == OFFSET * 2, F.lit(math.inf)).otherwise(size)
-    return F.when(bucket == 0, F.lit(0.0)).otherwise(F.signum(bucket.cast("double")) * middle)
-
-
 def long_form(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by..., name, value double) of all non-null, non-NaN values."""
     if clash := {"name", "value", "bucket", "cnt"} & set(by):
