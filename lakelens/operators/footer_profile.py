@@ -1,11 +1,12 @@
 """Column-level quality profile of Parquet data from footers, dictionaries and, where these don't do, values.
 
-The files' row groups are the units of work: they are listed from the footers, spread over the cluster, and each is
-profiled on its own. Null counts and extrema come from the footer where its statistics are present and the row group
-holds one group (load) only; a column is decoded only where distinct values, patterns or a distribution are asked for
-or the footer doesn't do. A decoded column is reduced to its distinct values and their counts (for strings the
-dictionary and its indices), so patterns and bounds are tested once for each distinct value. What leaves a task is one
-small record for each row group, group and column, and distinct values where they are asked for.
+The units of work are row groups, cut further by columns where they are large. A task opens a file once for all its units.
+For each column of a row group the footer is asked first. It gives null counts and extrema where the row group holds
+one group (load); in a row group of several loads it still rules things out for all of them: no nulls, extrema within the
+accepted range, all values below or above a cut, one value only. A column is decoded only for what is left; text columns
+come as dictionary and indices, and any column is reduced to distinct values and counts, so patterns, keys and bounds are
+tested once for each distinct value. What leaves a task is one small record for each row group, group and column, with the
+bytes that were decoded for it, and distinct values where they are asked for.
 """
 
 from __future__ import annotations
@@ -27,29 +28,41 @@ from lakelens.runtime import written
 
 #: Values for each output record of distinct values.
 SLICE = 20_000
+#: Compressed bytes of columns for each unit of work.
+UNIT = 16 << 20
 
 
 @dataclass
 class ColumnSpec:
-    """What to learn of a column: ``cuts`` counts values <= each cut, ``keys`` counts each key and all other values."""
+    """What to learn of a column: ``cuts`` counts values <= each cut, ``keys`` counts each key and all other values.
+
+    With ``accepted`` (low, high; either may be null) extrema are wanted only as far as they lie outside.
+    """
 
     name: str
     pattern: str | None = None
     cuts: list[float] = field(default_factory=list)
     keys: list[str] | None = None
     distinct: bool = False
-
-    def decoded(self) -> bool:
-        return bool(self.pattern or self.cuts or self.keys is not None or self.distinct)
+    accepted: tuple[float | None, float | None] | None = None
 
 
-def open_parquet(path: str) -> pq.ParquetFile:
+def arrow_path(path: str) -> tuple[pyarrow.fs.FileSystem | None, str]:
+    """(file system, path in it) for a path as Spark lists it; none for local paths. ``s3a`` and ``s3n`` are S3 too."""
     if path.startswith("file:"):
-        path = "/" + unquote(path[5:]).lstrip("/")
+        return None, "/" + unquote(path[5:]).lstrip("/")
     if "://" not in path:
-        return pq.ParquetFile(path)
-    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
-    return pq.ParquetFile(fs.open_input_file(inner))
+        return None, path
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
+def open_parquet(path: str) -> pq.ParquetFile:
+    """The file with its text columns as dictionary and indices; the footer is parsed once."""
+    fs, inner = arrow_path(path)
+    source = inner if fs is None else fs.open_input_file(inner)
+    plain = pq.ParquetFile(source)
+    texts = [f.name for f in plain.schema_arrow if pa.types.is_string(f.type) or pa.types.is_large_string(f.type)]
+    return pq.ParquetFile(source, metadata=plain.metadata, read_dictionary=texts) if texts else plain
 
 
 @dataclass
@@ -94,12 +107,12 @@ def footer_column(group: pq.RowGroupMetaData, index: dict[str, int], name: str,
 SCHEMA = pa.schema(
     [
         ("grp", pa.int64()), ("name", pa.string()), ("n_rows", pa.int64()), ("nulls", pa.int64()), ("low", pa.float64()), ("high", pa.float64()),
-        ("upto", pa.list_(pa.int64())), ("per_key", pa.list_(pa.int64())), ("other", pa.int64()), ("odd", pa.int64()), ("decoded", pa.int64()),
+        ("upto", pa.list_(pa.int64())), ("per_key", pa.list_(pa.int64())), ("other", pa.int64()), ("odd", pa.int64()), ("decoded", pa.int64()), ("read_bytes", pa.int64()),
         ("texts", pa.list_(pa.string())), ("numbers", pa.list_(pa.float64())),
     ]
 )
 SPARK_SCHEMA = """grp bigint, name string, n_rows bigint, nulls bigint, low double, high double, upto array<bigint>, per_key array<bigint>,
-    other bigint, odd bigint, decoded bigint, texts array<string>, numbers array<double>"""
+    other bigint, odd bigint, decoded bigint, read_bytes bigint, texts array<string>, numbers array<double>"""
 
 
 def distinct_codes(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
@@ -112,7 +125,49 @@ def distinct_codes(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
         array = column.combine_chunks().dictionary_encode()
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks() if array.num_chunks != 1 else array.chunk(0)
-    return array.dictionary, np.asarray(array.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
+    values, at = array.dictionary, np.asarray(array.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
+    unique = values.dictionary_encode()
+    if len(unique.dictionary) < len(values):  # a writer may store an entry twice
+        at = np.append(np.asarray(unique.indices, np.int64), -1)[at]
+        values = unique.dictionary
+    return values, at
+
+
+def text_of(value: object, kind: pa.DataType) -> str:
+    """A value as decoded text columns give it."""
+    return pa.array([value], kind).cast(pa.string())[0].as_py()
+
+
+def ruled_out(spec: ColumnSpec, footer: FooterColumn, numeric: bool, kind: pa.DataType) -> dict | None:
+    """What the footer alone says of all non-null values of a column in a row group; None if it leaves something open.
+
+    The dict has ``upto`` (for each cut whether values are <= it), ``key`` (the index of the one key all values are, or
+    None), ``odd`` and ``texts`` where they can be known.
+    """
+    constant = footer.constant is not None and not pa.types.is_floating(kind)
+    text = text_of(footer.constant, kind) if constant and (spec.keys is not None or spec.pattern or spec.distinct) else None
+    out: dict = {"upto": [], "key": None, "odd": False, "texts": None}
+    if spec.cuts:
+        if not numeric or footer.low is None:
+            return None
+        for cut in spec.cuts:
+            if not footer.high <= cut and not footer.low > cut:
+                return None
+            out["upto"].append(footer.high <= cut)
+    if spec.keys is not None or spec.pattern or spec.distinct:
+        if not constant:
+            return None
+        out["key"] = spec.keys.index(text) if spec.keys and text in spec.keys else None
+        out["odd"] = bool(spec.pattern) and re.fullmatch(spec.pattern, text) is None
+        out["texts"] = [text] if spec.distinct else None
+    return out
+
+
+def within(spec: ColumnSpec, footer: FooterColumn) -> bool:
+    if spec.accepted is None or footer.low is None:
+        return False
+    low, high = spec.accepted
+    return (low is None or footer.low >= low) and (high is None or footer.high <= high)
 
 
 def profile_row_group(file: pq.ParquetFile, k: int, by: str | None, specs: list[ColumnSpec]) -> Iterator[dict]:
@@ -136,20 +191,32 @@ def profile_row_group(file: pq.ParquetFile, k: int, by: str | None, specs: list[
     per_group = np.bincount(codes, minlength=len(groups))
     for spec in specs:
         kind = schema.field(spec.name).type if spec.name in index else pa.null()
+        if isinstance(kind, pa.DictionaryType):
+            kind = kind.value_type
         times = as_micros(kind)
         numeric = pa.types.is_floating(kind) or pa.types.is_integer(kind) or pa.types.is_decimal(kind) or times
         footer = footer_column(group, index, spec.name, numeric, times)
-        known = single and footer.nulls is not None and (not numeric or footer.low is not None or footer.nulls == rows)
-        base = [dict(grp=g, name=spec.name, n_rows=int(n), low=None, high=None, decoded=0, other=0, odd=0) for g, n in zip(groups, per_group)]
+        base = [dict(grp=g, name=spec.name, n_rows=int(n), low=None, high=None, decoded=0, read_bytes=0, other=0, odd=0) for g, n in zip(groups, per_group)]
+        known = ruled_out(spec, footer, numeric, kind)
         if footer.nulls == rows:
             for b in base:
                 b |= dict(nulls=b["n_rows"], upto=[0] * len(spec.cuts), per_key=[0] * len(spec.keys or []))
-        elif known and not spec.decoded():
-            base[0] |= dict(nulls=footer.nulls, low=footer.low, high=footer.high)
+        elif (
+            known is not None
+            and (footer.nulls == 0 or single and footer.nulls is not None)
+            and (not numeric or single and footer.low is not None or within(spec, footer))
+        ):
+            for b in base:
+                n = b["n_rows"] - footer.nulls
+                per_key = [n * (i == known["key"]) for i in range(len(spec.keys or []))]
+                b |= dict(nulls=footer.nulls, low=footer.low, high=footer.high, upto=[n * u for u in known["upto"]], per_key=per_key)
+                b |= dict(other=n * (spec.keys is not None and known["key"] is None), odd=n * known["odd"])
+                if known["texts"] and b["n_rows"]:
+                    yield dict(grp=b["grp"], name=spec.name, texts=known["texts"])
         else:
             yield from _decoded(file, k, spec, numeric, codes, base)
-            if known:
-                base[0] |= dict(nulls=footer.nulls, low=footer.low, high=footer.high)
+            size = group.column(index[spec.name]).total_compressed_size if spec.name in index else 0
+            next(b for b in base if b["n_rows"]).update(decoded=1, read_bytes=size)
         yield from (b for b in base if b["n_rows"])
 
 
@@ -181,7 +248,7 @@ def _decoded(file: pq.ParquetFile, k: int, spec: ColumnSpec, numeric: bool, code
         odd_value = np.fromiter((full(v) is None for v in (texts if texts is not None else map(str, values.to_pylist()))), bool, len(values))
         odd = total(odd_value[of_value])
     for g, b in enumerate(base):
-        b |= dict(nulls=int(nulls[g]), decoded=1)
+        b |= dict(nulls=int(nulls[g]))
         if numeric and low[g] <= high[g]:
             b |= dict(low=float(low[g]), high=float(high[g]))
         b["upto"] = upto[:, g].tolist() if spec.cuts else []
@@ -199,30 +266,57 @@ def _decoded(file: pq.ParquetFile, k: int, spec: ColumnSpec, numeric: bool, code
                 )
 
 
-def row_group_records(spark: SparkSession, path: str, by: str | None, specs: list[ColumnSpec]) -> DataFrame:
+def units_of(file: pq.ParquetFile, specs: list[ColumnSpec], size: int = UNIT) -> list[tuple[int, list[int]]]:
+    """(row group, places of its specs): the columns of a row group in units of about ``size`` compressed bytes."""
+    out = []
+    for k in range(file.metadata.num_row_groups):
+        group = file.metadata.row_group(k)
+        sizes = {group.column(i).path_in_schema: group.column(i).total_compressed_size for i in range(group.num_columns)}
+        own: list[int] = []
+        held = 0
+        for at, spec in enumerate(specs):
+            if own and held + sizes.get(spec.name, 0) > size:
+                out.append((k, own))
+                own, held = [], 0
+            own.append(at)
+            held += sizes.get(spec.name, 0)
+        out.append((k, own))
+    return out
+
+
+def row_group_records(spark: SparkSession, path: str, by: str | None, specs: list[ColumnSpec], size: int = UNIT) -> DataFrame:
     """One record for each row group, group and column (and slices of distinct values), lazily."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # a listing: contents aren't read
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    tasks = max(spark.sparkContext.defaultParallelism, int(size // (64 << 20)) + 1)
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, int(total // (64 << 20)) + 1)
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                n = open_parquet(p).metadata.num_row_groups
-                yield pa.RecordBatch.from_pydict({"path": [p] * n, "k": list(range(n))}, schema=pa.schema([("path", pa.string()), ("k", pa.int32())]))
+                units = units_of(open_parquet(p), specs, size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p] * len(units), pa.string()), pa.array([k for k, _ in units], pa.int32()), pa.array([own for _, own in units], pa.list_(pa.int32()))], names=["path", "k", "own"]
+                )
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, file = None, None
         for batch in batches:
-            for p, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = list(profile_row_group(open_parquet(p), k, by, specs))
+            for p, k, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != at:
+                    at, file = p, open_parquet(p)
+                rows = list(profile_row_group(file, k, by, [specs[i] for i in own]))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    return files.mapInArrow(footers, "path string, k int").repartition(tasks, "path", "k").mapInArrow(profile, SPARK_SCHEMA)
+    units = files.mapInArrow(footers, "path string, k int, own array<int>")
+    return units.repartition(tasks, "path", "k", "own").sortWithinPartitions("path", "k").mapInArrow(profile, SPARK_SCHEMA)
 
 
 def profile_columns(spark: SparkSession, path: str, by: str | None, specs: list[ColumnSpec]) -> DataFrame:
-    """(grp, name, n_rows, nulls, low, high, upto, per_key, other, odd, n_unique) for each group and column.
+    """(grp, name, n_rows, nulls, low, high, upto, per_key, other, odd, decoded, read_bytes, n_unique) for each group and column.
+
+    ``decoded`` and ``read_bytes`` are the column chunks that footers didn't do for and their compressed bytes, each counted
+    for one of the groups it holds.
 
     ``low`` and ``high`` are of numbers without NaN and of times in microseconds since 1970, null for other types and where all is null; ``n_unique`` counts
     distinct non-null values where asked for, else it is null; rows with a null group form the group null; a column
@@ -234,7 +328,7 @@ def profile_columns(spark: SparkSession, path: str, by: str | None, specs: list[
         records.where("n_rows is not null")
         .groupBy("grp", "name")
         .agg(
-            *(F.sum(c).alias(c) for c in ("n_rows", "nulls", "other", "odd", "decoded")), F.min("low").alias("low"), F.max("high").alias("high"),
+            *(F.sum(c).alias(c) for c in ("n_rows", "nulls", "other", "odd", "decoded", "read_bytes")), F.min("low").alias("low"), F.max("high").alias("high"),
             F.array(*(F.sum(F.get("upto", F.lit(i))) for i in range(cuts))).cast("array<bigint>").alias("upto"),
             F.array(*(F.sum(F.get("per_key", F.lit(i))) for i in range(keys))).cast("array<bigint>").alias("per_key"),
         )

@@ -28,6 +28,7 @@ def specs_of(rows: list[Row], distinct: bool = False) -> list[ColumnSpec]:
         ColumnSpec(
             r.name, r.value_pattern, [b.hi for b in (r.histogram or [])[:9]],
             sorted(r.value_counts) if r.value_counts is not None else None, distinct or (r.unique_rate or 0) > UNIQUE_FROM,
+            (r.min_val, r.max_val),
         )
         for r in rows
     ]

@@ -9,6 +9,8 @@ from lakelens.runtime import table
 
 TRIPS = ["trip_distance", "trip_duration_minutes", "base_fare", "per_km_rate", "trip_price", "weather", "traffic_conditions", "day_of_week", "trip_id", "vehicle_code"]
 NUMBERS = TRIPS[:5]
+TIMES = ["pickup_ts", "ingest_ts"]
+EVERY = [*TRIPS, *TIMES, "load_id"]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +18,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.load_profile(spark, f"{sf_dir}/taxi_trips.parquet", TRIPS)
+    """Every column of every load; times in microseconds since 1970."""
+    return quality.load_profile(spark, f"{sf_dir}/taxi_trips.parquet", table(spark, sf_dir, "taxi_trips").columns)
 
 
 def p4_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column of every load, with its distribution; ``p4_profile`` keeps to the columns of its SQL."""
+    """Every column of every load, with its distribution."""
     return quality.load_distribution(spark, f"{sf_dir}/taxi_trips.parquet")
 
 
@@ -68,6 +71,8 @@ QUERIES = {
 _WIDE = ", ".join(f"{c}::VARCHAR AS {c}" for c in TRIPS)
 _LONG = f"SELECT load_id, name, v FROM (SELECT load_id, {_WIDE} FROM taxi_trips) UNPIVOT INCLUDE NULLS (v FOR name IN ({', '.join(TRIPS)}))"
 _NUM = f"CASE WHEN name IN ({', '.join(repr(c) for c in NUMBERS)}) THEN try_cast(v AS DOUBLE) END"
+_EVERY = ", ".join(f"epoch_us({c})::VARCHAR AS {c}" if c in TIMES else f"{c}::VARCHAR AS {c}" for c in EVERY)
+_SIZE = f"CASE WHEN name IN ({', '.join(repr(c) for c in (*NUMBERS, *TIMES, 'load_id'))}) THEN try_cast(v AS DOUBLE) END"
 
 ORACLES = {
     "p4_found": f"""
@@ -92,10 +97,10 @@ ORACLES = {
         UNION SELECT load_id, name, 'distribution' FROM h WHERE abs(share - k / 10) > 0.15
         UNION SELECT load_id, name, 'distribution' FROM s WHERE abs(share - was) > 0.20""",
     "p4_profile": f"""
-        WITH v AS ({_LONG})
+        WITH v AS (SELECT g AS load_id, name, v FROM (SELECT load_id AS g, {_EVERY} FROM taxi_trips) UNPIVOT INCLUDE NULLS (v FOR name IN ({', '.join(EVERY)})))
         SELECT load_id, name, count(*) AS n_rows, round((count(*) - count(v)) / count(*), 4) AS missing_rate,
-            count(DISTINCT CASE WHEN {_NUM} = 0 THEN '0' ELSE v END) AS n_unique, round(count(DISTINCT CASE WHEN {_NUM} = 0 THEN '0' ELSE v END) / count(*), 4) AS unique_rate,
-            min({_NUM}) AS min_val, max({_NUM}) AS max_val
+            count(DISTINCT CASE WHEN {_SIZE} = 0 THEN '0' ELSE v END) AS n_unique, round(count(DISTINCT CASE WHEN {_SIZE} = 0 THEN '0' ELSE v END) / count(*), 4) AS unique_rate,
+            min({_SIZE}) AS min_val, max({_SIZE}) AS max_val
         FROM v GROUP BY 1, 2""",
     "p4_footers": " UNION ALL ".join(
         f"SELECT '{c}' AS name, count(*) AS n_rows, round((count(*) - count({c})) / count(*), 4) AS missing_rate, "

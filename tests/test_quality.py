@@ -42,6 +42,29 @@ def test_profile_is_exact(spark, tmp_path, kw, group):
         assert list(s.per_key) == [ss.count("a"), 0]
 
 
+def test_footers_rule_out_findings_of_mixed_row_groups(spark, tmp_path):
+    """Nothing of a row group of two loads is decoded where its footer rules all findings out; the rest is."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, path = 100, f"{tmp_path}/t.parquet"
+    make = lambda x, s: pa.table({"load_id": pa.array([1, 2] * (n // 2), pa.int64()), "x": pa.array(x, pa.float64()), "s": pa.array(s).dictionary_encode()})
+    parts = [make([1.0 + i / n for i in range(n)], ["a"] * n), make([50.0 + i for i in range(n)], ["a", "b"] * (n // 2)), make([1.0] * (n - 1) + [None], ["?"] * n)]
+    with pq.ParquetWriter(path, parts[0].schema) as w:
+        for p in parts:
+            w.write_table(p)
+    specs = [footer_profile.ColumnSpec("x", cuts=[0.5, 10.0, 500.0], accepted=(0.0, 60.0)), footer_profile.ColumnSpec("s", pattern="[a-z]", keys=["a", "b"], distinct=True)]
+    for size in (1, 1 << 20):  # a unit for each column, or one for the row group
+        records = footer_profile.row_group_records(spark, path, "load_id", specs, size).where("n_rows is not null").collect()
+        assert sorted((r.name, r.decoded) for r in records if r.decoded) == [("s", 1), ("x", 1), ("x", 1)] and all((r.read_bytes > 0) == (r.decoded > 0) for r in records)
+    got = {(r.grp, r.name): r for r in footer_profile.profile_columns(spark, path, "load_id", specs).collect()}
+    assert [got[g, "x"].upto for g in (1, 2)] == [[0, 100, 150], [0, 99, 149]] and [got[g, "x"].nulls for g in (1, 2)] == [0, 1] and got[2, "x"].high == 149.0
+    assert [(r.per_key, r.other, r.odd, r.n_unique) for r in (got[1, "s"], got[2, "s"])] == [([100, 0], 50, 50, 2), ([50, 50], 50, 50, 3)]
+    assert footer_profile.arrow_path("file:///a%20b/c.parquet") == (None, "/a b/c.parquet")
+    fs, inner = footer_profile.arrow_path("s3a://bucket/key.parquet?region=eu-west-1")
+    assert fs.type_name == "s3" and inner == "bucket/key.parquet"
+
+
 def test_footers_do_without_values(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     write(path, [(1, float(i), "a") for i in range(50)] + [(2, float(i), None) for i in range(50)], 50)
