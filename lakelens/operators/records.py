@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.runtime import small_side
+from lakelens.runtime import small_side, written
 
 # fixed values: the declared types and their forms
 INT = r"\A[+-]?[0-9]+\z"
@@ -115,10 +115,13 @@ def invalid_values(split: DataFrame) -> DataFrame:
 def failures(records: DataFrame, cards: DataFrame, columns: DataFrame) -> DataFrame:
     """(file_path, line_no, reason) of every record after the header that doesn't parse; the first reason counts.
 
-    The dictionary is broadcast where it was counted to be small, else joined by a shuffle. Empty tables give no rows;
+    Records are split once and written; the dictionary is broadcast where it was counted to be small, else joined by a shuffle. Empty tables give no rows;
     extra columns are not read; a record stored twice under one line number gives one row.
     """
-    split = split_records(records, file_layouts(cards, columns))
+    return _failures(written(split_records(records, file_layouts(cards, columns)), "p5-split"))
+
+
+def _failures(split: DataFrame) -> DataFrame:
     wrong = small_side(invalid_values(split), "p5-invalid")
     values = values_of(split).join(wrong, ["dataset_id", "col_pos", "dtype", "v"], "left_semi").select("file_path", "line_no", F.lit("value").alias("reason"))
     structure = split.where("reason is not null").select("file_path", "line_no", "reason")
@@ -133,9 +136,8 @@ def typed_rows(records: DataFrame, cards: DataFrame, columns: DataFrame, dataset
     own = cards.where(F.col("dataset_id") == dataset_id)
     declared = columns.where(F.col("dataset_id") == dataset_id).orderBy("col_pos").collect()  # one row for each column
     spark_type = {"int64": "bigint", "float64": "double", "bool": "boolean", "date": "date", "datetime64": "timestamp_ntz"}
-    good = split_records(records, file_layouts(own, columns)).where("reason is null").join(
-        failures(records, own, columns).select("file_path", "line_no"), ["file_path", "line_no"], "left_anti"
-    )
+    split = written(split_records(records, file_layouts(own, columns)), "p5-split")
+    good = split.where("reason is null").join(_failures(split).select("file_path", "line_no"), ["file_path", "line_no"], "left_anti")
     taken, picks = {"file_path", "line_no"}, []
     for i, c in enumerate(declared):
         name = c["name"] if c["name"].lower() not in taken else f"{c['name']}_{i + 1}"
