@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from lakelens.functions import lexicon
-from lakelens.functions.similarity import ratio, vector
+from lakelens.functions.similarity import Encode, ratio, vector
 from lakelens.functions.types import DIMENSION, IDENTIFIER, MEASURE, TIME
 from lakelens.plans.retrieve import PLAIN_WORDS, Card, Column, dot
 
@@ -114,18 +114,21 @@ def match_score(want: DesiredColumn, asked: list[float], c: Column) -> tuple[flo
     return score, why
 
 
-def discover(schema: DesiredSchema, cards: list[Card], columns: list[Column]) -> list[Discovered]:
-    """The ten best data sets with their column matches; ties by name."""
-    asked = vector(schema.raw_query)
+def nearness(schema: DesiredSchema, card: Card, asked: list[float]) -> float:
     q = schema.raw_query.lower()
+    named = any(len(t) > 2 and t in q for t in card.dataset_id.lower().replace("-", "_").split("_"))
+    return dot(asked, card.summary_embedding) + ID_WORD * named + DOMAIN_PREFILTER * bool(schema.domain and card.domain == schema.domain)
 
-    def near(c: Card) -> float:
-        named = any(len(t) > 2 and t in q for t in c.dataset_id.lower().replace("-", "_").split("_"))
-        return dot(asked, c.summary_embedding) + ID_WORD * named + DOMAIN_PREFILTER * bool(schema.domain and c.domain == schema.domain)
 
-    wanted = [(w, vector(w.name)) for w in schema.columns]
+def discover(schema: DesiredSchema, cards: list[Card], columns_of: Callable[[list[str]], list[Column]], encode: Encode = vector) -> list[Discovered]:
+    """The ten best data sets with their column matches; ties by name. ``columns_of`` gives the index entries of data sets."""
+    asked = encode(schema.raw_query)
+    q = schema.raw_query.lower()
+    wanted = [(w, encode(w.name)) for w in schema.columns]
     out = []
-    for card in sorted(cards, key=lambda c: (-near(c), c.dataset_id))[:POOL]:
+    pool = sorted(cards, key=lambda c: (-nearness(schema, c, asked), c.dataset_id))[:POOL]
+    columns = columns_of([c.dataset_id for c in pool])
+    for card in pool:
         own = [c for c in columns if c.dataset_id == card.dataset_id]
         matches = []
         for want, v in wanted:

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.observation import Observation
 
 from lakelens.operators.buckets import medians
 from lakelens.operators.relational import PlanError, aggregate, condition, derive_time, join_type, ordering, quoted, year_condition
@@ -150,7 +151,7 @@ def aggregated(frame: Frame, by: list[str], aggregates: dict[str, tuple[str, str
     return out.select(*map(quoted, by), *map(quoted, aggregates))
 
 
-def compile_plan(plan: Plan, catalog: Catalog) -> DataFrame:
+def compile_plan(plan: Plan, catalog: Catalog, observe: Observation | None = None) -> DataFrame:
     """One lazy DataFrame: joins, derivations, filters, grouping, order, limit, projection, whatever the steps' order.
 
     Filters are conjunctive and always apply before aggregation. A sort on an aggregated metric orders by its
@@ -169,6 +170,8 @@ def compile_plan(plan: Plan, catalog: Catalog) -> DataFrame:
         source = years.get(p["column"])
         bounds = year_condition(frame.col(source), frame.kind(source), op, value) if source else None
         frame.df = frame.df.where(condition(frame.col(p["column"]), frame.kind(p["column"]), op, value) if bounds is None else bounds)
+    if observe is not None:
+        frame.df = frame.df.observe(observe, F.count(F.lit(1)).alias("kept"))
     keys = (plan.last("GROUPBY") or {}).get("keys", [])
     metrics = list({(p["metric"], p.get("func", "sum").lower()): None for p in plan.all("AGGREGATE")})
     select = (plan.last("SELECT") or {}).get("columns") or []
@@ -220,10 +223,14 @@ class QueryResult:
     df: DataFrame | None = None
 
 
-def execute(plan: Plan, catalog: Catalog, cap: int = MAX_ROWS) -> QueryResult:
-    """Run a plan; at most ``cap`` rows come to the driver; errors are returned, not raised."""
+def execute(plan: Plan, catalog: Catalog, cap: int = MAX_ROWS, observe: Observation | None = None) -> QueryResult:
+    """Run a plan; at most ``cap`` rows come to the driver; errors are returned, not raised.
+
+    ``observe`` counts the rows that pass the filters (``kept``) while the query runs; it needs no further scan and leaves
+    the filters where the scan can use them.
+    """
     try:
-        df = compile_plan(plan, catalog)
+        df = compile_plan(plan, catalog, observe)
         rows = [list(r) for r in df.limit(cap).collect()]
         return QueryResult(df.columns, rows, len(rows), df._jdf.queryExecution().simpleString(), None, df)
     except Exception as e:  # noqa: BLE001 - the API returns errors

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from lakelens.functions import lexicon
-from lakelens.functions.similarity import vector
+from lakelens.functions.similarity import Encode, vector
 from lakelens.plans.intent import Intent
 from lakelens.plans.retrieve import Card, dot, slots
 
@@ -36,9 +36,9 @@ def by_rules(intent: Intent) -> Routing:
     return _of_scores(lexicon.domain_scores(f"{intent.raw_query} {hints}"), "rule", FACTOR)
 
 
-def by_vectors(intent: Intent, cards: list[Card]) -> Routing:
+def by_vectors(intent: Intent, cards: list[Card], encode: Encode = vector) -> Routing:
     """Cosines of the nearest data sets, summed by their domain; the confidence is the winner's share."""
-    asked = vector(" ".join([intent.raw_query, *(h for _, h in slots(intent))]))
+    asked = encode(" ".join([intent.raw_query, *(h for _, h in slots(intent))]))
     near = sorted(((max(0.0, dot(asked, c.summary_embedding)), c.domain) for c in cards), reverse=True)[:NEIGHBOURS]
     total = sum(s for s, _ in near)
     scores: dict[str, float] = {}
@@ -47,7 +47,7 @@ def by_vectors(intent: Intent, cards: list[Card]) -> Routing:
     return _of_scores(scores, "embedding")
 
 
-def route(intent: Intent, cards: list[Card], mode: str = "auto", plug_in: Callable[[Intent, list[str]], str] | None = None) -> Routing:
+def route(intent: Intent, cards: list[Card], mode: str = "auto", plug_in: Callable[[Intent, list[str]], str] | None = None, encode: Encode = vector) -> Routing:
     """``off``, ``rule``, ``embedding``, ``plug-in``, or ``auto``: vectors, and rules where these are unsure."""
     if mode == "off":
         return Routing()
@@ -59,5 +59,5 @@ def route(intent: Intent, cards: list[Card], mode: str = "auto", plug_in: Callab
         return Routing(domain, 1.0, "plug-in") if domain in lexicon.DOMAINS else by_rules(intent)
     if mode == "rule":
         return by_rules(intent)
-    found = by_vectors(intent, cards)
+    found = by_vectors(intent, cards, encode)
     return found if mode == "embedding" or found.confidence >= UNSURE and not found.ambiguous else max(by_rules(intent), found, key=lambda r: r.confidence)
