@@ -10,16 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.functions.similarity import cosine
-from lakelens.functions.types import logical, name_parts
+from lakelens.functions.types import name_parts
 from lakelens.operators import joins, vectors
 from lakelens.operators import profile as prof
-from lakelens.plans import optimize as opt
 from lakelens.plans.engine import Engine, engine_for_tables
 from lakelens.plans.plan import Plan, compile_plan, execute
-from lakelens.plans.retrieve import as_rows, candidates_table
 from lakelens.runtime import shared_dir, table
 from lakelens.sources.catalog import Catalog
-from lakelens.sources.stores import AuditLog
 from lakelens.streaming.ingest import windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,9 +270,12 @@ def profile_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # join discovery and vectors
 
+# every column of the lake that the roles make a key or a dimension
 KEYS = {
-    "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"],
-    "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "part": ["p_partkey"], "events": ["user_id"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "customer": ["c_custkey", "c_nationkey", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_nationkey", "s_name"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type"], "events": ["event_id", "user_id", "event_type", "props"],
 }
 _SETS = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS d, '{c}' AS c, {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL" for t, cs in KEYS.items() for c in cs)
 
@@ -296,10 +296,21 @@ def join_overlap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlap_edges(key_values(spark, sf_dir)).drop("samples", "evidence")
 
 
-@query("join_best_partners")
+_SHARED = f"""WITH s AS ({_SETS}), n AS (SELECT d, c, count(*) AS n FROM s GROUP BY 1, 2),
+    p AS (SELECT a.d AS ld, a.c AS lc, b.d AS rd, b.c AS rc, count(*) AS shared FROM s a JOIN s b ON a.v = b.v AND a.d <> b.d GROUP BY 1, 2, 3, 4),
+    e AS (SELECT p.*, x.n AS ln, y.n AS rn, shared / least(x.n, y.n) AS ratio, shared / (x.n + y.n - shared) AS jaccard
+          FROM p JOIN n x ON x.d = ld AND x.c = lc JOIN n y ON y.d = rd AND y.c = rc)"""
+
+
+@query(
+    "join_best_partners",
+    _SHARED + """, r AS (SELECT *, row_number() OVER (PARTITION BY lc ORDER BY round(ratio, 4) DESC, levenshtein(lc, rc), rn DESC, rd, rc)::INTEGER AS rank FROM e WHERE ld = 'orders' AND ratio >= 0.5)
+        SELECT lc AS left_column, rd AS right_dataset, rc AS right_column, round(ratio, 4) AS overlap_ratio, rank FROM r WHERE rank <= 5""",
+)
 def join_best_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each key of orders the five best partners."""
-    return joins.joinable(joins.overlap_edges(key_values(spark, sf_dir)), "orders", top_k=5)
+    best = joins.joinable(joins.overlap_edges(key_values(spark, sf_dir)), "orders", top_k=5)
+    return best.select("left_column", "right_dataset", "right_column", "overlap_ratio", "rank")
 
 
 @query("join_index_stats", f"WITH s AS ({_SETS}) SELECT d AS dataset, c AS \"column\", count(*) AS n_distinct FROM s GROUP BY 1, 2")
@@ -307,14 +318,46 @@ def join_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.index_stats(key_values(spark, sf_dir))
 
 
-@query("minhash_signature")
-def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.minhash(key_values(spark, sf_dir))
+def _pair_similarity(values: DataFrame) -> DataFrame:
+    """(left_*, right_*, jaccard): the exact Jaccard similarity of columns that share a value, from exact overlaps."""
+    edges = joins.overlap_edges(values, 0.0)
+    both, either = F.col("intersection_size"), F.col("left_distinct") + F.col("right_distinct") - F.col("intersection_size")
+    return edges.select("left_dataset", "left_column", "right_dataset", "right_column", (both / either).alias("jaccard"))
 
 
-@query("lsh_candidates")
+@query("minhash_signature", _SHARED + " SELECT ld AS left_dataset, lc AS left_column, rd AS right_dataset, rc AS right_column, round(jaccard, 4) AS jaccard, true AS near FROM e WHERE ld < rd")
+def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures against exact similarities: ``near`` where the estimate lies within four standard errors."""
+    values = key_values(spark, sf_dir)
+    signed = joins.minhash(values)
+    a = signed.select(F.col("dataset").alias("left_dataset"), F.col("column").alias("left_column"), F.col("signature").alias("s"))
+    b = signed.select(F.col("dataset").alias("right_dataset"), F.col("column").alias("right_column"), F.col("signature").alias("t"))
+    pairs = _pair_similarity(values).join(a, ["left_dataset", "left_column"]).join(b, ["right_dataset", "right_column"])
+    error = F.sqrt(F.col("jaccard") * (1 - F.col("jaccard")) / joins.HASHES)
+    near = F.abs(joins.jaccard("s", "t") - F.col("jaccard")) <= 4 * error + 1 / joins.HASHES
+    return pairs.select("left_dataset", "left_column", "right_dataset", "right_column", F.round("jaccard", 4).alias("jaccard"), near.alias("near"))
+
+
+@query("lsh_candidates", _SHARED + " SELECT ld AS left_dataset, lc AS left_column, rd AS right_dataset, rc AS right_column, round(jaccard, 4) AS jaccard FROM e WHERE ld < rd AND jaccard >= 0.9")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.lsh_pairs(joins.minhash(key_values(spark, sf_dir)))
+    """The candidates of banding whose exact similarity is 0.9 or more; banding misses one of these in 10,000."""
+    values = key_values(spark, sf_dir)
+    found = joins.lsh_pairs(joins.minhash(values)).drop("jaccard")
+    exact = _pair_similarity(values).where("jaccard >= 0.9")
+    return exact.join(found, ["left_dataset", "left_column", "right_dataset", "right_column"], "left_semi").withColumn("jaccard", F.round("jaccard", 4))
+
+
+@query(
+    "similar_of_others",
+    """WITH q AS (SELECT vec_id AS qi, label AS ql, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
+        s AS (SELECT qi, vec_id, list_cosine_similarity(qv, embedding::DOUBLE[]) AS sim FROM q JOIN embeddings ON ql <> label),
+        r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY sim DESC, vec_id)::INTEGER AS rank FROM s WHERE sim >= 0.05)
+        SELECT qi AS query_vec_id, vec_id, round(sim, 4) AS similarity, rank FROM r WHERE rank <= 10""",
+)
+def similar_of_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every row whose id is divisible by 100 the ten nearest rows of other groups, as columns of other data sets are found."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.similar_of_others(rows, rows.where("vec_id % 100 = 0"), ["vec_id"], "label", "embedding", 10, 0.05).withColumn("similarity", F.round("similarity", 4))
 
 
 @query(
@@ -376,77 +419,6 @@ asked("nl_cross_dataset", "total o_totalprice by c_mktsegment", "SELECT c_mktseg
 asked("nl_trend", "monthly trend of o_totalprice", "SELECT month(o_orderdate)::INTEGER AS o_orderdate_month, round(sum(o_totalprice), 2) AS sum_o_totalprice FROM orders GROUP BY 1")
 
 
-def local(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    return spark.createDataFrame([tuple(r[c.strip().split()[0]] for c in schema.split(",")) for r in rows], schema)
-
-
-@query("blocked_candidates")
-def blocked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
-    rows = [c | {"question": q} for q in ("average l_returnflag by l_linestatus", "average l_tax by l_quantity") for c in e.ask(q, run=False)["blocked"]]
-    return local(spark, rows, "question string, slot string, hint string, dataset string, column string, reason string")
-
-
-@query("weighted_rank")
-def weighted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
-    return candidates_table(e.index, e.parse("average price by order status"), "weighted")
-
-
-@query("rrf_rank")
-def rrf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
-    return candidates_table(e.index, e.parse("average price by order status"), "rrf")
-
-
-@query("selectivity_estimates")
-def selectivity_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated and real shares of predicates over lineitem, the real ones observed in one pass."""
-    p = engine(spark, sf_dir).rows["lineitem"]
-    tests = [("l_quantity", ">", 30), ("l_quantity", "between", [10, 20]), ("l_returnflag", "=", "R"), ("l_discount", "<", 0.05), ("l_shipdate", ">", "1998-01-01"), ("l_linestatus", "!=", "F")]
-    df, seen = opt.observed_filters(table(spark, sf_dir, "lineitem"), [{"column": c, "op": o, "value": v} for c, o, v in tests])
-    df.write.format("noop").mode("overwrite").save()
-    rows = []
-    for i, (c, o, v) in enumerate(tests):
-        guess, sure = opt.selectivity(p.get(c), o, v)
-        rows.append({"column": c, "op": o, "value": str(v), "estimate": round(guess, 4), "confidence": sure, "real": round(seen.get[f"f{i}"] / max(1, seen.get["rows"]), 4)})
-    return local(spark, rows, "column string, op string, value string, estimate double, confidence string, real double")
-
-
-@query("plan_costs")
-def plan_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
-    rows = []
-    for q in ("average l_extendedprice by l_returnflag", "top 5 c_mktsegment by c_acctbal", "total o_totalprice by o_orderstatus in 1997"):
-        out = e.ask(q, run=False)
-        rows.append({"question": q, "score": float(out["cost"]["score"]), "rows_out": out["cost"]["rows_out"], "rewrites": "; ".join(out["rewrites"])})
-    return local(spark, rows, "question string, score double, rows_out long, rewrites string")
-
-
-@query("dataset_discovery")
-def dataset_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine(spark, sf_dir).discover("I want customer data to predict acctbal")["datasets"]
-    rows = [{"dataset": d["dataset"], "score": d["score"], "coverage": d["coverage"], "matches": ", ".join(f"{m['desired']}={m['column']}" for m in d["matches"])} for d in found]
-    return local(spark, rows, "dataset string, score double, coverage double, matches string")
-
-
-@query("bound_columns")
-def bound_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
-    binding, _, _ = e.plan_for(e.parse("average price by return flag"))
-    rows = [vars(b) for b in binding.entries] or as_rows([])
-    return local(spark, rows, "slot string, hint string, dataset_id string, column string, score double, zone string")
-
-
-@query("audit_log")
-def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = AuditLog(spark, f"{shared_dir(spark)}/lakelens/audit-{uuid.uuid4().hex}")
-    e = engine(spark, sf_dir)
-    for q in ("average l_extendedprice by l_returnflag", "maximum o_totalprice by o_orderpriority"):
-        log.save({k: v for k, v in e.ask(q, run=False).items() if k != "id"})
-    return log.recent()
-
-
 @query(
     "stream_daily_events",
     "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
@@ -463,11 +435,3 @@ def stream_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")
     ).start().awaitTermination()
     return tidy(spark.read.parquet(f"{base}/out"))
-
-
-@query("catalog_types")
-def catalog_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The logical type of every column of the lake."""
-    c = catalog(spark, sf_dir)
-    rows = [{"dataset": d, "column": f.name, "dtype": logical(f.dataType)} for d in c for f in c.scan(d).schema.fields]
-    return local(spark, rows, "dataset string, column string, dtype string")
