@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakelens.operators import quality, records
 from lakelens.runtime import table
@@ -24,7 +25,8 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of every load, with its distribution."""
-    return quality.load_distribution(spark, f"{sf_dir}/taxi_trips.parquet")
+    found = quality.load_distribution(spark, f"{sf_dir}/taxi_trips.parquet")
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("min_ts", "max_ts")})
 
 
 def p4_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,3 +111,61 @@ ORACLES = {
         for c in ("temperature_c", "vibration_mms", "remaining_useful_life", "machine_type")
     ),
 }
+
+# p4_distribution: NTILE over each column's values in SQL
+_NTILE = "SELECT load_id, name, row_number() OVER w AS r, ntile(10) OVER w AS bucket, t, x, s FROM ({0}) WINDOW w AS (PARTITION BY load_id, name ORDER BY x, s)"
+_CELLS = " UNION ALL ".join(
+    f"SELECT load_id, '{c}' AS name, {value}::VARCHAR AS t, {number} AS x, {text} AS s FROM taxi_trips WHERE {c} IS NOT NULL"
+    for c in EVERY
+    for value, number, text in [(f"epoch_us({c})", f"epoch_us({c})::DOUBLE", "NULL") if c in TIMES else (c, f"{c}::DOUBLE", "NULL") if c in NUMBERS or c == "load_id" else (c, "NULL", c)]
+)
+_KINDS = " ".join(f"WHEN p.name = '{c}' THEN '{'timestamp_ntz' if c in TIMES else 'double' if c in NUMBERS else 'bigint' if c == 'load_id' else 'string'}'" for c in EVERY)
+ORACLES["p4_distribution"] = f"""WITH p AS ({ORACLES['p4_profile']}),
+    h AS (SELECT load_id, name, bucket::INTEGER AS bucket, arg_min(t, r) AS lo, arg_max(t, r) AS hi, count(*) AS cnt FROM ({_NTILE.format(_CELLS)}) GROUP BY 1, 2, 3)
+    SELECT p.load_id, p.name, CASE {_KINDS} END AS dtype, n_rows, missing_rate, n_unique, unique_rate,
+        CASE WHEN p.name NOT IN ('pickup_ts', 'ingest_ts') THEN min_val END AS min_val, CASE WHEN p.name NOT IN ('pickup_ts', 'ingest_ts') THEN max_val END AS max_val,
+        CASE WHEN p.name IN ('pickup_ts', 'ingest_ts') THEN strftime(make_timestamp(min_val::BIGINT), '%Y-%m-%d %H:%M:%S') END AS min_ts,
+        CASE WHEN p.name IN ('pickup_ts', 'ingest_ts') THEN strftime(make_timestamp(max_val::BIGINT), '%Y-%m-%d %H:%M:%S') END AS max_ts, bucket, lo, hi, cnt
+    FROM p LEFT JOIN h ON p.load_id IS NOT DISTINCT FROM h.load_id AND p.name = h.name"""
+
+# p5: a record is well quoted if it is all fields; fields are then cut one by one
+_FIELD = """(?:"(?:[^"]|"")*"|[^"' || d || ']*)"""
+_PARSED = f"""
+    f AS (SELECT file_path, arg_max(dataset_id, (created_at, card_id)) AS dataset_id, arg_max(delimiter, (created_at, card_id)) AS delimiter FROM profile_cards
+          WHERE file_path IS NOT NULL AND delimiter IS NOT NULL GROUP BY 1),
+    k AS (SELECT dataset_id, list(name ORDER BY col_pos) AS names, list(dtype ORDER BY col_pos) AS dtypes FROM file_columns GROUP BY 1),
+    r AS (SELECT DISTINCT file_path, line_no, dataset_id, names, dtypes, delimiter AS c, '\\' || delimiter AS d, coalesce(raw_record, '') AS r
+          FROM raw_records JOIN f USING (file_path) LEFT JOIN k USING (dataset_id) WHERE line_no > 1),
+    q AS (SELECT *, regexp_full_match(r, '{_FIELD}(?:' || d || '{_FIELD})*') AS well FROM r),
+    s AS (SELECT *, CASE WHEN well THEN list_transform(regexp_extract_all(c || r, d || '({_FIELD})', 1),
+              lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) END AS fields FROM q),
+    v AS (SELECT *, CASE WHEN well AND len(fields) = len(dtypes) THEN list_filter(range(1, len(fields) + 1), lambda i: CASE
+              WHEN trim(fields[i], ' ') = '' THEN false
+              WHEN dtypes[i] = 'int64' THEN NOT (regexp_full_match(trim(fields[i], ' '), '[+-]?[0-9]+') AND try_cast(regexp_replace(trim(fields[i], ' '), '^([+-]?)0+([0-9])', '\\1\\2') AS BIGINT) IS NOT NULL)
+              WHEN dtypes[i] = 'float64' THEN NOT regexp_full_match(trim(fields[i], ' '), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+              WHEN dtypes[i] = 'bool' THEN lower(trim(fields[i], ' ')) NOT IN ('true', 'false')
+              WHEN dtypes[i] = 'date' THEN NOT (regexp_full_match(trim(fields[i], ' '), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(trim(fields[i], ' ') AS DATE) IS NOT NULL AND trim(fields[i], ' ') >= '0001')
+              WHEN dtypes[i] = 'datetime64' THEN NOT (regexp_full_match(trim(fields[i], ' '), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]') AND try_cast(substr(trim(fields[i], ' '), 1, 10) AS DATE) IS NOT NULL AND trim(fields[i], ' ') >= '0001')
+              ELSE false END) END AS wrong FROM s),
+    x AS (SELECT *, CASE WHEN NOT well THEN 'quoting' WHEN len(fields) <> len(dtypes) THEN 'column_count' WHEN len(wrong) > 0 THEN 'value' END AS reason FROM v)"""
+ORACLES["p5_found"] = f"WITH {_PARSED} SELECT DISTINCT file_path, line_no, reason FROM x WHERE reason IS NOT NULL"
+ORACLES["p5_row_counts"] = f"""WITH {_PARSED},
+    w AS (SELECT file_path, arg_max(coalesce(row_count, -1), (created_at, card_id)) AS c FROM profile_cards WHERE file_path IS NOT NULL GROUP BY 1),
+    n AS (SELECT file_path, count(DISTINCT line_no) AS records FROM raw_records WHERE line_no > 1 GROUP BY 1),
+    b AS (SELECT file_path, count(DISTINCT line_no) AS failed FROM x WHERE reason IS NOT NULL GROUP BY 1)
+    SELECT file_path, CASE WHEN c >= 0 THEN c END AS claimed, coalesce(records, 0) AS records, coalesce(failed, 0) AS failed, coalesce(records, 0) - coalesce(failed, 0) AS row_count
+    FROM w LEFT JOIN n USING (file_path) LEFT JOIN b USING (file_path)"""
+# the columns of the fixed table file_columns
+_LAYOUTS = {
+    "insurance": "policy_no:BIGINT age:BIGINT bmi:DOUBLE charges:DOUBLE smoker:BOOLEAN area:VARCHAR remark:VARCHAR start_date:DATE",
+    "cat_breed": "Breed:VARCHAR Country:VARCHAR Fur_colour_dominant:VARCHAR Weight:DOUBLE Body_length:DOUBLE Sleep_time_hours:BIGINT",
+    "mba_admission": "applicant_id:BIGINT gpa:DOUBLE gmat:BIGINT work_exp:BIGINT major:VARCHAR work_industry:VARCHAR admission:VARCHAR applied_at:TIMESTAMP",
+    "train_energy_data": "Building_Type:VARCHAR Square_Footage:BIGINT Average_Temperature:DOUBLE Energy_Consumption:DOUBLE Day_of_Week:VARCHAR metered:BOOLEAN read_on:DATE",
+}
+for _name, _columns in _LAYOUTS.items():
+    _spaced = _name == "train_energy_data"
+    _picks = ", ".join(
+        f"""try_cast(nullif(trim(fields[{i}], ' '), '') AS {kind}) AS "{c.replace('_', ' ') if _spaced and c != 'read_on' else c}\""""
+        for i, (c, kind) in enumerate((x.split(":") for x in _columns.split()), 1)
+    )
+    ORACLES[f"p5_rows_{_name}"] = f"WITH {_PARSED} SELECT DISTINCT ON (file_path, line_no) file_path, line_no, {_picks} FROM x WHERE reason IS NULL AND dataset_id = '{_name}'"
