@@ -49,9 +49,9 @@ def value_frequencies(tables: dict[str, DataFrame], columns: dict[str, list[str]
     return reduce(DataFrame.union, parts).groupBy(*KEY, "v").agg(F.count("*").alias("cnt"))
 
 
-def scalars(df: DataFrame, dataset: str = "") -> DataFrame:
-    """One row for each column: dataset, name, n_rows, n_values, min_val, max_val, mean_val (numbers only) and guessed
-    (the estimated number of distinct values), all from one pass."""
+def scalars(df: DataFrame, dataset: str = "", guess: bool = False) -> DataFrame:
+    """One row for each column: dataset, name, n_rows, n_values, min_val, max_val, mean_val (numbers only) and, with
+    ``guess``, guessed (the estimated number of distinct values), all from one pass."""
     measures = []
     for i, f in enumerate(df.schema.fields):
         c, number = quoted(f.name), logical(f.dataType) in NUMERIC
@@ -59,7 +59,8 @@ def scalars(df: DataFrame, dataset: str = "") -> DataFrame:
         measures.append(
             F.struct(
                 F.lit(dataset).alias("dataset"), F.lit(f.name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_values"), F.min(x).alias("min_val"),
-                F.max(x).alias("max_val"), F.avg(x).alias("mean_val"), F.approx_count_distinct(c if logical(f.dataType) != "nested" else as_text(df, f.name)).alias("guessed"),
+                F.max(x).alias("max_val"), F.avg(x).alias("mean_val"),
+                (F.approx_count_distinct(c if logical(f.dataType) != "nested" else as_text(df, f.name)) if guess else F.lit(None).cast("long")).alias("guessed"),
             ).alias(f"s{i}")
         )
     one = df.agg(*measures)
@@ -136,7 +137,7 @@ def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact
     if not tables:
         raise ValueError("nothing to profile")
     spark = next(iter(tables.values())).sparkSession
-    base = {(r["dataset"], r["name"]): r for r in reduce(DataFrame.union, [scalars(df, d) for d, df in tables.items()]).collect()}
+    base = {(r["dataset"], r["name"]): r for r in reduce(DataFrame.union, [scalars(df, d, exact_distinct is not None) for d, df in tables.items()]).collect()}
     types = {(d, f.name): logical(f.dataType) for d, df in tables.items() for f in df.schema.fields}
     exact = {d: [c for c in df.columns if exact_distinct is None or base[d, c]["guessed"] <= exact_distinct] for d, df in tables.items()}
     sketched = {d: [c for c in df.columns if c not in exact[d]] for d, df in tables.items()}
@@ -144,15 +145,22 @@ def profile_many(tables: dict[str, DataFrame], key_suffixes: bool = False, exact
         counts = written(value_frequencies(tables, exact), "profile-values")
     else:
         counts = spark.createDataFrame([], "dataset string, name string, v string, cnt bigint")
-    unique = {(r["dataset"], r["name"]): r["n"] for r in counts.groupBy(*KEY).agg(F.count("*").alias("n")).collect()}
+    # distinct counts, frequent values and samples by one job over the counts; a window is cut before its shuffle
+    by_count, by_value = Window.partitionBy(*KEY).orderBy(F.desc("cnt"), "v"), Window.partitionBy(*KEY).orderBy("v")
+    kind = lambda k: F.lit(k).alias("kind")
+    ranked = lambda k, order, n: counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).select(kind(k), *KEY, "v", "cnt", "r")
+    distinct = counts.groupBy(*KEY).agg(F.count("*").alias("cnt")).select(kind("n"), *KEY, F.lit(None).cast("string").alias("v"), "cnt", F.lit(0).alias("r"))
+    unique: dict[tuple[str, str], int] = {}
     top: dict[tuple[str, str], list] = {}
-    by_count = Window.partitionBy(*KEY).orderBy(F.desc("cnt"), "v")
-    for r in counts.withColumn("r", F.row_number().over(by_count)).where(F.col("r") <= KEYS).collect():
-        top.setdefault((r["dataset"], r["name"]), []).append(r)
     samples: dict[tuple[str, str], list[str]] = {}
-    by_value = Window.partitionBy(*KEY).orderBy("v")
-    for r in counts.withColumn("r", F.row_number().over(by_value)).where(F.col("r") <= SAMPLES).collect():
-        samples.setdefault((r["dataset"], r["name"]), []).append(r["v"])
+    for r in distinct.union(ranked("top", by_count, KEYS)).union(ranked("sample", by_value, SAMPLES)).collect():
+        k = r["dataset"], r["name"]
+        if r["kind"] == "n":
+            unique[k] = r["cnt"]
+        elif r["kind"] == "top":
+            top.setdefault(k, []).append(r)
+        else:
+            samples.setdefault(k, []).append(r["v"])
     for d, columns in sketched.items():
         for r in sketched_values(tables[d], columns).collect() if columns else []:
             k = (d, r["name"])

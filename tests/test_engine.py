@@ -171,3 +171,13 @@ def test_sniffing(spark, tmp_path):
     lake = Catalog.of_lake(spark, str(tmp_path))
     assert sorted(lake) == ["bare", "empty", "late", "open"] and lake.scan("late").count() == 3001 and lake.scan("open").count() == 3001
     assert sorted(Catalog.of_lake(spark, f"file://{tmp_path}")) == sorted(lake)
+
+
+def test_binding_accuracy(spark):
+    from conftest import DATA
+    from lakelens.accuracy import measure
+    from lakelens.core_queries import STAR
+    from lakelens.plans.engine import engine_for_tables
+
+    found = measure(engine_for_tables(spark, DATA, STAR, True))
+    assert found["table"] >= 0.9 and found["metric"] >= 0.8 and found["dimension"] >= 0.8 and found["binding"] >= 0.75, found

@@ -36,7 +36,7 @@ def test_sketched_columns(spark):
 
 def test_exact_by_default_at_any_size(spark, monkeypatch):
     plain = prof.scalars
-    monkeypatch.setattr(prof, "scalars", lambda df, d="": plain(df, d).withColumn("guessed", F.lit(10**9)))
+    monkeypatch.setattr(prof, "scalars", lambda df, d="", guess=False: plain(df, d).withColumn("guessed", F.lit(10**9)))
     df = spark.range(3000).select((F.col("id") + 1000).alias("n"))
     p = profile(df, "t").first()
     assert (p.n_unique, p.unique_rate, p.top_values, p.sample_values) == (3000, 1.0, [str(1000 + i) for i in range(5)], [str(1000 + i) for i in range(8)])
