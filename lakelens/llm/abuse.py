@@ -102,7 +102,7 @@ CLAUSES = (
     # a person is called something
     .add(
         "abusive", 0.9,
-        "YOU (COP|being)? (ALL|just|nothing|but|only|really|such|nur|rien|que|mas){0,3} (SLUR|DEGRADED)", "(YOU COP|YOU&COP) .{0,2} (SLUR|SOFT)", "YOU SLUR", "YOU (は|が|も|なんて|を) (INSULT|SCUM|KILL)", "YOU (DET|BADNESS)* (INSULT|SOFT)", "what DET? SLUR YOU", "what DET? BADNESS* SOFT YOU",
+        "YOU (COP|being)? (ALL|just|nothing|but|only|really|such|nur|rien|que|mas){0,3} (SLUR|DEGRADED)", "(YOU COP|YOU&COP) .{0,2} (SLUR|SOFT)", "YOU OTHER? SLUR", "YOU (は|が|も|なんて|を) (INSULT|SCUM|KILL)", "YOU (DET|BADNESS)* (INSULT|SOFT)", "what DET? SLUR YOU", "what DET? BADNESS* SOFT YOU",
         "(YOU COP|YOU&COP) .? (DET|BADNESS|FUCK|INTENS)* (SCUM|VERMIN|JUNK)", "YOU .? (KIN|kids|friends) COP .? DEGRADED", "YOU (BADNESS)+ (SCUM|VERMIN|JUNK)", "(HE|NAMED|FIGURE) COP .? SLUR", "(here|hey|oi|listen|only) SLUR", "(SLUR|INSULT) (like|wie|comme|como) (YOU|NAMED|HE)", "SOFT (like|wie|comme|como) YOU", "only DET? SOFT like (NAMED|HE)", "youre DET? (SOFT|SCUM|VERMIN|JUNK)", "espece (de|d)? (BADNESS)* (SLUR|SCUM|JUNK|SOFT|VERMIN)",
         "(SILENCE|GAG) .{0,2} (YOU)? (BADNESS)* (INSULT|SOFT|SCUM|VERMIN|JUNK)", "SILENCE .? YOU BADNESS", "GAG", "HARM SLUR", "YOU COP (so|really|such|too|a|just|LOWER)* (BADNESS){1,3} (and|EOS)", "NOBODY (needs|braucht|wants|likes|will) .{0,3} SLUR",
     )
@@ -125,7 +125,7 @@ CLAUSES = (
     .add(
         "hateful", 0.9,
         "TRIBE .? COP (DET|so|de|again|also|really)* (DEGRADED|LIKENED)", "TRIBE (COP|EOS|DET|all)* (DEGRADED)", "TRIBE (SCUM|VERMIN|INSULT|SLUR)", "BADNESS+ (GROUP|DEMONYM)", "TRIBE .* THEM COP .{0,2} (DEGRADED|LIKENED)", "TRIBE (are|sind|sont|son) (so|too|really|DET|all|just)* BADNESS+ (and|EOS)",
-        "ANY COP (de|DET|ALL|just)* DEGRADED", "ANY THEM COP .{0,2} DEGRADED", "ALL DET? (PROPER|PLURAL&NAMED) COP (DET|ALL)* DEGRADED", "(TRIBE|ANY) (COP|do|does|should|will)* NEG (really|fully|even|all|count|as|be|considered|real|is|are)* HUMAN (EOS|beings|like|NAMED|and|at)",
+        "ANY COP (de|DET|ALL|just)* DEGRADED", "ANY THEM COP .{0,2} DEGRADED", "ALL DET? (PROPER|PLURAL&NAMED) COP (DET|ALL)* DEGRADED", "(TRIBE|ANY) (COP|do|does|should|will)* NEG (really|fully|even|all|count|as|be|considered|real|is|are)* HUMAN (EOS|beings|like|NAMED|and|at|to|for|in|anymore|anyway)",
         "TRIBE (breed|spread|multiply|vermehren|reproduisent|reproducen) (THEM)? (like|wie|comme|como) (VERMIN|BEASTS|JUNK)", "ANY (breed|spread|multiply) (like) (VERMIN|JUNK)", "TRIBE .? (VERMIN|SCUM)", "NAMED&PLURAL SCUM", "GROUP (は|が|も|なんて) (SCUM|INSULT)", "все . (SCUM|VERMIN)",
     )
     # its harm, expulsion or exclusion is called for
@@ -173,7 +173,7 @@ PLACED = frozenset({"LEAD", "PROPER", "EOS"})
 COMMON = dict.fromkeys("LEAD PROPER EOS".split(), 1000) | dict.fromkeys("YOU COP DET ALL NEG SELF HE THEM HINT CLINIC NAMED PLURAL PEOPLE OTHER ANY AWAY".split(), 100)
 COMMON |= {"HARM": 50, "MUST": 60, "WILL": 60, "TRIBE": 45, "DEMONYM": 40, "GROUP": 10, "PLACE": 40, "SEND": 30, "BODY": 30, "SPEAK": 30}
 #: Classes whose words are too short or common to be looked for behind disguises.
-PLAIN = frozenset("DET COP HINT YOU CLINIC ALL NEG SELF HE THEM MUST WILL NOBODY AWAY OUT SEND SHUN PLACE HOMES KIN SHAME THING SPEAK STAFF PENALTY WORD HUMAN BODY VANISH HURT BEASTS LOWER PUNISH CARESS INTENS FIGURE".split())
+PLAIN = frozenset("DET COP HINT YOU CLINIC ALL NEG SELF HE THEM MUST WILL NOBODY AWAY OUT SEND SHUN PLACE HOMES KIN SHAME THING SPEAK STAFF PENALTY WORD HUMAN BODY VANISH HURT BEASTS LOWER CARESS INTENS FIGURE".split())
 #: Endings of plural demonyms.
 DEMONYMS = ("i", "is", "ans", "ians", "ites", "ese", "ers", "ish", "ards", "ois", "iens", "anos", "inos", "enses")
 UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
@@ -314,7 +314,7 @@ class Lexer:
             tries.append(leet)
         for t in tries:
             joined = INNER.sub("", t)
-            if joined in self.labels and not joined.isdigit() and len(joined) > 1 and (self.labels[joined] or len(joined) > 3 or len(joined) == len(t)):
+            if joined in self.labels and not joined.isdigit() and len(joined) > 1 and (self.labels[joined] or len(joined) > 3 or set(t) - set(joined) <= {"-", "_"}):
                 return (joined,)
             if RUNS.search(joined):
                 for u in (RUNS.sub(r"\1", joined), RUNS.sub(r"\1\1", joined)):
