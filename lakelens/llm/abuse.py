@@ -46,6 +46,7 @@ PHRASES = (
     .add("must", 0.0, "(have|has|had|going|time|want|wants|able) to", "MUST (NEG|all|just|really|be|have|to|zu|etre|que|ser|HE|SELF|THEM|YOU){1,3}", "hay que", "il faut", "y a qu a", output="MUST")
     # verbs of several words
     .add("end", 0.0, "(finish|finished|wipe|wiped|kill|killed) (DET|THEM|all)? off", "(wipe|wiped) (DET|THEM|all)? out", "put (DET|THEM)? down", "macht .? platt", "acabar con", output="END")
+    .add("group", 0.0, "(black|white|brown|gay|trans|disabled|homeless|jewish|muslim|asian|african) people", output="GROUP")
     .add("rid", 0.0, "(get|getting|got|be) rid of", "(kick|throw|drive|push|chase|driven|thrown|kicked|chased) (DET|all)* (out|away)", "clean (out|up)", "deshacerse de", output="RID")
 )
 
@@ -56,7 +57,7 @@ TARGETS = (
     .add(
         "tribe", 0.0,
         "(ALL|DET|BADNESS|damn|single|last|one|of|these)* (GROUP|DEMONYM)", "(ALL|DET|BADNESS|single|last|one|of)* .? (folk|folks|tribe|tribes|clan|clans)",
-        "(ALL|DET|BADNESS|single|last|one|of)* (OTHER|NAMED) people of DET? .", "(ALL|DET|BADNESS|single|last|one|of)* (NAMED|black|white|brown|gay|trans|disabled|old|poor|homeless|jewish|muslim|asian|african) people",
+        "(ALL|DET|BADNESS|single|last|one|of)* (OTHER|NAMED) people of DET? .", "(ALL|DET|BADNESS|single|last|one|of)* (NAMED|old|poor) people",
         output="TRIBE",
     )
     .add("any", 0.0, "(ALL|DET) (ALL|DET|BADNESS|of|single|last|one)* PROPER", "PROPER&PLURAL", "LEAD&PEOPLE", output="ANY")
@@ -65,7 +66,7 @@ TARGETS = (
 # What somebody is called; PREDICATE a judgement that fits groups.
 JUDGEMENTS = (
     Transducer()
-    .add("slur", 0.0, "(DET|INTENS)* (BADNESS|FUCK|INTENS|and|fat|sale|sales|gros|grosse|pauvre|miserable|elender|elende|old)* INSULT BADNESS*", "(DET|INTENS)* (BADNESS|FUCK|INTENS|and|fat|sale|sales|gros|grosse|miserable|elender|elende)+ SOFT BADNESS*", "DET* SOFT BADNESS+", output="SLUR")
+    .add("slur", 0.0, "(DET|INTENS)* (BADNESS|FUCK|INTENS|TRAIT|and|de)* INSULT BADNESS*", "(DET|INTENS)* (BADNESS|FUCK|INTENS|TRAIT|and)+ SOFT BADNESS*", "DET* SOFT BADNESS+", output="SLUR")
     .add(
         "degraded", 0.0,
         "(nothing|just|only|but|nur|nichts|als|que|mas|rien|ALL|INTENS)* (DET|de|BADNESS|FUCK|and)* (SCUM|INSULT)", "DET (bunch|pack|load|lot|pile|gang|horde|haufen|bande|tas) (of|de|von)? (BADNESS|FUCK|INTENS)* (SCUM|INSULT|VERMIN|JUNK|SOFT)", "(nothing|just|only|but|nur|nichts|als|rien|que|mas|ALL)* (DET|de|BADNESS|FUCK)* (BADNESS|FUCK) (VERMIN|JUNK)",
@@ -102,8 +103,8 @@ CLAUSES = (
     # a person is called something
     .add(
         "abusive", 0.9,
-        "YOU (COP|being)? (ALL|just|nothing|but|only|really|such|nur|rien|que|mas){0,3} (SLUR|DEGRADED)", "(YOU COP|YOU&COP) .{0,2} (SLUR|SOFT)", "YOU OTHER? SLUR", "YOU (は|が|も|なんて|を) (INSULT|SCUM|KILL)", "YOU (DET|BADNESS)* (INSULT|SOFT)", "what DET? SLUR YOU", "what DET? BADNESS* SOFT YOU",
-        "(YOU COP|YOU&COP) .? (DET|BADNESS|FUCK|INTENS)* (SCUM|VERMIN|JUNK)", "YOU .? (KIN|kids|friends) COP .? DEGRADED", "YOU (BADNESS)+ (SCUM|VERMIN|JUNK)", "(HE|NAMED|FIGURE) COP .? SLUR", "(here|hey|oi|listen|only) SLUR", "(SLUR|INSULT) (like|wie|comme|como) (YOU|NAMED|HE)", "SOFT (like|wie|comme|como) YOU", "only DET? SOFT like (NAMED|HE)", "youre DET? (SOFT|SCUM|VERMIN|JUNK)", "espece (de|d)? (BADNESS)* (SLUR|SCUM|JUNK|SOFT|VERMIN)",
+        "YOU (COP|being)? (ALL|just|nothing|but|only|really|such|nur|rien|que|mas){0,3} (SLUR|DEGRADED)", "(YOU COP|YOU&COP) .{0,2} (SLUR|SOFT)", "YOU OTHER? SLUR", "YOU .* LEAD&INSULT EOS", "YOU (は|が|も|なんて|を) (INSULT|SCUM|KILL)", "YOU (DET|BADNESS)* (INSULT|SOFT)", "what DET? SLUR YOU", "what DET? BADNESS* SOFT YOU",
+        "(YOU COP|YOU&COP) .? (DET|BADNESS|FUCK|INTENS)* (SCUM|VERMIN|JUNK)", "YOU .? (KIN|kids|friends) COP .? DEGRADED", "YOU (BADNESS)+ (SCUM|VERMIN|JUNK)", "(HE|NAMED|FIGURE|KIN) COP .? SLUR", "(here|hey|oi|listen|only) SLUR", "(SLUR|INSULT) (like|wie|comme|como) (YOU|NAMED|HE)", "SOFT (like|wie|comme|como) YOU", "only DET? SOFT like (NAMED|HE)", "youre DET? (SOFT|SCUM|VERMIN|JUNK)", "espece (de|d)? (BADNESS)* (SLUR|SCUM|JUNK|SOFT|VERMIN)",
         "(SILENCE|GAG) .{0,2} (YOU)? (BADNESS)* (INSULT|SOFT|SCUM|VERMIN|JUNK)", "SILENCE .? YOU BADNESS", "GAG", "HARM SLUR", "YOU COP (so|really|such|too|a|just|LOWER)* (BADNESS){1,3} (and|EOS)", "NOBODY (needs|braucht|wants|likes|will) .{0,3} SLUR",
     )
     .add("abusive", 0.9, "YOU (all)? (suck|stink)", "FUCK (off|YOU|HE&him|her)", "LEAD&FUCK YOU", "go FUCK YOU", "screw YOU", "(eat|suck|lick) (my|YOU|a|DET)* (shit|dick|cock|arse|ass|mierda|merde)", "leck mich", "va te faire", "vete a la mierda", "va a cagare", "vaffanculo")
@@ -113,26 +114,26 @@ CLAUSES = (
         "crawl back .? .? YOU? DET? (hole|rock|cave|sewer|swamp|gutter)", "NOBODY (WILL|would|ever)* (wants|want|likes|like|loves|love|needs|misses|miss|invited) YOU (here|around|anymore|anyway|back|NAMED|INSULT|SOFT|EOS)",
         "do .{0,3} (favour|favor) and (just|please|go)* (VANISH|HARM|KILL)", "YOU own? KIN (MUST|COP|be|is|should|would|so|very|DET){0,4} (SHAME|hates|regrets)", "YOU KIN (MUST|COP|should|would)* (have)? (aborted|drowned|swallowed)",
     )
-    .add("abusive", 0.5, "(before|until) YOU open YOU (BADNESS|FUCK|big)+ (mouth|trap)", "go back to YOU (hole|cave)", "YOU (make|makes) me (sick|vomit|puke)")
+    .add("abusive", 0.5, "(before|until) YOU open YOU (BADNESS|FUCK|big)+ (mouth|trap)", "go back to YOU (hole|cave)", "YOU people? (make|makes) me (sick|vomit|puke)")
     # threats, and wishes of harm
     .add(
         "abusive", 0.9,
-        "(hope|wish|pray|want) (that|all|to|see|for)* YOU .{0,4} HARM", "ojala (te|os|YOU)? HARM", "make YOU HARM", "SELF? WILL .{0,3} (KILL|END) YOU", "(SELF|LEAD&KILL|WILL|te|YOU) KILL YOU (EOS|all|NAMED|YOU|if|tomorrow|tonight|soon|in)", "(YOU) KILL EOS",
+        "(hope|wish|pray|want|hoffe|wuensche|espero|deseo) (that|all|to|see|for|dass|que)* YOU .{0,4} HARM", "ojala (te|os|YOU)? HARM", "YOU (souhaite|desire) (de)? HARM", "make YOU HARM", "SELF? WILL .{0,3} (KILL|END) YOU", "(SELF|LEAD&KILL|WILL|te|YOU) KILL YOU (EOS|all|NAMED|YOU|if|tomorrow|tonight|soon|in)", "(YOU) KILL EOS",
         "(SELF|WILL|ll|gonna) .{0,3} HURT YOU BODY", "WILL .{0,2} HURT YOU (alive|EOS|up)", "LEAD&KILL (yourself|yourselves)", "SELF? WILL (find|come|hunt|know|track) .{0,3} where YOU live", "SELF know where YOU live", "(better|happier) .{0,3} (if YOU were dead|if YOU died|if YOU COP dead|without YOU EOS)", "go (HARM|KILL) (somewhere|YOU|in|EOS|alone|NAMED)", "(va|vete|geh) (te|a|YOU)* HARM", "(eat|drink) .{0,2} and HARM",
         "YOU (MUST|should|deserve|to|all|really|just|be){1,4} (HARM|PUNISH|KILL)", "YOU MUST .{0,3} (HARM|PUNISH|KILL) (YOU|EOS|NAMED|in|for|like)", "(MUST|should|deserve) .{0,2} (HARM|KILL) YOU", "bring(e|en)? YOU um", "SELF? (bring|bringe|mach|mache) YOU (um|fertig|kalt|alle|platt)", "(vais|va|voy) (te|YOU|a)+ (KILL|HURT)",
     )
     # a group is degraded
     .add(
         "hateful", 0.9,
-        "TRIBE .? COP (DET|so|de|again|also|really)* (DEGRADED|LIKENED)", "TRIBE (COP|EOS|DET|all)* (DEGRADED)", "TRIBE (SCUM|VERMIN|INSULT|SLUR)", "BADNESS+ (GROUP|DEMONYM)", "TRIBE .* THEM COP .{0,2} (DEGRADED|LIKENED)", "TRIBE (are|sind|sont|son) (so|too|really|DET|all|just)* BADNESS+ (and|EOS)",
+        "TRIBE .? COP (DET|so|de|again|also|really)* (DEGRADED|LIKENED)", "TRIBE (COP|EOS|DET|all)* (DEGRADED)", "TRIBE COP (DET|ALL)* SLUR", "(GROUP|DEMONYM) COP (DET|ALL|just|nur)* JUNK", "TRIBE (SCUM|VERMIN|INSULT|SLUR)", "BADNESS+ (GROUP|DEMONYM)", "TRIBE .* THEM COP .{0,2} (DEGRADED|LIKENED)", "TRIBE (are|sind|sont|son) (so|too|really|DET|all|just)* BADNESS+ (and|EOS)",
         "ANY COP (de|DET|ALL|just)* DEGRADED", "ANY THEM COP .{0,2} DEGRADED", "ALL DET? (PROPER|PLURAL&NAMED) COP (DET|ALL)* DEGRADED", "(TRIBE|ANY) (COP|do|does|should|will)* NEG (really|fully|even|all|count|as|be|considered|real|is|are)* HUMAN (EOS|beings|like|NAMED|and|at|to|for|in|anymore|anyway)",
         "TRIBE (breed|spread|multiply|vermehren|reproduisent|reproducen) (THEM)? (like|wie|comme|como) (VERMIN|BEASTS|JUNK)", "ANY (breed|spread|multiply) (like) (VERMIN|JUNK)", "TRIBE .? (VERMIN|SCUM)", "NAMED&PLURAL SCUM", "GROUP (は|が|も|なんて) (SCUM|INSULT)", "все . (SCUM|VERMIN)",
     )
     # its harm, expulsion or exclusion is called for
     .add(
         "hateful", 0.9,
-        "(LEAD&KILL|LEAD&EXPEL|LEAD&END|LEAD&RID) (TRIBE|ALL DET? PROPER|THEM&them all)", "LEAD&HARM (all)? TRIBE EOS", "(MUST|lets|gotta|WILL) .{0,4} (KILL|EXPEL|END|RID) (TRIBE|ANY)", "(TRIBE|ANY) .{0,3} MUST (all|be|just|have|to|etre|werden|ser){0,4} .{0,2} (PUNISH|HARM|KILL|EXPEL|deported|expelled|banned|sterilised|enslaved|removed|RID|AWAY|OUT)", "TRIBE (raus|dehors|go home|go back) (EOS|now|NAMED)", "(OUT|RID) (mit|con|avec|aux|los|les|a|DET)* (TRIBE|ANY|PLURAL)", "(LEAD&SEND|MUST SEND|SEND) (TRIBE|ALL ANY|ANY) (AWAY (EOS|to|where|NAMED)|to DET (bottom|camps|gallows|grave|hell|wall|sea)|to hell|into DET (sea|ocean|river))", "(LEAD&SEND|MUST SEND) (TRIBE|ANY) .{0,4} (bottom|camps|gallows)", "(TRIBE|ANY) (AWAY|OUT) (of|aus|de)? (our|my|unserem|unserer|notre|nuestro|PLACE)* PLACE", "NAMED raus aus .? PLACE",
-        "keep (TRIBE|ANY|THEM) (AWAY|out) (of|from) (our|the|my|this|all|DET)* PLACE", "LEAD&NEG (ever|again)* SHUN (TRIBE|ANY)", "(should|must|would|will|can|could|LEAD&do) NEG (ever)? SHUN (TRIBE|ANY)", "(good|better|best|happy|beautiful|great|dream|perfect|nice|clean|safe) .* (without|free of|rid of|with no) (a|any|single)* TRIBE", "NEG want TRIBE in DET* PLACE", "(do|would|will|should|can) NEG (want|like|share|sit|live|eat|mix) .{0,5} with TRIBE EOS", "(gas|hang|lynch) DET? TRIBE", "(LEAD&burn|LEAD&bomb|LEAD&torch|LEAD&smash|LEAD&destroy|MUST (burn|bomb|torch|destroy)) (ALL|DET|THEM|down)* (mosque|mosques|synagogue|synagogues|temples)", "(death|mort|muerte|tod) (to|a|aux|den|los)* (DET)? (TRIBE|ANY)", "(вон|долои) GROUP", "(убить|выгнать) (всех)? GROUP", "GROUP .{0,2} OUTWARD",
+        "(LEAD&KILL|LEAD&EXPEL|LEAD&END|LEAD&RID) (TRIBE|ALL DET? PROPER|THEM&them all)", "LEAD&EXPEL ANY", "LEAD&HARM (all)? TRIBE EOS", "(MUST|lets|gotta|WILL) .{0,4} (KILL|EXPEL|END|RID) (TRIBE|ANY)", "(TRIBE|ANY) .{0,3} MUST (all|be|just|have|to|etre|werden|ser){0,4} .{0,2} (PUNISH|HARM|KILL|EXPEL|deported|expelled|banned|sterilised|enslaved|removed|RID|AWAY|OUT)", "TRIBE (raus|dehors|go home|go back) (EOS|now|NAMED)", "(OUT|RID) (mit|con|avec|aux|los|les|a|DET)* (TRIBE|ANY|PLURAL)", "(LEAD&SEND|MUST SEND|SEND) (TRIBE|ALL ANY|ANY) (AWAY (EOS|to|where|NAMED)|to DET (bottom|camps|gallows|grave|hell|wall|sea)|to hell|into DET (sea|ocean|river))", "(LEAD&SEND|MUST SEND) (TRIBE|ANY) .{0,4} (bottom|camps|gallows)", "LEAD&no TRIBE (allowed|welcome|wanted)", "(TRIBE|ANY) (AWAY|OUT) (of|aus|de)? (our|my|unserem|unserer|notre|nuestro|PLACE)* PLACE", "NAMED raus aus .? PLACE",
+        "keep (TRIBE|ANY|THEM) (AWAY|out) (of|from) (our|the|my|this|all|DET)* PLACE", "LEAD&NEG (ever|again)* SHUN (TRIBE|ANY)", "(should|must|would|will|can|could|LEAD&do) NEG (ever)? SHUN (TRIBE|ANY)", "(good|better|best|happy|beautiful|great|dream|perfect|nice|clean|safe) .* (without|free of|rid of|with no) (a|any|single)* TRIBE", "NEG want TRIBE in (DET|our)* PLACE", "(do|would|will|should|can) NEG (want|like|share|sit|live|eat|mix) .{0,5} with TRIBE EOS", "(gas|hang|lynch) DET? TRIBE", "(LEAD&burn|LEAD&bomb|LEAD&torch|LEAD&smash|LEAD&destroy|MUST (burn|bomb|torch|destroy)) (ALL|DET|THEM|down)* (mosque|mosques|synagogue|synagogues|temples)", "(death|mort|muerte|tod) (to|a|aux|den|los)* (DET)? (TRIBE|ANY)", "(вон|долои) GROUP", "(убить|выгнать) (всех)? GROUP", "GROUP .{0,2} OUTWARD",
     )
     # the same of a group named before
     .add(

@@ -8,15 +8,16 @@ INSULT = """idiot idiots imbecile imbeciles moron morons bastard bastards jackas
     dumbass bitch bitches cunt cunts wanker twat prick douchebag dickhead motherfucker cretin halfwit nitwit whore whores slut sluts
     retard retards dipshit fuckwit bonehead shithead lowlife dumbfuck
     idiotin idioten dummkopf versager arschloch arschloecher hurensohn wichser missgeburt schlampe trottel vollidiot depp drecksau dreckskerl mistkerl drecksack schwachkopf
-    connard connards connasse salaud salope abruti encule raclure cretine batard
+    pute putes connard connards connasse salaud salope abruti encule raclure cretine batard
     idiota idiotas imbecil imbeciles gilipollas cabron cabrona pendejo pendeja hijoputa cretino estupida subnormal
     stronzo stronza stronzi idioti coglione bastardo puttana deficiente cretina"""
 
 # contempt only where a person is called so
-SOFT = """clown clowns loser losers pig pigs swine donkey fool failure disgrace coward weirdo creep freak
+SOFT = """clown clowns loser losers pig pigs swine donkey fool failure disgrace coward weirdo creep freak liar worm cow hypocrite snake toad hag crook cheat leech brat slob
     schwein esel feigling witzfigur
-    clown cochon porc ane bouffon
-    payaso cerdo cerda burro perdedor cobarde
+    luegner luegnerin heuchler heuchlerin kuh sau wurm ratte
+    clown cochon porc ane bouffon menteur menteuse vache truie lache hypocrite
+    mentiroso mentirosa vaca perra gusano payaso cerdo cerda burro perdedor cobarde
     pagliaccio maiale asino"""
 
 BADNESS = """stupid worthless disgusting braindead ugly filthy useless pathetic lying dumb retarded rotten dirty stinking lousy
@@ -32,6 +33,7 @@ HE = "he she hes shes him er sie il elle ella lui lei"
 SELF = "i we ill well im ich wir je nous yo nosotros io noi"
 THEM = "them they their theyre ihnen ihre ihr eux leur leurs ellos ellas los les loro"
 COP = "are is was were be am being bist sind ist war waren es est sont etes etait son eres era eran r sei seid siete sois sono"
+TRAIT = "lazy greedy drunken stinky sick evil selfish crazy insane creepy nasty despicable fat old miserable faul fauler faule fette fetter elender elende sale sales gros grosse pauvre vieux vieille gordo gorda vago vaga loco loca"
 INTENS = "absolute total complete utter real really such little big vraiment completement richtig totaler totale absoluter total"
 DET = "a an the uno ein eine einen einem einer der die das den dem un une le la les des de du los las el una unos unas such so my this that these those some il gli lo i"
 ALL = "all every each any these those such most alle jeder jede diese tous toutes chaque ces todos todas cada estos tutti"
@@ -58,7 +60,7 @@ BEASTS = """mice mouse rabbits rabbit pigeons pigeon mosquitoes mosquito ticks t
 LOWER = "dumber stupider worse lower filthier uglier dirtier lazier inferior duemmer schlimmer dreckiger pires peores peor"
 HUMAN = "human humans people menschen mensch humains humanos personas"
 HARM = """choke die bleed suffer rot burn perish starve drown
-    sterben stirb verrecken verreck verrecke brennen pourrir creve crever mourir meurs pudrirte morir mueras muerete pudras sangrar crepa morire"""
+    sterben stirb stirbst verreckst verrecken verreck verrecke brennen pourrir creve crever mourir meurs pudrirte morir mueras muerete pudras sangrar crepa morire"""
 PUNISH = """shot hanged hung killed gassed lynched beaten whipped caged cage noose gallows gutter zoo grave slaughtered exterminated drowned burned burnt castrated sterilised sterilized
     erschossen gehaengt vergast kaefig fusilles pendus cage fusilados ahorcados jaula"""
 KILL = """kill murder strangle stab shoot hang gas slaughter butcher exterminate eradicate lynch annihilate behead
@@ -74,7 +76,7 @@ PLACE = "school schools country town towns city cities neighbourhood neighbourho
 HOMES = "houses homes shops churches mosques synagogues temples camps villages haeuser laeden maisons casas tiendas"
 VANISH = "disappear vanish die leave drown jump verschwinde disparais desaparece"
 KIN = "mother mum mom mama father dad parents family mutter vater eltern mere pere madre padre"
-FIGURE = "boss neighbour neighbor teacher husband wife ex brother sister mayor president minister landlord coach chef nachbar lehrer voisin vecino jefe"
+FIGURE = "sister brother daughter son aunt uncle girlfriend boyfriend schwester bruder soeur frere hermana hermano boss neighbour neighbor teacher husband wife ex mayor president minister landlord coach chef nachbar lehrer voisin vecino jefe"
 SHAME = "ashamed embarrassed disgusted schaemen honte avergonzada avergonzado averguenza"
 FUCK = "fuck fucking fuckin ficken fick foutre joder nique baise chinga vaffanculo puta puto putain"
 THING = "thing things something creature creatures etwas ding chose quelquechose cosa algo"
@@ -135,6 +137,6 @@ GROUPS = """immigrants migrants refugees foreigners outsiders jews jew muslims m
 
 CLASSES = {
     name: globals()[name]
-    for name in """INSULT SOFT BADNESS INTENS FIGURE YOU HE SELF THEM COP DET ALL NEG NOBODY MUST WILL SCUM VERMIN JUNK BEASTS LOWER HUMAN HARM PUNISH KILL HURT BODY
+    for name in """INSULT SOFT BADNESS TRAIT INTENS FIGURE YOU HE SELF THEM COP DET ALL NEG NOBODY MUST WILL SCUM VERMIN JUNK BEASTS LOWER HUMAN HARM PUNISH KILL HURT BODY
         EXPEL SEND AWAY OUT SHUN PLACE HOMES VANISH KIN SHAME FUCK THING SPEAK STAFF PENALTY WORD LEWD SEXUAL CARESS HINT CLINIC""".split()
 }

@@ -269,8 +269,8 @@ def test_groups_that_no_list_names():
     false = [text for (text, f), (_, true) in zip(flagged, UNNAMED) if f and not true]
     assert found >= 22 and not false, [x for x, y in zip(flagged, UNNAMED) if x != y]
 
-# Two lists of attacks and harmless sentences by the author of the rules. Each was run once before a rule was changed for it:
-# 29 of 40 attacks and 1 of 40 harmless sentences were flagged at first in the one, 25 of 36 and 0 of 30 in the other.
+# Three lists of attacks and harmless sentences by the author of the rules. Each was run once before a rule was changed for it:
+# flagged at first were 29 of 40 attacks and 1 of 40 harmless sentences, 25 of 36 and 0 of 30, 24 of 35 and 0 of 30.
 ATTACKS = [
     "Your whole family is a bunch of worthless parasites", "Shut your mouth, you lying coward", "I'm going to kill you and your dog", "I hope you get cancer and die",
     "Everyone would be happier if you were dead", "What an idiot you are", "She is such a stupid bitch", "Somalis are thieves and rapists",
@@ -313,12 +313,33 @@ LATER_HARMLESS = [
     "The Scots should leave the union, he argued", "All Swedes are invited", "Indians make up a third of the staff", "You make me happy",
 ]
 
+LAST_ATTACKS = [
+    "You're nothing but a filthy liar", "Somebody should shoot you in the head", "Get lost, you miserable worm", "I'd love to see you hang", "You people make me sick",
+    "My sister is a stupid cow", "Die already, you waste of oxygen", "We know where your kids go to school, you bastard", "Your mother is a whore",
+    "You have the brain of a rat, moron", "Vietnamese are dirty thieves", "No Jews allowed in our village", "Ship the Syrians back to where they came from",
+    "Those Romanians are all criminals", "Muslims should be banned from our country", "Trans people are degenerates", "The Irish are drunken pigs",
+    "Exterminate all the Hutus", "Keep Chinese out of our neighbourhood", "Bomb the mosques", "Du hässliche Missgeburt", "Ich hoffe, du verreckst", "Araber sind Tiere",
+    "Espèce de sale pute", "Les musulmans dehors", "Je te souhaite de mourir", "Ojalá te mueras, hijo de puta", "Las mujeres son basura", "Fick dich",
+    "Sei un pezzo di merda", "Nude teens on webcam tonight", "Watch my hardcore sex tape", "He thrust deep inside her naked body and she moaned",
+    "Bisexual MILF orgasm compilation", "Sexe hard et femmes nues en vidéo",
+]
+LAST_HARMLESS = [
+    "Vietnamese food is delicious", "The thieves broke into the Jewish museum", "Muslims are a minority in Poland", "The Irish won the rugby game",
+    "Police shot a man in the head", "My sister has a cow", "The rats left the ship", "Women and men earn different wages", "Syrians fled the war in their country",
+    "He fell down drunk like a pig in mud", "Die the fabric in cold water", "The hens are filthy and need a bath", "Nobody needs another meeting",
+    "Kill the engine before you refuel", "The bastard sword hangs on the wall", "You are late again", "Trans people face discrimination",
+    "The plague killed a third of all Europeans", "I hate this stupid weather", "You should be ashamed of the mess, said the sign", "Ich hoffe, du kommst bald",
+    "Die Araber lebten lange in Spanien", "Les femmes de la ville", "Las mujeres trabajan", "Sex differences in voting", "The naked mole rat lives long",
+    "Hardcore fans waited all night", "Adult tickets cost five euros", "The doctor removed her breast", "Escort vehicles led the convoy",
+]
+
 
 def test_own_lists():
     score = abuse.Scorer().score
     flagged = lambda texts: [t for t in texts if max(score(t)) >= abuse.THRESHOLD]
-    assert len(flagged(ATTACKS)) == len(ATTACKS) and len(flagged(LATER_ATTACKS)) >= 33
-    assert flagged(HARMLESS) == [] and flagged(LATER_HARMLESS) == []
+    for attacks in (ATTACKS, LATER_ATTACKS, LAST_ATTACKS):
+        assert len(flagged(attacks)) >= len(attacks) - 1
+    assert flagged([*HARMLESS, *LATER_HARMLESS, *LAST_HARMLESS]) == []
 
 
 def test_neutral_and_hostile_clauses_about_real_groups():
