@@ -51,8 +51,11 @@ def overlap_edges(values: DataFrame, least: float = 0.5, examples: int = 10) ->
     column = F.struct("dataset", "column")
     held = written(values.groupBy("v").agg(F.array_sort(F.collect_set(column)).alias("cols")), "overlap-values")
     sizes = held.select(F.explode("cols").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-    shared = held.where("size(cols) > 1").withColumn("r", F.row_number().over(Window.partitionBy("cols").orderBy("v")))
-    groups = shared.groupBy("cols").agg(F.count("*").alias("n"), F.array_compact(F.array(*(F.max(F.when(F.col("r") == k, F.col("v"))) for k in range(1, examples + 1)))).alias("some"))
+    shared = held.where("size(cols) > 1")
+    # ranks are cut before their shuffle, so a group of very many values isn't gathered in a task
+    first = shared.withColumn("r", F.row_number().over(Window.partitionBy("cols").orderBy("v"))).where(F.col("r") <= examples)
+    some = first.groupBy("cols").agg(F.sort_array(F.collect_list("v")).alias("some"))
+    groups = shared.groupBy("cols").agg(F.count("*").alias("n")).join(some, "cols")
     pairs = column_pairs(written(groups, "overlap-groups"))
     edges = pairs.groupBy("a", "b").agg(F.sum("n").alias("both"))
     left = sizes.select(F.col("c").alias("a"), F.col("n").alias("left_distinct"))

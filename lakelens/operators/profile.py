@@ -73,24 +73,33 @@ def ntile(row: str, buckets: int) -> str:
     return f"if({row} < {some} * (n div {buckets} + 1), {row} div (n div {buckets} + 1), {some} + ({row} - {some} * (n div {buckets} + 1)) div greatest(n div {buckets}, 1)) + 1"
 
 
-def exact_histogram(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(dataset, name, bucket, lo, hi, cnt) of NTILE buckets, from value frequencies of numbers.
+def ntile_rows(counts: DataFrame, keys: list[str], order: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Counted values (keys, order columns, ..., cnt) with the ``bucket`` of NTILE and the group's rows ``n``; a value that lies in several buckets comes once for each.
 
-    The first and last row of each bucket are looked up among the cumulated counts. A column's values are spread by
-    ranges, and each range starts from the counts of those below it, so no column is sorted in one task.
+    The first and last row of each bucket are looked up among the cumulated counts. A group's values are spread by ranges,
+    and each range starts from the counts of those below it, so no group is sorted in one task. Null keys are keys.
     """
-    values = counts.select(*KEY, F.col("v").cast("double").alias("x"), "cnt")
     # written, as ranges are sampled and must not be drawn again
-    ranged = written(values.repartitionByRange(*KEY, "x").withColumn("part", F.spark_partition_id()), "profile-ranges")
-    by_key = Window.partitionBy(*KEY)
-    sizes = ranged.groupBy(*KEY, "part").agg(F.sum("cnt").alias("size"), F.min("x").alias("least"))
+    ranged = written(counts.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()), "profile-ranges")
+    by_key = Window.partitionBy(*keys)
+    sizes = ranged.groupBy(*keys, "part").agg(F.sum("cnt").alias("size"), F.min(F.struct(*order)).alias("least"))
     before = F.coalesce(F.sum("size").over(by_key.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = small_side(sizes.select(*KEY, "part", before.alias("before"), F.sum("size").over(by_key).alias("n")), "profile-starts")
-    inside = Window.partitionBy(*KEY, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("within", F.sum("cnt").over(inside)).join(starts, [*KEY, "part"]).withColumn("upto", F.col("before") + F.col("within"))
-    met = placed.withColumn("bucket", F.explode(F.sequence(F.expr(ntile("(upto - cnt)", buckets)), F.expr(ntile("(upto - 1)", buckets)))))
-    size = F.max(F.expr(f"n div {buckets} + if(bucket <= n % {buckets}, 1, 0)"))
-    return met.groupBy(*KEY, F.col("bucket").cast("int").alias("bucket")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), size.cast("long").alias("cnt"))
+    starts = small_side(sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("part").alias("_part"), before.alias("before"), F.sum("size").over(by_key).alias("n")), "profile-starts")
+    inside = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("part") == F.col("_part")]
+    placed = ranged.withColumn("within", F.sum("cnt").over(inside)).join(starts, same).withColumn("upto", F.col("before") + F.col("within"))
+    return placed.withColumn("bucket", F.explode(F.sequence(F.expr(ntile("(upto - cnt)", buckets)), F.expr(ntile("(upto - 1)", buckets))))).withColumn("bucket", F.col("bucket").cast("int"))
+
+
+def bucket_rows(buckets: int = BUCKETS) -> Column:
+    """The number of rows of a bucket, from ``n`` and ``bucket`` of its values."""
+    return F.max(F.expr(f"n div {buckets} + if(bucket <= n % {buckets}, 1, 0)")).cast("long")
+
+
+def exact_histogram(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(dataset, name, bucket, lo, hi, cnt) of NTILE buckets, from value frequencies of numbers."""
+    met = ntile_rows(counts.select(*KEY, F.col("v").cast("double").alias("x"), "cnt"), KEY, ["x"], buckets)
+    return met.groupBy(*KEY, "bucket").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), bucket_rows(buckets).alias("cnt"))
 
 
 def cut_histogram(df: DataFrame, columns: list[str], dataset: str = "", buckets: int = BUCKETS) -> DataFrame:

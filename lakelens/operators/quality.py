@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakelens.operators.footer_profile import ColumnSpec, profile_columns
-from lakelens.operators.profile import ntile
+from lakelens.operators.profile import bucket_rows, ntile_rows
 
 #: A baseline has one row for each column of a data set; more than this is no baseline.
 MOST_COLUMNS = 20_000
@@ -126,11 +126,8 @@ def load_distribution(spark: SparkSession, path: str, by: str = "load_id", bucke
     # values are counted first, so that a bucket is found among distinct values only
     cells = df.select(F.col(by).alias(by), F.explode(F.array(*map(cell, kinds))).alias("c")).select(by, "c.*").where("t is not null")
     counts = cells.groupBy(by, "name", "x", F.when(F.col("x").isNull(), F.col("t")).alias("s")).agg(F.count("*").alias("cnt"), F.min("t").alias("t"))
-    own = Window.partitionBy(by, "name")
-    upto = counts.withColumns({"upto": F.sum("cnt").over(own.orderBy("x", "s").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("cnt").over(own)})
-    met = upto.withColumn("bucket", F.explode(F.sequence(F.expr(ntile("(upto - cnt)", buckets)), F.expr(ntile("(upto - 1)", buckets)))))
-    size = F.max(F.expr(f"n div {buckets} + if(bucket <= n % {buckets}, 1, 0)"))
-    hist = met.groupBy(by, "name", F.col("bucket").cast("int").alias("bucket")).agg(F.min_by("t", F.struct("x", "s")).alias("lo"), F.max_by("t", F.struct("x", "s")).alias("hi"), size.alias("cnt"))
+    met = ntile_rows(counts, [by, "name"], ["x", "s"], buckets)
+    hist = met.groupBy(by, "name", "bucket").agg(F.min_by("t", F.struct("x", "s")).alias("lo"), F.max_by("t", F.struct("x", "s")).alias("hi"), bucket_rows(buckets).alias("cnt"))
     h, d = head.alias("h"), hist.alias("d")
     joined = h.join(d, F.col(f"h.{by}").eqNullSafe(F.col(f"d.{by}")) & (F.col("h.name") == F.col("d.name")), "left")
     return joined.select("h.*", "d.bucket", "d.lo", "d.hi", "d.cnt")

@@ -181,3 +181,36 @@ def test_binding_accuracy(spark):
 
     found = measure(engine_for_tables(spark, DATA, STAR, True))
     assert found["table"] >= 0.9 and found["metric"] >= 0.8 and found["dimension"] >= 0.8 and found["binding"] >= 0.75, found
+
+
+def test_service(engine):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from lakelens.serve import server
+
+    service = server(engine, 0)
+    threading.Thread(target=service.serve_forever, daemon=True).start()
+
+    def call(method, path, body=None):
+        data = None if body is None else json.dumps(body).encode() if isinstance(body, dict) else body
+        try:
+            with urlopen(Request(f"http://127.0.0.1:{service.server_port}{path}", data, method=method)) as r:
+                return r.status, json.loads(r.read())
+        except HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        status, out = call("POST", "/ask", {"question": "average alcohol by quality"})
+        assert status == 200 and out["row_count"] == 6
+        assert call("POST", "/intent", {"question": "average alcohol by quality"})[1]["agg_func_hint"] == "avg"
+        edited = call("POST", "/edit", {"plan": out["plan"], "index": 0})[1]
+        assert edited == out["plan"] and call("POST", "/execute", {"plan": edited})[1]["row_count"] == 6
+        rule = call("POST", "/correct", {"hint": "h", "column": "alcohol"})[1]["rule"]["id"]
+        assert rule in [r["id"] for r in call("GET", "/overrides")[1]] and call("DELETE", f"/overrides/{rule}")[1] == {"removed": True}
+        assert call("POST", "/discover", {"question": "I want wine data to predict quality"})[1]["datasets"][0]["dataset"] == "wine" and "wine" in call("GET", "/datasets")[1]
+        assert call("GET", "/nope")[0] == 404 and call("POST", "/ask", {})[0] == 400 and call("POST", "/ask", b"{")[0] == 400 and call("GET", "/audits")[0] == 200
+    finally:
+        service.shutdown()

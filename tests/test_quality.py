@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from lakelens import quality_queries
 from lakelens.operators import footer_profile, quality, records
 
 ROWS = [
@@ -132,7 +131,7 @@ def test_records(spark):
 def test_every_column_of_every_load_has_its_distribution(spark):
     path = "/root/testdata/sf0.001/taxi_trips.parquet"
     df = spark.read.parquet(path)
-    rows, stored = quality_queries.p4_distribution(spark, "/root/testdata/sf0.001").collect(), df.collect()
+    rows, stored = quality.load_distribution(spark, path).collect(), df.collect()
     loads = {r.load_id for r in stored}
     assert {(r.load_id, r.name) for r in rows} == {(x, c) for x in loads for c in df.columns}
     for load in loads:
