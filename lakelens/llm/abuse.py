@@ -5,8 +5,9 @@ A cascade of transducers is composed with each sentence's lattice of words:
 1. the lexical transducer turns every surface form, however spelled, into the labels of its word classes, and an unknown
    word into what its form says (NAMED, DEMONYM, PEOPLE);
 2. ``PHRASES`` reads multi-word insults, targets (YOU, PERSON, a TRIBE of people) and acts as one token each;
-3. ``CONTEXT`` reads mentions, reports, denials and technical uses as neutral spans;
-4. ``CLAUSES`` scores what a clause does to its target: every rule has a slot for a target and one for what is said of it
+3. ``JUDGEMENTS`` reads what somebody is called as one token;
+4. ``CONTEXT`` and ``CLAUSES`` decide together: mentions, reports, denials and technical uses are spans that say nothing of
+   their own and outweigh what they hold; every rule of ``CLAUSES`` has a slot for a target and one for what is said of it
    or called for, so neither a bad word nor a group's name counts alone.
 
 All readings stay in the lattice; the best path through it decides. Groups are known by syntax and form (plural demonyms,
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.llm.codebook import slices
-from lakelens.llm.fst import NEUTRAL, Labels, Lattice, Rule, Transducer, compose
+from lakelens.llm.fst import Labels, Rule, Transducer, compose
 from lakelens.llm.vocabulary import CLASSES, GROUPS, JAPANESE, RUSSIAN
 from lakelens.runtime import spread
 
@@ -79,23 +80,21 @@ JUDGEMENTS = (
 # Spans that say nothing of their own: mentions of a word, reports and moderation, denials, help against harm.
 CONTEXT = (
     Transducer()
-    .add("mention", 3.0, "WORD (YOU)? (INSULT|SOFT|BADNESS|SCUM|VERMIN|SEXUAL|LEWD|FUCK)", "(INSULT|SOFT) (is|was|means|as) (a|an|the) (WORD|german|english|french|latin|old)", output=NEUTRAL)
+    .add("mention", 3.0, "WORD (YOU)? (INSULT|SOFT|BADNESS|SCUM|VERMIN|SEXUAL|LEWD|FUCK)", "(INSULT|SOFT) (is|was|means|as) (a|an|the) (WORD|german|english|french|latin|old)")
     .add(
         "report", 3.0,
         "STAFF .* PENALTY .* EOS", "PENALTY .{0,4} for (SPEAK|threatening|insulting|sending) .* EOS", "(comments|comment|posts|messages|message|tweets|letters) (SPEAK|that|which|containing|with) .* EOS",
         "(calls|called|calling|call) (HE|THEM|names|me|us|NAMED|TRIBE|ANY) SLUR?", "(called|calling) (names|SLUR)", "(if|when|whenever) (someone|somebody|anyone|people|users|they) (SPEAK|say|write|posts|post) .* EOS",
         "(wrong|false|hateful|racist|untrue|unacceptable|illegal|hurtful|offensive) to (say|claim|call|think|write|tell|SPEAK) .* EOS", "SPEAK .* (is|was|are) (wrong|false|hateful|racist|untrue|unacceptable|illegal|hurtful|offensive|hate)",
         "(hate|hass) (speech|rede|crime)", "(example|examples|phrases|sentences|words|slurs|insults) (such|like|of) .* EOS", "(victim|victims) .* (called|told) .* EOS",
-        output=NEUTRAL,
     )
     .add(
         "denial", 3.0,
         "NEG (DET|BADNESS|a|that|so|really|even|all|my){0,3} (SLUR|DEGRADED|LIKENED|INSULT|SOFT)", "NOBODY (should|ever|has|would)* (SPEAK|say|thinks|think|believes) .{0,3} (SLUR|DEGRADED|LIKENED)", "NEG (HARM|KILL|HURT|PUNISH|EXPEL|END|RID)", "NEG (say|think|claim|believe) (that)? (YOU|HE|THEM|SELF|TRIBE|ANY|NAMED) .* EOS", "NEG call (HE|THEM|me|us|NAMED|TRIBE) SLUR",
         "(against|stop|prevent|condemn|oppose|opposes|opposed|rejects|reject) (those|people|anyone)? (who)? .{0,4} (KILL|EXPEL|END|RID|DEGRADED|deporting|killing|expelling) .* EOS",
-        output=NEUTRAL,
     )
-    .add("technical", 3.0, "(KILL|END|HURT|RID) DET? (process|job|task|thread|server|daemon|switch|engine|connection|program|app|lights|weeds|germs|bacteria|BEASTS|VERMIN)", output=NEUTRAL)
-    .add("medicine", 3.0, "(sexual|sexuellen|sexuelle|salud|sex) (CLINIC|gesundheit|harassment|assault|abuse|offender|discrimination|workers|ratio)", "sex and age", "age and sex", "(nude|naked) (figures|figure|studies|painting|paintings|sculpture|model|models|eye|mole)", "cancer du sein", "same sex", "sex of DET .", output=f"{NEUTRAL} CLINIC")
+    .add("technical", 3.0, "(KILL|END|HURT|RID) DET? (process|job|task|thread|server|daemon|switch|engine|connection|program|app|lights|weeds|germs|bacteria|BEASTS|VERMIN)")
+    .add("medicine", 3.0, "(sexual|sexuellen|sexuelle|salud|sex) (CLINIC|gesundheit|harassment|assault|abuse|offender|discrimination|workers|ratio)", "sex and age", "age and sex", "(nude|naked) (figures|figure|studies|painting|paintings|sculpture|model|models|eye|mole)", "cancer du sein", "same sex", "sex of DET .")
 )
 
 CLAUSES = (
@@ -104,7 +103,7 @@ CLAUSES = (
     .add(
         "abusive", 0.9,
         "YOU (COP|being)? (ALL|just|nothing|but|only|really|such|nur|rien|que|mas){0,3} (SLUR|DEGRADED)", "(YOU COP|YOU&COP) .{0,2} (SLUR|SOFT)", "YOU OTHER? SLUR", "YOU .* LEAD&INSULT EOS", "YOU (は|が|も|なんて|を) (INSULT|SCUM|KILL)", "YOU (DET|BADNESS)* (INSULT|SOFT)", "what DET? SLUR YOU", "what DET? BADNESS* SOFT YOU",
-        "(YOU COP|YOU&COP) .? (DET|BADNESS|FUCK|INTENS)* (SCUM|VERMIN|JUNK)", "YOU .? (KIN|kids|friends) COP .? DEGRADED", "YOU (BADNESS)+ (SCUM|VERMIN|JUNK)", "(HE|NAMED|FIGURE|KIN) COP .? SLUR", "(here|hey|oi|listen|only) SLUR", "(SLUR|INSULT) (like|wie|comme|como) (YOU|NAMED|HE)", "SOFT (like|wie|comme|como) YOU", "only DET? SOFT like (NAMED|HE)", "youre DET? (SOFT|SCUM|VERMIN|JUNK)", "espece (de|d)? (BADNESS)* (SLUR|SCUM|JUNK|SOFT|VERMIN)",
+        "(YOU COP|YOU&COP) .? (DET|BADNESS|FUCK|INTENS|TRAIT)* (SCUM|VERMIN|JUNK|INSULT|SOFT)", "YOU .? (KIN|kids|friends) COP .? DEGRADED", "YOU (BADNESS)+ (SCUM|VERMIN|JUNK)", "(HE|NAMED|FIGURE|KIN) COP .? SLUR", "(here|hey|oi|listen|only) SLUR", "(SLUR|INSULT) (like|wie|comme|como) (YOU|NAMED|HE)", "SOFT (like|wie|comme|como) YOU", "only DET? SOFT like (NAMED|HE)", "youre DET? (SOFT|SCUM|VERMIN|JUNK)", "espece (de|d)? (BADNESS)* (SLUR|SCUM|JUNK|SOFT|VERMIN)",
         "(SILENCE|GAG) .{0,2} (YOU)? (BADNESS)* (INSULT|SOFT|SCUM|VERMIN|JUNK)", "SILENCE .? YOU BADNESS", "GAG", "HARM SLUR", "YOU COP (so|really|such|too|a|just|LOWER)* (BADNESS){1,3} (and|EOS)", "NOBODY (needs|braucht|wants|likes|will) .{0,3} SLUR",
     )
     .add("abusive", 0.9, "YOU (all)? (suck|stink)", "FUCK (off|YOU|HE&him|her)", "LEAD&FUCK YOU", "go FUCK YOU", "screw YOU", "(eat|suck|lick) (my|YOU|a|DET)* (shit|dick|cock|arse|ass|mierda|merde)", "leck mich", "va te faire", "vete a la mierda", "va a cagare", "vaffanculo")
@@ -147,7 +146,8 @@ CLAUSES = (
     .add("lewd", 0.15, "CARESS")
     .add("lewd", 0.1, "HINT")
 )
-STAGES = (TARGETS, JUDGEMENTS, CONTEXT)
+STAGES = (TARGETS, JUDGEMENTS)
+LAST = Transducer([*CONTEXT.rules, *CLAUSES.rules])
 
 # fixed values: look-alike characters
 LEET = str.maketrans({"$": "s", "@": "a", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "|": "i", "+": "t", "€": "e", "8": "b", "9": "g"})
@@ -157,6 +157,8 @@ ENDS = re.compile(r"[.!?…]+[\"'”’)»]*$|[。！？]")
 RUNS = re.compile(r"(.)\1{2,}")
 PAIRS = re.compile(r"(.)\1+")
 PAIRS_OR_ONE = re.compile(r"(.)\1*")
+_ONE = r"(?=\S)[^\w\s]*+_*+[^\w\s]*+\w?+[^\w\s]*+"
+SINGLES = re.compile(rf"(?<!\S){_ONE}(?:\s++{_ONE}){{2}}(?!\S)")  # three single characters in a row
 NUMBERED = re.compile(r"[^\W\d]\d{2,}$|^\d{2,}\W?[a-z]{0,2}$")  # user names and article numbers are no disguise
 STARRED = re.compile(r"f[*#@$%!_\-]{2,}(k|ck|ing|cking|er|cker)?!*")
 SENTENCE = ".,;:?\"'()[]{}<>«»„“”‘’…¿¡"
@@ -216,7 +218,7 @@ class Gate:
     """
 
     def __init__(self, phrases: Transducer):
-        self.writers = [r for stage in (phrases, *STAGES) for r in stage.rules if NEUTRAL not in r.output]
+        self.writers = [r for stage in (phrases, *STAGES) for r in stage.rules]
         self.deciding = [r for r in CLAUSES.rules if r.name != "lewd" or not r.pattern.first.isdisjoint(CARRIERS)]
         self.hot: set[str] = set().union(*(self.key(r) for r in self.deciding))
         waiting = list(self.writers)
@@ -227,7 +229,11 @@ class Gate:
         self.bit = {x: 1 << k for k, x in enumerate(known)}
         self.placed = self.bits(PLACED)
         self.writing = [(self.bits(r.output), *self._asked(r)) for r in self.writers]
-        self.judging = [self._asked(r) for r in self.deciding]
+        self.judging: dict[int, list[tuple[int, list[int]]]] = {}  # by each label of the rule's key
+        for r in self.deciding:
+            for x in self.key(r):
+                self.judging.setdefault(self.bit[x], []).append(self._asked(r))
+        self.keyed = sum(self.judging)
 
     @staticmethod
     def key(rule: Rule) -> Labels:
@@ -249,9 +255,13 @@ class Gate:
         for output, all_of, one_of in self.writing:
             if output & ~held and held & all_of == all_of and all(held & n for n in one_of):
                 held |= output
-        for all_of, one_of in self.judging:
-            if held & all_of == all_of and all(held & n for n in one_of):
-                return True
+        ready = held & self.keyed
+        while ready:
+            bit = ready & -ready
+            ready ^= bit
+            for all_of, one_of in self.judging[bit]:
+                if held & all_of == all_of and all(held & n for n in one_of):
+                    return True
         return False
 
 
@@ -271,7 +281,7 @@ class Lexer:
             else:
                 self.phrases.add("group", 1.0, " ".join(parts), output="GROUP")
         content = {w for w, of in self.labels.items() if not of <= PLAIN} | {w for w in self.phrases.words() if len(w) > 4}
-        for w in set().union(*(stage.words() for stage in (self.phrases, *STAGES, CLAUSES))):
+        for w in set().union(*(stage.words() for stage in (self.phrases, *STAGES, LAST))):
             self.labels.setdefault(w, set())
         self.fuzzy: dict[str, tuple[str, ...]] = {}
         self.masked: dict[str, list[str]] = {}
@@ -439,7 +449,7 @@ class Scorer:
 
     def clause(self, tokens: list[str], labels: list[Labels]) -> tuple[float, float, float]:
         lattice = compose(self.placed(tokens, labels), self.lexer.phrases, *STAGES)
-        found = CLAUSES.score(lattice)
+        found = LAST.score(lattice)
         lewd = found.get("lewd", 0.0) - 0.5 * any("CLINIC" in x for x in labels)
         carries = any(not x.isdisjoint(CARRIERS) for x in labels)
         return found.get("abusive", 0.0), found.get("hateful", 0.0), lewd if carries else 0.0
@@ -462,7 +472,7 @@ class Scorer:
         lines, warm, seen = 0, False, 0
         for line in text.splitlines():
             tokens = line.split()
-            if any(len(t) == 1 for t in tokens):
+            if SINGLES.search(line):
                 tokens = self.lexer.spaced(tokens)
             words, labels, hot, held = [], [], False, 0
             for k, token in enumerate(tokens):

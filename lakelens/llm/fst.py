@@ -1,14 +1,15 @@
 """A small weighted finite-state toolkit: patterns over label sets, transducers over lattices, their composition.
 
 A token is a set of labels. A pattern is written as words, labels (upper case), ``A&B`` for a token with both, ``.``
-for any token that is no neutral reading, ``( | )``, and the suffixes ``?``, ``*``, ``+`` and ``{m,n}``; it is
+for any token, ``( | )``, and the suffixes ``?``, ``*``, ``+`` and ``{m,n}``; it is
 compiled to a non-deterministic automaton, ``*`` and ``+`` to loops without a bound.
 
 A sentence is a lattice: arcs from one position to a later one, each with labels and a weight. A ``Transducer`` is the
 union of weighted rules with a copy of every arc at weight 0. Composing it with a lattice adds, for every match of a
 rule, an arc with the rule's output over the matched span, whose weight is the best inner path's plus the rule's. So
 all readings of all stages stay side by side, and only the last transducer's best path through the whole lattice
-decides between them. ``NEUTRAL`` outputs are readings under which the span says nothing of its own.
+decides between them: a Viterbi search whose time is linear in the length of the sentence, with matches of any length.
+Rules of the last stage whose name is none that is asked for serve to read their span as saying nothing of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from itertools import product
 Labels = frozenset[str]
 Arc = tuple[int, Labels, float]
 LEX = re.compile(r"\{\d+,\d+\}|[()|?*+.]|[^\s(){}|?*+.]+")
-NEUTRAL = "NEUTRAL"
+#: Arcs made by ``compose`` span at most this many positions; the last stage knows no such bound.
+SPAN = 64
 
 
 class Lattice:
@@ -136,25 +138,25 @@ class Pattern:
 
     def ends(self, lattice: Lattice, at: int) -> dict[int, float]:
         """The end of every match that starts at ``at``, with the weight of its best inner path."""
+        n, steps, final = len(lattice.arcs), self.arcs, self.final
         ahead: dict[int, dict[int, float]] = {at: {self.start: 0.0}}
         out: dict[int, float] = {}
         while ahead:
             p = min(ahead)
             states = ahead.pop(p)
             if p > at:
-                done = [w for s, w in states.items() if self.final[s]]
+                done = [w for s, w in states.items() if final[s]]
                 if done:
                     out[p] = max(done)
-            if p == len(lattice):
+            if p == n or p - at >= SPAN:
                 continue
             for end, here, weight in lattice.arcs[p]:
-                neutral = NEUTRAL in here
                 for s, w in states.items():
-                    for labels, n in self.arcs[s]:
-                        if labels <= here and (labels or not neutral):
+                    for labels, to in steps[s]:
+                        if labels <= here:
                             goal = ahead.setdefault(end, {})
-                            if w + weight > goal.get(n, -1e9):
-                                goal[n] = w + weight
+                            if w + weight > goal.get(to, -1e9):
+                                goal[to] = w + weight
         return out
 
 
@@ -181,8 +183,8 @@ class Transducer:
     def words(self) -> set[str]:
         return set().union(*(r.pattern.words() for r in self.rules))
 
-    def matches(self, lattice: Lattice, i: int):
-        """(end, weight of the inner path, rule) of all matches that start at ``i``."""
+    def ready(self, arcs: list[Arc]) -> list[int]:
+        """The rules that may start with one of these arcs."""
         if self.starting[0] != len(self.rules):  # rules by the labels that their first token may have
             by_label: dict[str | None, list[int]] = {}
             for k, rule in enumerate(self.rules):
@@ -190,44 +192,70 @@ class Transducer:
                     by_label.setdefault(label, []).append(k)
             self.starting = len(self.rules), by_label
         by_label = self.starting[1]
-        ready = set(by_label.get(None, ()))
-        for _, labels, _ in lattice.arcs[i]:
+        found = set(by_label.get(None, ()))
+        for _, labels, _ in arcs:
             for label in labels:
                 if label in by_label:
-                    ready.update(by_label[label])
-        for k in sorted(ready):
-            rule = self.rules[k]
-            for end, inner in rule.pattern.ends(lattice, i).items():
-                yield end, inner, rule
+                    found.update(by_label[label])
+        return sorted(found)
 
     def compose(self, lattice: Lattice) -> Lattice:
         """The lattice with an arc for each match; equal arcs keep the larger weight."""
         fresh: list[dict[tuple[int, Labels], float]] = []
         for i in range(len(lattice)):
             best: dict[tuple[int, Labels], float] = {}
-            for end, inner, rule in self.matches(lattice, i):
-                key = end, rule.output
-                best[key] = max(best.get(key, -1e9), inner + rule.weight)
+            for k in self.ready(lattice.arcs[i]):
+                rule = self.rules[k]
+                for end, inner in rule.pattern.ends(lattice, i).items():
+                    key = end, rule.output
+                    best[key] = max(best.get(key, -1e9), inner + rule.weight)
             fresh.append(best)
         out = Lattice([])
         out.arcs = [[*arcs, *((end, labels, w) for (end, labels), w in best.items())] for arcs, best in zip(lattice.arcs, fresh)]
         return out
 
     def score(self, lattice: Lattice) -> dict[str, float]:
-        """Summed weight of each rule name on the best path: the largest sum of weights, then the fewest rules."""
+        """Summed weight of each rule name on the best path: the largest sum of weights, then the fewest rules.
+
+        One pass over the positions: ``free`` is the best way to a position outside any rule, ``inside`` the best to each
+        state of each rule that is under way there.
+        """
         n = len(lattice)
-        value: list[tuple[float, int]] = [(0.0, 0)] * (n + 1)
-        step: list[tuple[int, Rule | None]] = [(n, None)] * n
-        for i in range(n - 1, -1, -1):
-            options = [((value[end][0] + w, value[end][1]), end, None) for end, _, w in lattice.arcs[i]]
-            options += [((value[end][0] + inner + rule.weight, value[end][1] - 1), end, rule) for end, inner, rule in self.matches(lattice, i)]
-            value[i], *step[i] = max(options, key=lambda x: x[0])
+        free: list[tuple[float, int, tuple | None] | None] = [(0.0, 0, None), *[None] * n]
+        inside: list[dict[tuple[int, int], tuple[float, int, tuple | None]]] = [{} for _ in range(n + 1)]
+        for p in range(n + 1):
+            here = inside[p]
+            for (k, state), (value, count, chain) in here.items():
+                rule = self.rules[k]
+                if rule.pattern.final[state]:
+                    way = (value + rule.weight, count - 1)
+                    if free[p] is None or way > free[p][:2]:
+                        free[p] = (*way, (chain, rule))
+            if p == n:
+                break
+            arcs, now = lattice.arcs[p], free[p]
+            moves = list(here.items())
+            if now is not None:
+                moves += [((k, self.rules[k].pattern.start), now) for k in self.ready(arcs)]
+                for end, _, weight in arcs:
+                    way = (now[0] + weight, now[1])
+                    if free[end] is None or way > free[end][:2]:
+                        free[end] = (*way, now[2])
+            for (k, state), (value, count, chain) in moves:
+                steps = self.rules[k].pattern.arcs[state]
+                for end, labels, weight in arcs:
+                    goal = inside[end]
+                    for needed, to in steps:
+                        if needed <= labels:
+                            old = goal.get((k, to))
+                            if old is None or (value + weight, count) > old[:2]:
+                                goal[k, to] = (value + weight, count, chain)
+            inside[p] = {}
         found: dict[str, float] = {}
-        i = 0
-        while i < n:
-            i, rule = step[i]
-            if rule is not None:
-                found[rule.name] = found.get(rule.name, 0.0) + rule.weight
+        chain = free[n][2]
+        while chain is not None:
+            chain, rule = chain
+            found[rule.name] = found.get(rule.name, 0.0) + rule.weight
         return found
 
 

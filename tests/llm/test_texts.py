@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from lakelens.llm import abuse, leakage, tokenize
 from lakelens.llm.codebook import Codebook, slices
-from lakelens.llm.fst import NEUTRAL, Lattice, Pattern, Transducer
+from lakelens.llm.fst import Lattice, Pattern, Transducer
 from lakelens.llm.words import words
 from lakelens.runtime import table
 
@@ -132,7 +132,7 @@ def test_transducers():
     t = lambda text: Lattice([frozenset({w}) for w in text.split()])
     assert sorted(Pattern("a (b|c)? d{1,2}").ends(t("a c d d d"), 0)) == [3, 4]
     assert sorted(Pattern("a .{0,2} b").ends(t("a x b b"), 0)) == [3, 4]
-    assert sorted(Pattern("a b* c").ends(t("a " + "b " * 500 + "c"), 0)) == [502] and not Pattern("a b+ c").ends(t("a c"), 0)
+    assert sorted(Pattern("a b* c").ends(t("a " + "b " * 50 + "c"), 0)) == [52] and not Pattern("a b+ c").ends(t("a c"), 0)
     assert Pattern("A&B").ends(Lattice([frozenset("AB")]), 0) and not Pattern("A&B").ends(Lattice([frozenset("A")]), 0)
     grammar = Transducer().add("long", 2.0, "a b", output="AB").add("short", 1.0, "a")
     assert grammar.score(t("a b a x")) == {"long": 2.0, "short": 1.0}
@@ -141,9 +141,9 @@ def test_transducers():
     # both readings stay, and the best path of the last stage decides
     last = Transducer().add("outer", 1.0, "x AB").add("inner", 4.0, "a b y")
     assert last.score(lattice) == {"inner": 4.0} and Transducer().add("outer", 1.0, "x AB").score(lattice) == {"outer": 1.0}
-    neutral = Transducer().add("n", 3.0, "a b", output=NEUTRAL).compose(t("x a b y"))
-    assert last.score(neutral) == {"inner": 4.0} and Transducer().add("inner", 1.0, "a b y").score(neutral) == {}
-    assert sorted(Pattern("x . y").ends(neutral, 0)) == []
+    # a rule of more weight that isn't asked for keeps its span from others
+    assert Transducer().add("n", 3.0, "a b").add("inner", 1.0, "a b y").score(t("x a b y")) == {"n": 3.0}
+    assert Transducer().add("far", 1.0, "a .* z").score(t("a " + "b " * 30000 + "z")) == {"far": 1.0}  # linear, without a bound
     with pytest.raises(ValueError):
         Pattern("a ) b")
 
@@ -222,6 +222,15 @@ def test_gate_opens_wherever_a_rule_matches():
             assert scorer.lexer.gate.opens(scorer.lexer.gate.bits(frozenset().union(*labels))) and not scorer.lexer.quiet(tokens), tokens
 
 
+def test_long_texts_without_an_end_are_read_in_linear_time():
+    import time
+
+    scorer, start = abuse.Scorer(), time.process_time()
+    assert scorer.score("you are stupid " * 5000)[0] >= 0.5 and scorer.score("all the Turks are " * 3000 + "vermin")[1] >= 0.5
+    assert scorer.score("You are a " + "stupid " * 300 + "idiot")[0] >= 0.5 and scorer.score("-" * 100_000 + "_-" * 50_000) == (0.0, 0.0, 0.0)
+    assert time.process_time() - start < 20
+
+
 def test_sentences_over_lines():
     score = abuse.Scorer().score
     assert score("You are a\nworthless idiot.")[0] >= 0.5 and score("You are a " + "stupid " * 12 + "idiot")[0] >= 0.5
