@@ -158,16 +158,11 @@ def limit_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV lake of one data set, read through the recursive locator with sniffed options and a stored schema."""
-    root = f"{shared_dir(spark).removeprefix('file:').replace('///', '/')}/lakelens/csv-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "nation").toPandas().to_csv(_made(root, "deep/nation.csv"), index=False, sep=";")  # 25 rows
+    root = f"{shared_dir(spark)}/lakelens/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").coalesce(1).write.options(header="true", sep=";").csv(f"{root}/deep/nation.csv")  # 25 rows
     return compile_plan(Plan.of(scan("nation")), Catalog.of_lake(spark, root))
 
 
-def _made(root: str, name: str) -> str:
-    os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
-    return f"{root}/{name}"
-
-
 # profiles
 
 PROFILED = ["trip_distance", "base_fare", "trip_price", "weather", "traffic_conditions", "day_of_week", "vehicle_code"]
